@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_extract import op8_query
 from .language_id import op1_query
 from .line_dedup import OP7_SQL, op7_query
+from .pii import op6_query
 from .simhash import op10_query
 from .token_records import op5_query
 from .vector_packing import op9_query
@@ -16,6 +17,7 @@ from .vector_packing import op9_query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_query,
     "op5_token_records": op5_query,
+    "op6_pii": op6_query,
     "op7_line_dedup": op7_query,
     "op8_html_extract": op8_query,
     "op9_vector_packing": op9_query,
