@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import op4_query
 from .html_extract import op8_query
 from .language_id import op1_query
 from .line_dedup import OP7_SQL, op7_query
@@ -16,6 +17,7 @@ from .vector_packing import op9_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_query,
+    "op4_decontamination": op4_query,
     "op5_token_records": op5_query,
     "op6_pii": op6_query,
     "op7_line_dedup": op7_query,
