@@ -12,11 +12,13 @@ from .language_id import op1_query
 from .line_dedup import OP7_SQL, op7_query
 from .pii import op6_query
 from .simhash import op10_query
+from .suffix_dedup import op2_query
 from .token_records import op5_query
 from .vector_packing import op9_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_query,
+    "op2_suffix_dedup": op2_query,
     "op4_decontamination": op4_query,
     "op5_token_records": op5_query,
     "op6_pii": op6_query,
