@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chroma import op3_query
 from .decontamination import op4_query
 from .html_extract import op8_query
 from .language_id import op1_query
@@ -19,6 +20,7 @@ from .vector_packing import op9_query
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_query,
     "op2_suffix_dedup": op2_query,
+    "op3_chroma": op3_query,
     "op4_decontamination": op4_query,
     "op5_token_records": op5_query,
     "op6_pii": op6_query,
