@@ -1,0 +1 @@
+"""Scalar column functions: NaN-aware arithmetic, interpolation kernels and spline bases."""
