@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .similarity import similarity_pairs
-
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("similarity", "points", "measuring", "stencils", "resampling", "transforms", "estimates", "streams")
 PLANS: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+for _module in MODULES:
+    for _name, _query, _sql in import_module(f"{__package__}.{_module}").QUERIES:
+        if _name in PLANS:
+            raise ValueError(f"two queries are named {_name}")
+        PLANS[_name] = _query
+        if _sql:
+            ORACLES[_name] = _sql
 
-def add(name: str, query: Query, sql: str | None = None) -> None:
-    if name in PLANS:
-        raise ValueError(f"two queries are named {name}")
-    PLANS[name] = query
-    if sql:
-        ORACLES[name] = sql
-
-
-flagship = similarity_pairs[1]
-add(*similarity_pairs)
+flagship = PLANS["w_similarity_pairs"]
