@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import b_spline, known, safe_div, valid
 
-R, V = F.col("value"), F.col("w")
-
 
 def defined(pair: DataFrame) -> DataFrame:
     return pair.where(valid("value") & valid("w"))
@@ -23,7 +21,7 @@ def defined(pair: DataFrame) -> DataFrame:
 def ssd(pair: DataFrame, keys: list[str], weight: Column | None = None, factor: float = 1.0) -> DataFrame:
     """Negative weighted mean of squared differences; weight: a Jacobian determinant or local weight, else 1."""
     m = weight if weight is not None else F.lit(1.0)
-    return defined(pair).groupBy(*keys).agg((-factor * safe_div(F.sum((R - V) * (R - V) * m), F.sum(m))).alias("measure"))
+    return defined(pair).groupBy(*keys).agg((-factor * safe_div(F.sum((F.col("value") - F.col("w")) * (F.col("value") - F.col("w")) * m), F.sum(m))).alias("measure"))
 
 
 def jointly_normalised(pair: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,7 +29,7 @@ def jointly_normalised(pair: DataFrame, keys: list[str]) -> DataFrame:
     w = W.partitionBy(*keys)
     lo = F.least(F.min(known("value")).over(w), F.min(known("w")).over(w))
     hi = F.greatest(F.max(known("value")).over(w), F.max(known("w")).over(w))
-    return pair.withColumns({"value": safe_div(R - lo, hi - lo), "w": safe_div(V - lo, hi - lo)})
+    return pair.withColumns({"value": safe_div(F.col("value") - lo, hi - lo), "w": safe_div(F.col("w") - lo, hi - lo)})
 
 
 def in_bins(pair: DataFrame, keys: list[str], bins: int = 68) -> DataFrame:
@@ -54,8 +52,8 @@ def joint_histogram(pair: DataFrame, keys: list[str], bins: int = 68, exact: boo
     if exact:
         taps = F.explode(F.sequence(F.lit(-1), F.lit(2)))
         spread = here.withColumn("_a", taps).withColumn("_b", F.explode(F.sequence(F.lit(-1), F.lit(2))))
-        r, f = F.floor(R) + F.col("_a"), F.floor(V) + F.col("_b")
-        rows = spread.select(*keys, r.cast("int").alias("r"), f.cast("int").alias("f"), (b_spline(R - r) * b_spline(V - f)).alias("h"))
+        r, f = F.floor(F.col("value")) + F.col("_a"), F.floor(F.col("w")) + F.col("_b")
+        rows = spread.select(*keys, r.cast("int").alias("r"), f.cast("int").alias("f"), (b_spline(F.col("value") - r) * b_spline(F.col("w") - f)).alias("h"))
         return rows.where(F.col("r").between(0, bins - 1) & F.col("f").between(0, bins - 1)).groupBy(*keys, "r", "f").agg(F.sum("h").alias("h"))
     counted = here.select(*keys, F.floor("value").cast("int").alias("r"), F.floor("w").cast("int").alias("f")).where(F.col("r").between(0, bins - 1) & F.col("f").between(0, bins - 1)).groupBy(*keys, "r", "f").agg(F.count(F.lit(1)).cast("double").alias("h"))
     for axis in ("r", "f"):
@@ -81,7 +79,7 @@ def nmi(pair: DataFrame, keys: list[str], bins: int = 68, exact: bool = False) -
 def kld(pair: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:
     """Negative mean of (r + e) ln((r + e) / (w + e)); terms that aren't finite don't count."""
     e, m = 1e-16, weight if weight is not None else F.lit(1.0)
-    term = (R + e) * F.ln(F.when((V + e != 0) & (F.try_divide(R + e, V + e) > 0), F.try_divide(R + e, V + e)))
+    term = (F.col("value") + e) * F.ln(F.when((F.col("w") + e != 0) & (F.try_divide(F.col("value") + e, F.col("w") + e) > 0), F.try_divide(F.col("value") + e, F.col("w") + e)))
     rows = defined(pair).withColumn("_t", term).withColumn("_m", m).where(valid("_t") & (F.abs("_t") < float("inf")))
     return rows.groupBy(*keys).agg((-safe_div(F.sum(F.col("_t") * F.col("_m")), F.sum("_m"))).alias("measure"))
 
@@ -92,7 +90,7 @@ def ncc(pair: DataFrame, keys: list[str]) -> DataFrame:
 
 def rms(pair: DataFrame, keys: list[str], point: list[str]) -> DataFrame:
     """Sum over points of the length of the difference vector, over all points; points with a NaN add nothing."""
-    per = pair.groupBy(*keys, *point).agg(F.sqrt(F.sum((R - V) * (R - V))).alias("d"))
+    per = pair.groupBy(*keys, *point).agg(F.sqrt(F.sum((F.col("value") - F.col("w")) * (F.col("value") - F.col("w")))).alias("d"))
     return per.groupBy(*keys).agg((F.sum(F.coalesce(known("d"), F.lit(0.0))) / F.count(F.lit(1))).alias("measure"))
 
 
