@@ -130,15 +130,16 @@ def randomised_svd(passages: DataFrame, terms: int, rank: int, rounds: int = 2,
     return basis
 
 
-def build_index(benchmark: DataFrame, df: np.ndarray, n_docs: int, rank: int = 64, common: float = 0.05, id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> Index:
+def build_index(benchmark: DataFrame, df: np.ndarray, n_docs: int, rank: int = 64, weights: tuple[float, float] = (1.0, 3.0), id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> Index:
     """Fit the latent space on the benchmark's passages. The benchmark is small by nature: its items go to every task.
 
-    Terms in more than `common` of all documents say nothing and get no weight. The answer check asks for the words of
+    Weights are inverse document frequencies within the given bounds: a passage that a third of all documents hold makes
+    its own words frequent, and must still be told from the words around it. The answer check asks for the words of
     answer_col if given, else for the quarter of an item's words that are rarest in the corpus. Items without a word
     are left out.
     """
     spark = benchmark.sparkSession
-    idf = np.where(df <= max(1.0, common * n_docs), np.log((1.0 + n_docs) / (1.0 + df)), 0.0)
+    idf = np.clip(np.log((1.0 + n_docs) / (1.0 + df)), *weights)
     cols = [F.col(id_col).alias("item"), F.col(text_col).cast("string").alias("text"), (F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")).alias("answer")]
     got = benchmark.select(*cols).distinct().orderBy("item", "text").collect()
     ids, words, answers = [], [], []
@@ -151,7 +152,6 @@ def build_index(benchmark: DataFrame, df: np.ndarray, n_docs: int, rank: int = 6
         a, _ = word_terms([r.answer])
         answers.append(np.unique(a) if len(a) else np.unique(t)[np.argsort(-idf[np.unique(t)], kind="stable")[: max(1, len(t) // 4)]])
     used = np.unique(np.concatenate(words)) if words else np.empty(0, np.int64)
-    used = used[idf[used] > 0]
     row = np.full(TERMS, -1, np.int64)
     row[used] = np.arange(len(used))
     if not len(used):
