@@ -173,6 +173,15 @@ def test_exact_and_reworded_passages_are_found_and_others_kept(spark, docs):
     assert len(got & want) >= 0.95 * len(want) and not {d for d, _ in got if d < 10_000}
 
 
+def test_decontamination_in_blocks_of_items(spark):
+    from tests.conftest import SF
+    from voxlake.llm.decontamination import find_leaks
+
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole, parts = ({(r.doc_id, r.item_id) for r in find_leaks(docs, items, k).collect()} for k in (1000, 15))
+    assert whole and whole == parts
+
+
 def test_decontamination_edges(spark, edge, empty):
     from voxlake.llm.decontamination import find_leaks
 

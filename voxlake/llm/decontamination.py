@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import keyed_texts, map_arrow, slices, table
 TERMS = 1 << 17
 #: Words of half a window; windows are two halves long and move on by one.
 HALF = 16
+#: Windows whose cosines a task holds at once, and benchmark items of one block: both bound the matrix and the broadcast.
+WINDOWS, ITEMS = 1 << 13, 1 << 12
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -209,6 +212,7 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Index = sent.value
         items, weight = np.ascontiguousarray(x.items.T), x.idf**2
+        words, answers = [w.tolist() for w in x.words], [a.tolist() for a in x.answers]
         for batch in slices(batches, "text"):
             ids, out = batch["doc_id"].to_pylist(), []
             terms, at = word_terms(batch["text"].to_pylist())
@@ -228,19 +232,28 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
             norm = np.append(np.bincount(half, weight[terms], minlength=n), 0.0)
             owner = np.repeat(np.arange(len(ids)), halves)
             joins = np.append(owner[1:] == owner[:-1], False)  # the next half belongs to the same document
-            z2, norm2 = z[:-1] + z[1:] * joins[:, None], norm[:-1] + norm[1:] * joins
-            near = z2 @ items / np.sqrt(np.maximum(norm2, 1e-12))[:, None]
             best: dict[tuple[int, int], tuple] = {}
-            for w, i in zip(*np.nonzero(near >= cosine), strict=True):
-                d, item = int(owner[w]), x.words[i]
-                lo = (int(w) - int(base[d])) * HALF
-                from_, to = max(0, lo - len(item)), min(int(count[d]), lo + 2 * HALF + len(item))
-                region = terms[at[d] + from_ : at[d] + to]
-                share = lcs(item.tolist(), region.tolist()) / len(item)
-                there = float(np.isin(x.answers[i], region).mean())
-                if share >= lcs_share and there >= answer_share:
-                    now = (share, float(near[w, i]), -lo, there)
-                    best[d, int(i)] = max(best.get((d, int(i)), now), now)
+            for first_window in range(0, n, WINDOWS):
+                part = slice(first_window, min(n, first_window + WINDOWS))
+                after = slice(part.start + 1, part.stop + 1)
+                z2, norm2 = z[part] + z[after] * joins[part, None], norm[part] + norm[after] * joins[part]
+                near = z2 @ items / np.sqrt(np.maximum(norm2, 1e-12))[:, None]
+                for w, i in zip(*(v.tolist() for v in np.nonzero(near >= cosine)), strict=True):
+                    d, item = int(owner[part.start + w]), words[i]
+                    lo = (part.start + w - int(base[d])) * HALF
+                    from_, to = max(0, lo - len(item)), min(int(count[d]), lo + 2 * HALF + len(item))
+                    region = terms[at[d] + from_ : at[d] + to].tolist()
+                    held = set(region)
+                    # no subsequence is longer than the number of the item's words that are there
+                    if sum(map(held.__contains__, item)) < lcs_share * len(item):
+                        continue
+                    there = sum(map(held.__contains__, answers[i])) / len(answers[i])
+                    if there < answer_share:
+                        continue
+                    share = lcs(item, region) / len(item)
+                    if share >= lcs_share:
+                        now = (share, float(near[w, i]), -lo, there)
+                        best[d, i] = max(best.get((d, i), now), now)
             for (d, i), (share, c, lo, there) in sorted(best.items()):
                 out.append((ids[d], x.item_ids[i], -lo, min(1.0, c), share, there))
             if out:
@@ -249,9 +262,13 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
     return map_arrow(keyed_texts(docs, id_col, text_col), run, FOUND)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
+    """contaminated() for a benchmark of any size: in blocks of about `items` items, each with its own latent space."""
     df, n = document_frequencies(docs)
-    return contaminated(docs, build_index(benchmark, df, n))
+    blocks = max(1, -(-benchmark.count() // items))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    found = [contaminated(docs, build_index(benchmark.where(block == k) if blocks > 1 else benchmark, df, n)) for k in range(blocks)]
+    return reduce(DataFrame.union, found)
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:
