@@ -27,6 +27,8 @@ RATE, FRAME, HOP = 4000, 512, 125
 LOW, HIGH = 110.0, 1760.0
 #: Frames that a filter looks at together.
 WIDTH = 8
+#: Codes of a block of queries or recordings in a task, and equal pairs that it holds at once.
+BLOCK, HITS = 1 << 20, 1 << 22
 
 
 @lru_cache
@@ -62,8 +64,7 @@ def chroma(x: np.ndarray) -> np.ndarray:
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] * np.hanning(FRAME)
     use, pitch = _classes()
     energy = np.abs(np.fft.rfft(frames, axis=1)[:, use]) ** 2
-    out = np.zeros((len(frames), 12))
-    np.add.at(out.T, pitch, energy.T)
+    out = energy @ (pitch[:, None] == np.arange(12))
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where(norm > 1e-6, out / np.maximum(norm, 1e-12), 0.0)
 
@@ -109,31 +110,95 @@ def fingerprints(media: DataFrame, id_col: str, audio_col: str) -> DataFrame:
     return map_arrow(media.select(F.col(id_col).cast("long").alias("id"), F.col(audio_col).alias("audio")), run, "id long, codes array<int>")
 
 
+class _Codes:
+    """Recordings of a block laid end to end: ids, codes, where each begins (one more at the end)."""
+
+    def __init__(self, ids: np.ndarray, codes: np.ndarray, at: np.ndarray):
+        self.ids, self.codes, self.at = ids, codes, at
+        owner = np.repeat(np.arange(len(ids)), np.diff(at))
+        first = np.append(True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1]))[: len(codes)]
+        use = np.flatnonzero(first)
+        order = use[np.argsort(codes[use], kind="stable")]
+        self.sorted, self.owner, self.pos = codes[order], owner[order], order - at[owner[order]]
+
+    @classmethod
+    def of(cls, t: pa.Table, id_col: str) -> _Codes:
+        lists = t["codes"].combine_chunks()
+        size = np.asarray(lists.value_lengths().fill_null(0), np.int64) if len(lists) else np.empty(0, np.int64)
+        return cls(np.asarray(t[id_col]), np.asarray(lists.flatten(), np.int32), np.append(0, np.cumsum(size)))
+
+
+def _votes(q: _Codes, m: _Codes, qr: tuple[int, int], mr: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Query, recording, offset and number of equal integers there, for the given ranges; halved while hits are too many."""
+    a, b = ((x.owner >= r[0]) & (x.owner < r[1]) for x, r in ((q, qr), (m, mr)))
+    code, own, pos = q.sorted[a], q.owner[a], q.pos[a]
+    lo = np.searchsorted(code, m.sorted[b], "left")
+    n = np.searchsorted(code, m.sorted[b], "right") - lo
+    wide_q, wide_m = qr[1] - qr[0], mr[1] - mr[0]
+    if n.sum() > HITS and max(wide_q, wide_m) > 1:
+        for half in range(2):
+            cut = lambda r: (r[0], (r[0] + r[1]) // 2) if half == 0 else ((r[0] + r[1]) // 2, r[1])  # noqa: B023, E731
+            yield from _votes(q, m, *((cut(qr), mr) if wide_q > wide_m else (qr, cut(mr))))
+        return
+    hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+    key = (own[hit] * len(m.ids) + np.repeat(m.owner[b], n)) << 32 | np.repeat(m.pos[b], n) - pos[hit] + (1 << 31)
+    key, count = np.unique(key, return_counts=True)
+    yield (key >> 32) // len(m.ids), (key >> 32) % len(m.ids), (key & 0xFFFFFFFF) - (1 << 31), count
+
+
+def block_matches(q: _Codes, m: _Codes, min_votes: int, max_bit_error: float) -> tuple[np.ndarray, ...]:
+    """Matches between two blocks: query, recording, votes, offset and share of differing bits.
+
+    The best offset of a pair has most votes, then is nearest to zero, then is the larger one.
+    """
+    out: list[tuple] = []
+    for i, j, offset, votes in _votes(q, m, (0, len(q.ids)), (0, len(m.ids))) if len(q.ids) and len(m.ids) else ():
+        use = (votes >= min_votes) & (q.ids[i] != m.ids[j])
+        i, j, offset, votes = i[use], j[use], offset[use], votes[use]
+        order = np.lexsort((-offset, np.abs(offset), -votes, j, i))
+        best = order[np.append(True, (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0))[: len(order)]]
+        for a, b, o, v in zip(i[best].tolist(), j[best].tolist(), offset[best].tolist(), votes[best].tolist(), strict=True):
+            x, y = q.codes[q.at[a] : q.at[a + 1]], m.codes[m.at[b] : m.at[b + 1]]
+            x, y = x[max(0, -o) : len(y) - o], y[max(0, o) :]
+            n = min(len(x), len(y))
+            error = int(np.bitwise_count(x[:n].view(np.uint32) ^ y[:n].view(np.uint32)).sum()) / (32.0 * n)
+            if error <= max_bit_error:
+                out.append((int(q.ids[a]), int(m.ids[b]), v, o, error))
+    cols = list(zip(*out, strict=True)) if out else [()] * 5
+    return tuple(np.array(c, np.float64 if k == 4 else np.int64) for k, c in enumerate(cols))
+
+
 def align(prints: DataFrame, is_query, min_votes: int = 5, max_bit_error: float = 0.3) -> DataFrame:
     """One row for each recording: id, class_id (least id of equal fingerprints), n_copies, n_codes, and for queries
     (rows where is_query holds) n_matches and the best match: match_id, offset, votes, bit_error (else null).
 
     Recordings of one class are compared once. Only the first of equal integers in a row is looked up, so held notes
     and silence don't multiply. A match has min_votes equal integers at its best offset and at most max_bit_error of
-    the bits differing over the frames that overlap there. Recordings without a code are one class and match nothing.
+    the bits differing over the frames that overlap there. Recordings without a code are one class and match
+    nothing, nor do those with no id but null.
+
+    Queries and recordings meet in blocks of about BLOCK codes each: a task holds one block of either, so offset
+    histograms are counted where they arise and only matches are shuffled.
     """
     keyed = prints.withColumn("key", F.sha2(F.array_join("codes", ",").cast("binary"), 256)).withColumn("asks", F.coalesce(is_query, F.lit(False)))
     kinds = keyed.groupBy("key").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_copies"), F.max("asks").alias("asks"), F.first("codes").alias("codes"))
-    spread = kinds.select("class_id", "asks", "codes", F.posexplode("codes").alias("pos", "code")).where((F.col("pos") == 0) | (F.col("code") != F.element_at("codes", F.greatest(F.col("pos"), F.lit(1)))))
-    mine = spread.where("asks").select("code", F.col("class_id").alias("q"), F.col("pos").alias("qp"))
-    theirs = spread.select("code", F.col("class_id").alias("m"), F.col("pos").alias("mp"))
-    votes = mine.join(theirs, "code").where("q <> m").groupBy("q", "m", (F.col("mp") - F.col("qp")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("q", "m").agg(F.max(F.struct("votes", -F.abs("offset"), F.col("offset").alias("o"))).alias("b")).where(F.col("b.votes") >= min_votes).select("q", "m", "b.votes", F.col("b.o").alias("offset"))
-    a = kinds.select(F.col("class_id").alias("q"), F.col("codes").alias("qc"))
-    b = kinds.select(F.col("class_id").alias("m"), F.col("codes").alias("mc"))
-    both = best.join(a, "q").join(b, "m").withColumn("lo", F.greatest(F.lit(0), -F.col("offset"))).withColumn("n", F.least(F.size("qc"), F.size("mc") - F.col("offset")) - F.col("lo"))
-    differ = F.expr("aggregate(zip_with(slice(qc, lo + 1, n), slice(mc, lo + offset + 1, n), (x, y) -> bit_count(x ^ y) - CASE WHEN (x ^ y) < 0 THEN 32 ELSE 0 END), 0, (s, v) -> s + v)")
-    scored = both.withColumn("bit_error", differ / (F.col("n") * 32.0)).where(F.col("bit_error") <= max_bit_error)
-    top = scored.groupBy("q").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("bit_error", -F.col("votes"), "m", "offset", "votes")).alias("t"))
+    some = kinds.where((F.size("codes") > 0) & F.col("class_id").isNotNull())
+    total = some.agg(F.sum(F.size("codes")).alias("all"), F.sum(F.when(F.col("asks"), F.size("codes"))).alias("ask")).first()
+    q_blocks, m_blocks = (max(1, -(-(n or 0) // BLOCK)) for n in (total.ask, total.all))
+    place = lambda n: F.pmod(F.xxhash64("key"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = some.where("asks").select(place(q_blocks).alias("qb"), F.col("class_id").alias("q"), "codes", every(m_blocks).alias("mb"))
+    theirs = some.select(place(m_blocks).alias("mb"), F.col("class_id").alias("m"), "codes", every(q_blocks).alias("qb"))
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("q", "m", "votes", "offset", "bit_error"), block_matches(_Codes.of(a, "q"), _Codes.of(b, "m"), min_votes, max_bit_error), strict=True)))
+
+    pairs = mine.groupBy("qb", "mb").cogroup(theirs.groupBy("qb", "mb")).applyInArrow(compare, "q long, m long, votes long, offset long, bit_error double")
+    top = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("n_matches"), F.min(F.struct("bit_error", -F.col("votes"), "m", "offset", "votes")).alias("t"))
     named = kinds.select("key", "class_id", "n_copies", F.size("codes").cast("long").alias("n_codes")).join(top, F.col("class_id") == F.col("q"), "left")
     out = keyed.select("id", "key", "asks").join(named, "key")
     mark = lambda c: F.when(F.col("asks"), c)
-    return out.select("id", "class_id", "n_copies", "n_codes", mark(F.coalesce("n_matches", F.lit(0))).alias("n_matches"), mark(F.col("t.m")).alias("match_id"), mark(F.col("t.offset").cast("long")).alias("offset"), mark(F.col("t.votes")).alias("votes"), mark(F.round("t.bit_error", 6)).alias("bit_error"))
+    return out.select("id", "class_id", "n_copies", "n_codes", mark(F.coalesce("n_matches", F.lit(0))).alias("n_matches"), mark(F.col("t.m")).alias("match_id"), mark(F.col("t.offset")).alias("offset"), mark(F.col("t.votes")).alias("votes"), mark(F.round("t.bit_error", 6)).alias("bit_error"))
 
 
 def melody_wav(values: list[float] | None) -> bytes | None:
