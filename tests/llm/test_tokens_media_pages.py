@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF
@@ -137,6 +138,36 @@ def test_audio_is_aligned(spark):
     assert got[4].class_id == 0 and got[2].n_matches == 2 and got[3].n_matches is None
     assert got[6].n_codes == 0 and got[6].class_id == 5 and got[6].n_matches == 0 and got[6].n_copies == 3
     assert c.align(prints.where("false"), F.lit(True)).count() == 0
+    nameless = c.align(prints.withColumn("id", F.when(F.col("id") != 0, F.col("id"))), F.lit(True)).collect()
+    assert len(nameless) == len(rows) and {r.class_id for r in nameless if r.id is None} == {4}
+    alone = c.align(prints.where("id = 3").withColumn("id", F.lit(None).cast("long")), F.lit(True)).collect()
+    assert [(r.class_id, r.n_copies, r.n_matches, r.match_id) for r in alone] == [(None, 1, 0, None)]
+
+
+def test_blocks_give_what_counting_pairs_gives(monkeypatch):
+    from collections import Counter
+
+    from voxlake.llm import chroma as c
+
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(-3, 3, n).astype(np.int32) for n in (0, 40, 25, 60, 1, 33)]
+    lists.append(np.concatenate([lists[3][7:], lists[1]]))
+    table = pa.table({"id": pa.array(range(10, 17), pa.int64()), "codes": pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))})
+    starts = [[k for k in range(len(x)) if k == 0 or x[k] != x[k - 1]] for x in lists]
+    want = {}
+    for i, x in enumerate(lists):
+        for j, y in enumerate(lists):
+            seen = Counter(b - a for a in starts[i] for b in starts[j] if x[a] == y[b])
+            votes, _, o = max(((v, -abs(o), o) for o, v in seen.items()), default=(0, 0, 0))
+            if i == j or votes < 5:
+                continue
+            pairs = [(int(x[k]) ^ int(y[k + o])) & 0xFFFFFFFF for k in range(len(x)) if 0 <= k + o < len(y)]
+            want[10 + i, 10 + j] = (votes, o, sum(map(int.bit_count, pairs)) / (32.0 * len(pairs)))
+    for hits in (c.HITS, 50):
+        monkeypatch.setattr(c, "HITS", hits)
+        block = c._Codes.of(table, "id")
+        got = {(int(q), int(m)): (int(v), int(o), float(e)) for q, m, v, o, e in zip(*c.block_matches(block, block, 5, 1.0), strict=True)}
+        assert got == want and len(want) > 10
 
 
 def test_integral_image_filters_equal_plain_sums():
