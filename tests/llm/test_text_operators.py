@@ -182,6 +182,26 @@ def test_decontamination_in_blocks_of_items(spark):
     assert whole and whole == parts
 
 
+def test_all_of_a_large_benchmark_is_found_verbatim_and_reworded(spark):
+    from voxlake.llm.decontamination import KEPT, build_index, document_frequencies, find_leaks
+
+    items = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    docs = spark.read.parquet(DOCS)
+    hosts = [r.text for r in docs.where("length(text) > 400").orderBy("doc_id").limit(50).collect()]
+    long_ = (1_000_000, " ".join(f"far{k}" for k in range(700)))
+    rows, want = [], set()
+    for item, text in [*((r.item_id, r.text) for r in items.collect()), long_]:
+        for n, words in enumerate((text.split(), [w if k % 8 else "altered" for k, w in enumerate(text.split())])):
+            host = hosts[item % 50]
+            rows.append((10 * item + n, host[:200] + "\n" + " ".join(words) + "\n" + host[200:]))
+            want.add((10 * item + n, item))
+    bench = items.select("item_id", "text").union(spark.createDataFrame([long_], "item_id long, text string"))
+    assert len(want) == 402
+    got = {(r.doc_id, r.item_id) for r in find_leaks(docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    assert len(want - got) <= 0.01 * len(want), sorted(want - got)
+    assert build_index(items, *document_frequencies(docs)).kept.min() >= KEPT
+
+
 def test_decontamination_edges(spark, edge, empty):
     from voxlake.llm.decontamination import find_leaks
 

@@ -18,14 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed_texts, map_arrow, slices, table
+from .common import keyed_texts, map_arrow, materialise, slices, table
 
 #: Hashed terms.
 TERMS = 1 << 17
 #: Words of half a window; windows are two halves long and move on by one.
 HALF = 16
-#: Windows whose cosines a task holds at once, and benchmark items of one block: both bound the matrix and the broadcast.
-WINDOWS, ITEMS = 1 << 13, 1 << 12
+#: Words of the parts of an item that windows are compared with: a window's share of a longer text's norm would be small.
+PART = 4 * HALF
+#: Windows whose cosines a task holds at once (fewer if there are over PARTS columns), and benchmark items of one block:
+#: they bound the matrix and the broadcast.
+WINDOWS, PARTS, ITEMS = 1 << 13, 1 << 9, 1 << 8
+#: The least share of its norm that each passage of the benchmark keeps in the latent space.
+KEPT = 0.9
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -80,12 +85,13 @@ def document_frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 @dataclass
 class Index:
-    """What tasks need: idf of all terms, the factors of the terms that items use, and the items."""
+    """What tasks need: idf of all terms, what each term that items use adds to each part's cosine, and the items."""
 
     idf: np.ndarray
-    row: np.ndarray  # term to its row in factors, -1 where no item uses it
-    factors: np.ndarray  # terms by rank, each row already times its idf
-    items: np.ndarray  # items by rank, each divided by its norm
+    row: np.ndarray  # term to its row in product, -1 where no item uses it
+    product: np.ndarray  # terms by parts: the factors times the items' parts, each row already times its idf
+    owner: np.ndarray  # the item of each part
+    kept: np.ndarray  # share of its norm that each passage keeps in the latent space
     item_ids: list
     words: list[np.ndarray]  # terms of each item in order
     answers: list[np.ndarray]  # the terms that an answer check asks for
@@ -136,6 +142,9 @@ def randomised_svd(passages: DataFrame, terms: int, rank: int, rounds: int = 2,
 def build_index(benchmark: DataFrame, df: np.ndarray, n_docs: int, rank: int = 64, weights: tuple[float, float] = (1.0, 3.0), id_col: str = "item_id", text_col: str = "text", answer_col: str | None = None) -> Index:
     """Fit the latent space on the benchmark's passages. The benchmark is small by nature: its items go to every task.
 
+    `rank` is the least number of factors. Factors are added until each passage keeps a share KEPT of its norm, or there
+    are as many as passages, which keep all of it.
+
     Weights are inverse document frequencies within the given bounds: a passage that a third of all documents hold makes
     its own words frequent, and must still be told from the words around it. The answer check asks for the words of
     answer_col if given, else for the quarter of an item's words that are rarest in the corpus. Items without a word
@@ -158,30 +167,43 @@ def build_index(benchmark: DataFrame, df: np.ndarray, n_docs: int, rank: int = 6
     row = np.full(TERMS, -1, np.int64)
     row[used] = np.arange(len(used))
     if not len(used):
-        return Index(idf.astype(np.float32), row, np.zeros((0, 1), np.float32), np.zeros((len(ids), 1), np.float32), ids, words, answers)
+        return Index(idf.astype(np.float32), row, np.zeros((0, 0), np.float32), np.empty(0, np.int64), np.empty(0), ids, words, answers)
+
+    def weighed(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u, n = np.unique(t[row[t] >= 0], return_counts=True)
+        w = n * idf[u]
+        return row[u], w / max(1e-12, np.linalg.norm(w))
 
     def tf_idf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights = [], []
         for batch in batches:
             for text in batch["text"].to_pylist():
-                t, _ = word_terms([text])
-                for lo in {0, *range(0, max(1, len(t) - HALF), HALF)}:  # the item's windows
-                    part = t[lo : lo + 2 * HALF]
-                    u, n = np.unique(part[row[part] >= 0], return_counts=True)
+                for t in _passages(word_terms([text])[0]):
+                    u, w = weighed(t)
                     if len(u):
-                        w = n * idf[u]
-                        terms.append(row[u])
-                        weights.append(w / np.linalg.norm(w))
+                        terms.append(u)
+                        weights.append(w)
         yield pa.record_batch([pa.array(terms, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64()))], ["terms", "weights"])
 
-    passages = map_arrow(benchmark.select(F.col(text_col).cast("string").alias("text")), tf_idf, "terms array<long>, weights array<double>")
-    rank = min(rank, len(used))
-    v = randomised_svd(passages, len(used), rank)
-    items = np.zeros((len(ids), rank))
-    for k, t in enumerate(words):
-        x = np.bincount(row[t[row[t] >= 0]], minlength=len(used)) * idf[used]
-        items[k] = x @ v / max(1e-12, np.linalg.norm(x))
-    return Index(idf.astype(np.float32), row, (v * idf[used][:, None]).astype(np.float32), items.astype(np.float32), ids, words, answers)
+    passages = materialise(map_arrow(benchmark.select(F.col(text_col).cast("string").alias("text")), tf_idf, "terms array<long>, weights array<double>"), "passages")
+    own = [weighed(t) for w in words for t in _passages(w)]
+    most = min(len(own), len(used))
+    rank = min(most, max(rank, 3 * len(ids) // 2))
+    while True:
+        v = randomised_svd(passages, len(used), rank)
+        kept = np.array([np.linalg.norm(w @ v[u]) for u, w in own])
+        if kept.min() >= KEPT or rank == most:
+            break
+        rank = min(most, 2 * rank)
+    parts = [(k, t[lo : lo + PART]) for k, t in enumerate(words) for lo in range(0, len(t), PART)]
+    latent = np.stack([w @ v[u] for u, w in (weighed(t) for _, t in parts)])
+    product = (v * idf[used][:, None]).astype(np.float32) @ latent.T.astype(np.float32)
+    return Index(idf.astype(np.float32), row, product, np.array([k for k, _ in parts]), kept, ids, words, answers)
+
+
+def _passages(t: np.ndarray) -> list[np.ndarray]:
+    """An item's windows and its parts."""
+    return [t[lo : lo + 2 * HALF] for lo in range(0, max(1, len(t) - HALF), HALF)] + [t[lo : lo + PART] for lo in range(0, len(t), PART)]
 
 
 def lcs(a: list[int], b: list[int]) -> int:
@@ -211,7 +233,7 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Index = sent.value
-        items, weight = np.ascontiguousarray(x.items.T), x.idf**2
+        weight, at_once = x.idf**2, max(64, WINDOWS * PARTS // max(PARTS, len(x.owner)))
         words, answers = [w.tolist() for w in x.words], [a.tolist() for a in x.answers]
         for batch in slices(batches, "text"):
             ids, out = batch["doc_id"].to_pylist(), []
@@ -225,20 +247,24 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
             use = np.flatnonzero(x.row[terms] >= 0)
             if not len(use) or not len(x.item_ids):
                 continue
-            z = np.zeros((n + 1, x.factors.shape[1]), np.float32)
-            h = half[use]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            z[h[first]] = np.add.reduceat(x.factors[x.row[terms[use]]], first, axis=0)
+            h, used = half[use], x.row[terms[use]]
             norm = np.append(np.bincount(half, weight[terms], minlength=n), 0.0)
             owner = np.repeat(np.arange(len(ids)), halves)
             joins = np.append(owner[1:] == owner[:-1], False)  # the next half belongs to the same document
             best: dict[tuple[int, int], tuple] = {}
-            for first_window in range(0, n, WINDOWS):
-                part = slice(first_window, min(n, first_window + WINDOWS))
+            for first_window in range(0, n, at_once):
+                part = slice(first_window, min(n, first_window + at_once))
                 after = slice(part.start + 1, part.stop + 1)
-                z2, norm2 = z[part] + z[after] * joins[part, None], norm[part] + norm[after] * joins[part]
-                near = z2 @ items / np.sqrt(np.maximum(norm2, 1e-12))[:, None]
-                for w, i in zip(*(v.tolist() for v in np.nonzero(near >= cosine)), strict=True):
+                lo_, hi_ = np.searchsorted(h, [part.start, part.stop + 1])
+                if lo_ == hi_:
+                    continue
+                z, here = np.zeros((part.stop - part.start + 1, len(x.owner)), np.float32), h[lo_:hi_]
+                first = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+                z[here[first] - part.start] = np.add.reduceat(x.product[used[lo_:hi_]], first, axis=0)
+                norm2 = norm[part] + norm[after] * joins[part]
+                near = (z[:-1] + z[1:] * joins[part, None]) / np.sqrt(np.maximum(norm2, 1e-12))[:, None]
+                for w, c in zip(*(v.tolist() for v in np.nonzero(near >= cosine)), strict=True):
+                    i = int(x.owner[c])
                     d, item = int(owner[part.start + w]), words[i]
                     lo = (part.start + w - int(base[d])) * HALF
                     from_, to = max(0, lo - len(item)), min(int(count[d]), lo + 2 * HALF + len(item))
@@ -252,7 +278,7 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
                         continue
                     share = lcs(item, region) / len(item)
                     if share >= lcs_share:
-                        now = (share, float(near[w, i]), -lo, there)
+                        now = (share, float(near[w, c]), -lo, there)
                         best[d, i] = max(best.get((d, i), now), now)
             for (d, i), (share, c, lo, there) in sorted(best.items()):
                 out.append((ids[d], x.item_ids[i], -lo, min(1.0, c), share, there))
