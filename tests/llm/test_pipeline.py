@@ -41,6 +41,36 @@ def test_each_stage_does_what_it_says(spark):
     assert cp.run(spark, SF).count() > 0
 
 
+@pytest.mark.parametrize("tile", [1 << 12, 8])
+def test_similar_documents_are_those_of_the_exact_similarity(spark, monkeypatch, tile):
+    import numpy as np
+
+    from voxlake.llm import similar
+
+    monkeypatch.setattr(similar, "TILE", tile)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(120):  # pairs of similarity about 0.7 to 0.9
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 319)]
+        other = list(words)
+        for p in np.linspace(5, 310, 4 + k % 8).astype(int):
+            other[p] = f"c{k}"
+        rows += [" ".join(words), " ".join(other)]
+    base = [f"b{x}" for x in range(150)]  # a dense group, and a passage that many hold
+    for k in range(40):
+        rows.append(" ".join(w if rng.random() > 0.02 else f"x{k}" for w in base))
+        rows.append(" ".join([*base[:25], *[f"y{k}_{x}" for x in range(rng.integers(1, 60))]]))
+    sets = [set(similar.shingle_hashes(t, 5)) for t in rows]
+    up = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if u == hi else u for u in up]
+    got = similar.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(up))
+
+
 def test_fixture_has_all_cases():
     assert {r[0] for r in edge_rows()} >= {None, 1, 5}
     assert pytest

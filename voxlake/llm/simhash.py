@@ -1,4 +1,6 @@
-"""SimHash near-dedup: fingerprints of word shingles, compared as vertical bit planes with carry-save counters."""
+"""SimHash near-dedup: fingerprints of word shingles, compared as vertical bit planes with carry-save counters.
+
+Exact similarities of shingle sets are in similar.py."""
 
 from __future__ import annotations
 
@@ -260,19 +262,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, words: int = 1, radius: int
     return fps.join(named.select("node", "root").join(least, "root").drop("root"), "node").select("doc_id", "node", "fp", "component_id")
 
 
-def wide_radius(similarity: float, words: int) -> int:
-    """Bits that differ on average between fingerprints of texts whose shingle sets have this Jaccard similarity."""
-    return round(64 * words * float(np.arccos(2 * similarity / (1 + similarity))) / float(np.pi))
-
+def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """similar.similar_documents(): links by exact similarity."""
+    from .similar import similar_documents as exact
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, size: int = 5, words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """near_duplicates() of texts whose sets of five-word shingles are at least so similar, by fingerprints of 512 bits.
-
-    The similarity is told from the differing bits, give or take 0.04 (one standard deviation at 0.8), so the radius is
-    that of a similarity 0.02 lower. Pairs are looked for among fingerprints that agree on one of 32 blocks of 16 bits:
-    nine tenths of pairs of similarity 0.8 and 99 % of those of 0.9 do.
-    """
-    return near_duplicates(docs, size, words, wide_radius(similarity - 0.02, words), 4 * words, 1, id_col, text_col)
+    return exact(docs, similarity, size, id_col, text_col)
 
 
 def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
