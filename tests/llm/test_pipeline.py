@@ -71,6 +71,24 @@ def test_similar_documents_are_those_of_the_exact_similarity(spark, monkeypatch,
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(up))
 
 
+def test_rows_that_share_an_id_are_decided_each_on_its_own(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 300 AND lang = 'en'").orderBy("doc_id").limit(24)
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    texts = [r.text for r in docs.collect()]
+    rows = [(None if k % 2 else 7, f"first {k}\n{t}" + ("\nsaid in many of them" if k < 20 else ""), "en", "s", 0) for k, t in enumerate(texts)]
+    bad = [(None, None, "en", "s", 0), (7, "12345", "en", "s", 0), (None, texts[0] + "\n" + leak, "en", "s", 0), (7, leak, "en", "s", 0)]
+    start = spark.createDataFrame(rows + bad, docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    assert sorted(r.text for r in cp.keep_languages(spark, start, SF).collect()) == sorted(r[1] for r in rows + bad[2:])
+    clean = spark.createDataFrame(rows, start.schema)
+    assert sorted(r.text for r in cp.drop_lines(spark, clean, SF).collect()) == sorted(r[1].replace("\nsaid in many of them", "") for r in rows)
+    alone = cp.drop_leaks(spark, start.where("text IS NOT NULL"), SF)
+    assert not {r[1] for r in bad[2:]} & {r.text for r in alone.collect()} and alone.where("text LIKE 'first%'").count() >= 20
+    near = cp.drop_near_duplicates(spark, clean.union(clean), SF)
+    assert near.count() == near.select("text").distinct().count() >= 20
+
+
 def test_fixture_has_all_cases():
     assert {r[0] for r in edge_rows()} >= {None, 1, 5}
     assert pytest
