@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -39,3 +40,36 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == windowed_statistics(events, ["event_type"]).count()
+
+
+@pytest.mark.parametrize("name", ["t_exponentiate", "t_invert_field", "t_velocity_field", "t_linear_spline_all"])
+def test_all_images_and_voxels_are_processed(spark, name):
+    from tests.conftest import SF
+    from voxlake.plans.registry import PLANS
+    from voxlake.plans.views import img2d
+
+    want = {tuple(r) for r in img2d(spark, SF).select("image_id", "x", "y").collect()}
+    rows = PLANS[name](spark, SF).collect()
+    assert len(rows) == len(want) and {(r.image_id, r.x, r.y) for r in rows} == want
+    if name == "t_linear_spline_all":
+        e = {r.vec_id: np.array(r.embedding, float).reshape(8, 8) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+        for r in rows:
+            a, b = r.x / 2 + 1, r.y / 2 + 1
+            x, y, v = int(a), int(b), 0.0
+            for i in (0, 1):
+                for j in (0, 1):
+                    v += (e[r.image_id][y + j, x + i] + (x + i) * 2 - 2) * (a - x if i else 1 - a + x) * (b - y if j else 1 - b + y)
+            assert abs(v - r.vx) < 2e-6
+
+
+def test_all_images_are_averaged(spark):
+    from tests.conftest import SF
+    from voxlake.plans.registry import PLANS
+
+    total = np.zeros((7, 7))
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    for r in rows:
+        e = np.array(r.embedding, float).reshape(8, 8)
+        total += (e[:7, :7] * 0.75 + e[:7, 1:] * 0.25) if r.vec_id % 2 else e[:7, :7]
+    got = {(r.x, r.y): r.value for r in PLANS["w_average_all_images"](spark, SF).collect()}
+    assert len(got) == 64 and all(np.isnan(got[k]) if 7 in k else abs(got[k] - total[k[1], k[0]] / len(rows)) < 2e-6 for k in got)

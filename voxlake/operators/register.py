@@ -103,11 +103,20 @@ def spline_registration(reference: DataFrame, floating: DataFrame, axes: list[st
     return nodes, best
 
 
-def average_images(images: DataFrame, matrices: dict[int, np.ndarray], axes: list[str]) -> DataFrame:
-    """Mean of images (image_id, axes, value) after each is warped by its own matrix; NaN where none is defined."""
+def average_images(images: DataFrame, matrices: dict[int, np.ndarray] | DataFrame, axes: list[str]) -> DataFrame:
+    """Mean of images (image_id, axes, value) after each is warped by its own matrix; NaN where none is defined.
+
+    Matrices of many images come as a DataFrame: image_id and the first three rows as m0 to m11.
+    """
+    if isinstance(matrices, DataFrame):
+        return _average(images, matrices, axes)
     spark = images.sparkSession
     rows = [(int(i), *[float(x) for x in np.asarray(m)[:3].ravel()]) for i, m in matrices.items()]
     table = spark.createDataFrame(rows, "image_id long, " + ", ".join(f"m{k} double" for k in range(12)))
+    return _average(images, table, axes)
+
+
+def _average(images: DataFrame, table: DataFrame, axes: list[str]) -> DataFrame:
     c = [F.col(a) if a in axes else F.lit(0.0) for a in "xyz"]
     at = {f"p{a}": F.col(f"m{4 * r}") * c[0] + F.col(f"m{4 * r + 1}") * c[1] + F.col(f"m{4 * r + 2}") * c[2] + F.col(f"m{4 * r + 3}") for r, a in enumerate("xyz") if a in axes}
     points = images.join(table, "image_id").withColumns(at)

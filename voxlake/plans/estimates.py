@@ -107,6 +107,16 @@ q(
 )
 
 
+
+def _moved(s, d):
+    """A matrix for each image: those of odd numbers move by a quarter of a voxel."""
+    one = {k: F.lit(float(k in (0, 5, 10))) for k in range(12)} | {3: (F.abs(F.col("image_id")) % 2) * 0.25}
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("image_id")).distinct().select("image_id", *[one[k].alias(f"m{k}") for k in range(12)])
+
+
+q("w_average_all_images", lambda s, d: register.average_images(img2d(s, d), _moved(s, d), AXES).select("x", "y", r6("value").alias("value")))
+
+
 def blob(s, n=32, dx=0.0, dy=0.0):
     """A picture with structure at several scales, moved by (dx, dy)."""
     x, y = F.col("x") - dx, F.col("y") - dy

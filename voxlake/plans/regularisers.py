@@ -77,6 +77,8 @@ q(
     f"WITH {NODES} SELECT i.image_id, i.x, i.y, round((a.vx + b.vx) / 2, 6) + 0.0 AS vx, round((a.vy + b.vy) / 2, 6) + 0.0 AS vy FROM img2d i JOIN n a ON a.image_id = i.image_id AND a.x = i.x // 2 + 1 AND a.y = i.y // 2 + 1 JOIN n b ON b.image_id = i.image_id AND b.x = i.x // 2 + 2 AND b.y = i.y // 2 + 1 WHERE i.x % 2 = 1 AND i.y % 2 = 0",
 )
 
+q("t_linear_spline_all", lambda s, d: _out(g.linear_spline_field(img2d(s, d), nodes(img2d(s, d)), KEY, AXES, 2), "vx", "vy"))
+
 
 def _tensors(s, d):
     """The first six values of each image as a tensor with a heavy diagonal."""
@@ -89,4 +91,4 @@ q(
     lambda s, d: g.tensor_exp(g.tensor_log(_tensors(s, d))).select("image_id", *[r6(f"d{k}").alias(f"d{k}") for k in range(6)]),
     "SELECT vec_id AS image_id, " + ", ".join(f"round(CAST(embedding[{k + 1}] AS DOUBLE) + {3 if k in (0, 2, 5) else 0}, 6) + 0.0 AS d{k}" for k in range(6)) + " FROM embeddings",
 )
-q("t_velocity_field", lambda s, d: _out(g.velocity_field(img2d(s, d).where("image_id % 10 = 0").select(*ON), img2d(s, d).where("image_id % 10 = 0").withColumns({"vx": F.col("value"), "vy": -F.col("value")}), KEY, AXES, 2, {"x": 8, "y": 8}), "vx", "vy"))
+q("t_velocity_field", lambda s, d: _out(g.velocity_field(img2d(s, d).select(*ON), img2d(s, d).withColumns({"vx": F.col("value"), "vy": -F.col("value")}), KEY, AXES, 2, {"x": 8, "y": 8}), "vx", "vy"))
