@@ -71,6 +71,23 @@ def test_similar_documents_are_those_of_the_exact_similarity(spark, monkeypatch,
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(up))
 
 
+def test_texts_in_unlearned_languages_go_and_clean_ones_stay(spark):
+    import numpy as np
+
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(0)
+    drawn = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(60))
+    foreign = [drawn(x) for x in ("абвгдежзиклмнопрст", "αβγδεζηθικλμ", "的一是不了人我在有他", "abcdefghijklmnopqrstuvwxyz")]
+    foreign.append("wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa")
+    foreign.append("kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    planted = spark.createDataFrame([(10**9 + k, t, None, "s", len(t)) for k, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in cp.keep_languages(spark, docs.union(planted), SF).select("doc_id").collect()}
+    assert not [k for k in range(len(foreign)) if 10**9 + k in kept]
+    assert len(kept) >= 0.998 * docs.count()
+
+
 def test_rows_that_share_an_id_are_decided_each_on_its_own(spark):
     import corpus_pipeline as cp
 

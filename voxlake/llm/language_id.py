@@ -122,9 +122,10 @@ def fit(labelled: DataFrame, landmarks: int = 160, sample: int = 3000, ridge: fl
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every whole text; score is the winning regression's value moved from -1..1 to 0..1.
+    """doc_id, lang_pred, score, margin of every whole text; score is the winning regression's value moved from -1..1 to
+    0..1, margin what it exceeds the next one's by (-1 if there is none).
 
-    Null texts, texts without a letter, and any text if the model has no language give `und` and 0. Ties go to the
+    Null texts, texts without a letter, and any text if the model has no language give `und` and 0 twice. Ties go to the
     first language in alphabetical order. Repeated rows and null ids are kept; other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -133,16 +134,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         m = sent.value
         for batch in slices(batches, "text"):
             texts = batch["text"].to_pylist()
-            lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            lang, score, margin = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             some = [k for k, t in enumerate(texts) if m.langs and t and _LETTER.search(t)]
             if some:
                 s = m.scores([texts[k] for k in some])
                 best = s.argmax(1)
-                for k, b, v in zip(some, best.tolist(), s[np.arange(len(some)), best].tolist(), strict=True):
-                    lang[k], score[k] = m.langs[b], (min(1.0, max(-1.0, v)) + 1) / 2
-            yield pa.record_batch([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                by_value = np.sort(np.hstack([s, np.full((len(some), 1), -1.0)]) if s.shape[1] == 1 else s, axis=1)
+                apart = (by_value[:, -1] - by_value[:, -2]).tolist()
+                for k, b, v, a in zip(some, best.tolist(), s[np.arange(len(some)), best].tolist(), apart, strict=True):
+                    lang[k], score[k], margin[k] = m.langs[b], (min(1.0, max(-1.0, v)) + 1) / 2, a
+            yield pa.record_batch([batch["doc_id"], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["doc_id", "lang_pred", "score", "margin"])
 
-    return map_arrow(keyed_texts(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double")
+    return map_arrow(keyed_texts(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double, margin double")
 
 
 def held_out(id_col: str = "doc_id"):
