@@ -29,6 +29,8 @@ PART = 4 * HALF
 #: Windows whose cosines a task holds at once (fewer if there are over PARTS columns), and benchmark items of one block:
 #: they bound the matrix and the broadcast.
 WINDOWS, PARTS, ITEMS = 1 << 13, 1 << 9, 1 << 8
+#: Half-windows that are added up at once: what is added stays in a core's cache.
+AT_ONCE = 1 << 9
 #: The least share of its norm that each passage of the benchmark keeps in the latent space.
 KEPT = 0.9
 
@@ -234,7 +236,10 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x: Index = sent.value
         weight, at_once = x.idf**2, max(64, WINDOWS * PARTS // max(PARTS, len(x.owner)))
-        words, answers = [w.tolist() for w in x.words], [a.tolist() for a in x.answers]
+        words = [w.tolist() for w in x.words]
+        product = np.concatenate([x.product, np.zeros((1, len(x.owner)), np.float32)])  # the last row: no word of an item
+        buffer = np.empty((AT_ONCE, len(x.owner)), np.float32)
+        owners, held = x.owner.tolist(), np.zeros(TERMS, bool)
         for batch in slices(batches, "text"):
             ids, out = batch["doc_id"].to_pylist(), []
             terms, at = word_terms(batch["text"].to_pylist())
@@ -258,25 +263,31 @@ def contaminated(docs: DataFrame, index: Index, cosine: float = 0.3, lcs_share:
                 lo_, hi_ = np.searchsorted(h, [part.start, part.stop + 1])
                 if lo_ == hi_:
                     continue
-                z, here = np.zeros((part.stop - part.start + 1, len(x.owner)), np.float32), h[lo_:hi_]
-                first = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
-                z[here[first] - part.start] = np.add.reduceat(x.product[used[lo_:hi_]], first, axis=0)
+                # words of a half side by side, so that halves are added up word by word, all at once
+                slots = np.full((HALF, part.stop - part.start + 1), len(product) - 1)
+                slots[place[use[lo_:hi_]] % HALF, h[lo_:hi_] - part.start] = used[lo_:hi_]
+                z = np.empty((slots.shape[1], len(x.owner)), np.float32)
+                for lo in range(0, len(z), AT_ONCE):
+                    sums, more = z[lo : lo + AT_ONCE], buffer[: len(z) - lo]
+                    for k, slot in enumerate(slots[:, lo : lo + AT_ONCE]):
+                        product.take(slot, axis=0, out=more if k else sums, mode="clip")
+                        if k:
+                            sums += more
                 norm2 = norm[part] + norm[after] * joins[part]
                 near = (z[:-1] + z[1:] * joins[part, None]) / np.sqrt(np.maximum(norm2, 1e-12))[:, None]
                 for w, c in zip(*(v.tolist() for v in np.nonzero(near >= cosine)), strict=True):
-                    i = int(x.owner[c])
-                    d, item = int(owner[part.start + w]), words[i]
-                    lo = (part.start + w - int(base[d])) * HALF
+                    i, d = owners[c], int(owner[part.start + w])
+                    item, lo = x.words[i], (part.start + w - int(base[d])) * HALF
                     from_, to = max(0, lo - len(item)), min(int(count[d]), lo + 2 * HALF + len(item))
-                    region = terms[at[d] + from_ : at[d] + to].tolist()
-                    held = set(region)
+                    region = terms[at[d] + from_ : at[d] + to]
+                    held[region] = True
                     # no subsequence is longer than the number of the item's words that are there
-                    if sum(map(held.__contains__, item)) < lcs_share * len(item):
+                    enough = np.count_nonzero(held[item]) >= lcs_share * len(item)
+                    there = np.count_nonzero(held[x.answers[i]]) / len(x.answers[i]) if enough else 0.0
+                    held[region] = False
+                    if not enough or there < answer_share:
                         continue
-                    there = sum(map(held.__contains__, answers[i])) / len(answers[i])
-                    if there < answer_share:
-                        continue
-                    share = lcs(item, region) / len(item)
+                    share = lcs(words[i], region.tolist()) / len(item)
                     if share >= lcs_share:
                         now = (share, float(near[w, c]), -lo, there)
                         best[d, i] = max(best.get((d, i), now), now)
