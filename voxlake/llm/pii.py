@@ -47,6 +47,7 @@ KINDS = [
     Kind("phone", "+", r"\+[0-9][ ().0-9-]+[0-9]", f"(length({_DIGITS}) BETWEEN 9 AND 15)", "phone|call|tel|mobile|fax|telefon", 0.6, 0.0),
     Kind("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", f"(length({_BARE}) BETWEEN 15 AND 34 AND {_MOD97})", "iban|account|bank|konto|compte|cuenta", 0.7, 0.5),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "(substring(m, 1, 3) NOT IN ('000', '666') AND substring(m, 1, 1) <> '9' AND substring(m, 5, 2) <> '00' AND substring(m, 8, 4) <> '0000')", "ssn|social|security|taxpayer|tin", 0.3, 0.5),
+    Kind("secret", "[0-9A-Za-z_-]{20}", r"(?<![0-9A-Za-z_-])(?:[0-9a-f]{32,128}+|AKIA[0-9A-Z]{16}|gh[a-z]_[0-9A-Za-z]{36,}+|sk-[0-9A-Za-z_-]{20,}+)(?![0-9A-Za-z_-])", "true", "token|secret|key|password|passwd|bearer|credential", 0.3, 0.5),
 ]
 BASE = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
@@ -71,7 +72,7 @@ def _spans(kind: Kind) -> Column:
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and one array of spans for each kind (email, ip, card, phone, iban, ssn), ordered by start.
+    """doc_id, text and one array of spans for each kind (email, ip, card, phone, iban, ssn, secret), ordered by start.
 
     Null text counts as empty. Rows are handled one by one: repeated rows and null ids are kept, an empty table gives
     no row, other columns are not read, and nothing is shuffled.
@@ -84,4 +85,4 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_spans(table(spark, sf_dir, "documents"))
     listed = lambda names: F.array_join(F.transform(F.concat(*names), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(listed(BASE).cast("binary"), 256).alias("base_sha256"), listed([k.name for k in KINDS]).alias("spans"))
+    return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE], F.sha2(listed(BASE).cast("binary"), 256).alias("base_sha256"), listed([k.name for k in KINDS]).alias("spans"), sum((F.size(k.name) for k in KINDS), F.lit(0)).cast("long").alias("n_found"))
