@@ -245,10 +245,10 @@ def test_personal_spans_edges(spark, edge, empty):
     from voxlake.llm.pii import personal_spans
 
     assert personal_spans(edge).count() == len(edge_rows()) and personal_spans(empty).count() == 0
-    rows = [(0, "1" * 30_000), (1, "a" * 60_000 + "@"), (2, "+1" + " " * 50_000), (3, "1-" * 30_000), (4, "iban DE89 3704 0044 0532 0130 00 or DE89 3704 0044 0532 0130 01"), (5, "ssn 078-05-1120"), (6, "part 078-05-1120")]
+    rows = [(0, "1" * 30_000), (1, "a" * 60_000 + "@"), (2, "+1" + " " * 50_000), (3, "1-" * 30_000), (4, "iban DE89 3704 0044 0532 0130 00 or DE89 3704 0044 0532 0130 01"), (5, "ssn 078-05-1120"), (6, "part 078-05-1120"), (7, 'my token = "' + "0f" * 20 + '"'), (8, "sum " + "0f" * 20), (9, "api key AKIA" + "B2" * 8 + ".")]
     got = {r.doc_id: r for r in personal_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [s.value for s in got[4].iban] == ["DE89 3704 0044 0532 0130 00"] and got[4].iban[0].score == 1.0
-    assert len(got[5].ssn) == 1 and not got[6].ssn and not any(got[i].card for i in range(4))
+    assert len(got[5].ssn) == 1 and not got[6].ssn and [len(got[i].secret) for i in (0, 7, 8, 9)] == [0, 1, 0, 1] and not any(got[i].card for i in range(4))
 
 
 # --- line dedup
@@ -262,19 +262,30 @@ def test_perfect_hash():
         assert sorted(PerfectHash.build(keys).slots(keys).tolist()) == list(range(len(keys)))
 
 
+def test_index_of_lines_that_share_half_their_hash(spark):
+    from voxlake.llm.line_dedup import Shard, build_index
+
+    (r,) = build_index(spark.createDataFrame([(7, 1, 10), (7, 2, 11), (9, 1, 12)], "h1 long, h2 long, n long"), 3).collect()
+    got = Shard(r.n, r.turn, bytes(r.seeds), bytes(r.fingerprints), bytes(r.counts)).count(np.array([[7, 1], [7, 2], [9, 1], [9, 3]], "<u8"))
+    assert r.turn > 0 and got.tolist() == [10, 11, 12, 0]
+
+
 def test_lines_against_sql(spark, duck):
     from voxlake.llm.line_dedup import OP7_SQL, op7_query
 
     assert rows_of(op7_query(spark, SF)) == rows_of_sql(duck, OP7_SQL)
 
 
-def test_lines_edges_and_both_ways(spark, edge, empty):
+def test_lines_edges_and_both_ways(spark, edge, empty, monkeypatch):
+    from voxlake.llm import line_dedup
     from voxlake.llm.line_dedup import drop_common_lines
 
     common = spark.createDataFrame([(100 + i, f" Shared LINE\t\nown {i}\n\nshared line") for i in range(12)], "doc_id long, text string")
     df = edge.select("doc_id", "text", "mark", "shard", "hits").unionByName(common, allowMissingColumns=True)
     one = by_id(drop_common_lines(df), "text", "n_lines", "n_dropped")
     assert one == by_id(drop_common_lines(df, max_broadcast_bytes=0), "text", "n_lines", "n_dropped")
+    monkeypatch.setattr(line_dedup, "GROUP", 1 << 10)
+    assert one == by_id(drop_common_lines(df, max_broadcast_bytes=0), "text", "n_lines", "n_dropped")
     got = {r[0]: r[1:] for r in one}
     assert got[103] == ["own 3\n", 4, 2] and got[1] == ["", 1, 0] and got[3] == [" \n\t \n", 3, 0] and len(one) == len(edge_rows()) + 12
     assert drop_common_lines(empty).count() == 0

@@ -20,7 +20,8 @@ from .common import keyed_texts, map_arrow, materialise, slices, table
 #: The ASCII blanks that are stripped from a key.
 BLANKS = b" \t\n\x0b\x0c\r"
 KEYS_A_SHARD = 1 << 15
-SALTS = 16
+#: Bytes of hashes that a salted group gets, about.
+GROUP = 16 << 20
 
 
 def line_hashes(text: str | None) -> tuple[list[bytes], np.ndarray]:
@@ -91,17 +92,22 @@ class PerfectHash:
         return np.where(d < 0, -1 - d, at)
 
 
-INDEX = "shard long, n long, seeds binary, fingerprints binary, counts binary"
+INDEX = "shard long, n long, turn long, seeds binary, fingerprints binary, counts binary"
+
+
+def _keys(h1: np.ndarray, h2: np.ndarray, turn: int) -> np.ndarray:
+    """Keys of the perfect hash: the first half of a line's hash, and from turn 1 on mixed with the second one."""
+    return h1 + np.uint64(turn) * _mix(h2) if turn else h1
 
 
 class Shard:
-    def __init__(self, n: int, seeds: bytes, fingerprints: bytes, counts: bytes):
-        self.hash = PerfectHash(np.frombuffer(seeds, "<i8"), n)
+    def __init__(self, n: int, turn: int, seeds: bytes, fingerprints: bytes, counts: bytes):
+        self.hash, self.turn = PerfectHash(np.frombuffer(seeds, "<i8"), n), turn
         self.fingerprints, self.counts = np.frombuffer(fingerprints, "<u8"), np.frombuffer(counts, "<u4")
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """How many documents hold each line of h (n by 2), 0 if the shard doesn't know it."""
-        at = self.hash.slots(h[:, 0])
+        at = self.hash.slots(_keys(h[:, 0], h[:, 1], self.turn))
         return np.where(self.fingerprints[at] == h[:, 1], self.counts[at], 0)
 
 
@@ -114,7 +120,7 @@ def line_counts(docs: DataFrame, min_docs: int, id_col: str = "doc_id", text_col
 
         def flush() -> pa.RecordBatch:
             both = np.concatenate(parts).astype("<u8").tobytes()
-            u, n = np.unique(np.frombuffer(both, "S16" if False else np.dtype("V16")).view([("a", "<u8"), ("b", "<u8")]), return_counts=True)
+            u, n = np.unique(np.frombuffer(both, "V16").view([("a", "<u8"), ("b", "<u8")]), return_counts=True)
             return pa.record_batch([pa.array(u["a"].view("<i8")), pa.array(u["b"].view("<i8")), pa.array(n.astype(np.int64))], ["h1", "h2", "n"])
 
         for batch in slices(batches, "text"):
@@ -141,14 +147,14 @@ def build_index(counts: DataFrame, n_keys: int) -> DataFrame:
     def build(group: pa.Table) -> pa.Table:
         h1, h2 = (np.asarray(group[c]).astype("<i8").view("<u8") for c in ("h1", "h2"))
         n = np.asarray(group["n"])
-        _, first = np.unique(h1, return_index=True)
-        if len(first) != len(h1):  # two lines share the first half: leave none out
-            raise ValueError("two line hashes agree in 64 bits within a shard; use another hash seed")
-        hashed = PerfectHash.build(h1)
-        at = hashed.slots(h1)
+        turn = 0
+        while len(np.unique(keys := _keys(h1, h2, turn))) < len(h1):  # lines that share the first half
+            turn += 1
+        hashed = PerfectHash.build(keys)
+        at = hashed.slots(keys)
         fingerprints, counts = np.zeros(len(h1), "<u8"), np.zeros(len(h1), "<u4")
         fingerprints[at], counts[at] = h2, np.minimum(n, 0xFFFFFFFF)
-        return pa.table({"shard": group["shard"][:1], "n": [len(h1)], "seeds": [hashed.seeds.astype("<i8").tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()]}, pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("seeds", pa.binary()), ("fingerprints", pa.binary()), ("counts", pa.binary())]))
+        return pa.table({"shard": group["shard"][:1], "n": [len(h1)], "turn": [turn], "seeds": [hashed.seeds.astype("<i8").tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()]}, pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("turn", pa.int64()), ("seeds", pa.binary()), ("fingerprints", pa.binary()), ("counts", pa.binary())]))
 
     sharded = counts.withColumn("shard", F.shiftrightunsigned("h1", 64 - bits) if bits else F.lit(0).cast("long"))
     return sharded.groupBy("shard").applyInArrow(build, INDEX)
@@ -182,7 +188,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
     index = materialise(build_index(counts, n_keys), "line-index")
     texts = keyed_texts(docs, id_col, text_col)
     if n_keys * 24 <= max_broadcast_bytes:
-        sent = spark.sparkContext.broadcast({r.shard: (r.n, bytes(r.seeds), bytes(r.fingerprints), bytes(r.counts)) for r in index.collect()})
+        sent = spark.sparkContext.broadcast({r.shard: (r.n, r.turn, bytes(r.seeds), bytes(r.fingerprints), bytes(r.counts)) for r in index.collect()})
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards = {k: Shard(*v) for k, v in sent.value.items()}
@@ -202,6 +208,10 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
 
         return map_arrow(texts, probe, KEPT)
 
+    # lines are hashes of 16 bytes, dealt to shards evenly
+    n_lines = texts.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    salts = max(1, -(-n_lines * 16 // (GROUP << bits)))
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out = []
@@ -209,13 +219,13 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
                 h = line_hashes(t)[1]
                 h = np.unique(h[h.any(1)], axis=0)
                 where = _shard_of(h, bits)
-                out += [(int(s), mark % SALTS, doc_id, mark, h[where == s].tobytes()) for s in np.unique(where)]
+                out += [(int(s), mark % salts, doc_id, mark, h[where == s].tobytes()) for s in np.unique(where)]
             yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "salt", "doc_id", "mark", "hashes"])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, marks, hits = [], [], []
         if left.num_rows and right.num_rows:
-            shard = Shard(*(right[c][0].as_py() for c in ("n", "seeds", "fingerprints", "counts")))
+            shard = Shard(*(right[c][0].as_py() for c in ("n", "turn", "seeds", "fingerprints", "counts")))
             for doc_id, mark, raw in zip(left["doc_id"].to_pylist(), left["mark"].to_pylist(), left["hashes"].to_pylist(), strict=True):
                 h = np.frombuffer(raw, "<u8").reshape(-1, 2)
                 h = h[shard.count(h) >= min_docs]
@@ -237,7 +247,7 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id
 
     marked = texts.withColumn("mark", F.xxhash64("doc_id", "text"))
     probes = map_arrow(marked, send, "shard long, salt long, doc_id long, mark long, hashes binary")
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     hits = probes.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInArrow(answer, "doc_id long, mark long, hits binary")
     # rows that are equal in id and text share a mark and have equal hits
     gathered = hits.groupBy("doc_id", "mark").agg(F.collect_set("hits").alias("hits"))
