@@ -35,6 +35,8 @@ MASK_DELTA = 0xA282EAD8
 #: Fixed value: the reflected Castagnoli polynomial.
 CASTAGNOLI = 0x82F63B78
 _LANE = 256
+#: Bytes of text whose ids a file holds, about.
+FILE_BYTES = 128 << 20
 
 
 def _byte_table() -> np.ndarray:
@@ -147,9 +149,14 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, i
     Null or empty texts give the end id alone; null ids come first; rows with equal ids follow each other in
     the order of their texts. An empty input gives no frame. Only the id and text columns are read.
     The files are written by Spark's own committed writer, so a task that is run again leaves no second copy.
+    Unless their number is given there are as many files as shuffle partitions, and so many more that a file holds the
+    ids of about FILE_BYTES of text, which a task can read at once.
     """
     spark = docs.sparkSession
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files
+    if not n:
+        held = keyed_texts(docs, id_col, text_col).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
