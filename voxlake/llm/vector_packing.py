@@ -25,6 +25,10 @@ class Limits:
     loss_tokens: int = 2048
 
 
+#: Documents in a sequence of the registered query: attention masks by segment stay small, also where texts are a few words.
+SEGMENTS = 64
+
+
 @dataclass
 class Piece:
     doc: int  # place in the caller's list of documents
@@ -181,4 +185,4 @@ def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, limits: Limits
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_texts(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1)
+    return pack_texts(table(spark, sf_dir, "documents"), default_tokenizer(), end_id=1, limits=Limits(segments=SEGMENTS))
