@@ -23,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (plain local runs) is a temporary one made and set.
+    Only where the session names none and all runs on this machine is a temporary one made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="voxlake-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -56,6 +58,13 @@ def table_path(df: DataFrame) -> str:
     return os.path.dirname(df.inputFiles()[0]) if df.inputFiles() else ""
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote. Only for those that nothing reads any more: what came of them is written."""
+    for df in tables:
+        if path := table_path(df):
+            remove_path(df.sparkSession, path)
+
+
 def keyed_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and text only, whatever else the input carries."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -24,22 +24,26 @@ def ssd(pair: DataFrame, keys: list[str], weight: Column | None = None, factor:
     return defined(pair).groupBy(*keys).agg((-factor * safe_div(F.sum((F.col("value") - F.col("w")) * (F.col("value") - F.col("w")) * m), F.sum(m))).alias("measure"))
 
 
+def ranges(a: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """a with _lo_<column> and _hi_<column>, the range of each key; NaN doesn't count.
+
+    The ranges are one row a key, combined on the map side, and joined back by key: no task gets a whole image, and
+    where the ranges are small Spark broadcasts them.
+    """
+    found = a.groupBy(*keys).agg(*[f(known(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
+    return a.join(found, keys)
+
+
 def jointly_normalised(pair: DataFrame, keys: list[str]) -> DataFrame:
     """Both images moved to [0, 1] by the range that they share."""
-    w = W.partitionBy(*keys)
-    lo = F.least(F.min(known("value")).over(w), F.min(known("w")).over(w))
-    hi = F.greatest(F.max(known("value")).over(w), F.max(known("w")).over(w))
-    return pair.withColumns({"value": safe_div(F.col("value") - lo, hi - lo), "w": safe_div(F.col("w") - lo, hi - lo)})
+    lo, hi = F.least("_lo_value", "_lo_w"), F.greatest("_hi_value", "_hi_w")
+    return ranges(pair, keys, ["value", "w"]).withColumns({c: safe_div(F.col(c) - lo, hi - lo) for c in ("value", "w")}).select(pair.columns)
 
 
 def in_bins(pair: DataFrame, keys: list[str], bins: int = 68) -> DataFrame:
     """Each image rescaled to [2, bins - 3], as joint histograms ask for."""
-    w = W.partitionBy(*keys)
-    out = {}
-    for c in ("value", "w"):
-        lo, hi = F.min(known(c)).over(w), F.max(known(c)).over(w)
-        out[c] = safe_div(F.col(c) - lo, hi - lo) * (bins - 5) + 2
-    return pair.withColumns(out)
+    out = {c: safe_div(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * (bins - 5) + 2 for c in ("value", "w")}
+    return ranges(pair, keys, ["value", "w"]).withColumns(out).select(pair.columns)
 
 
 def joint_histogram(pair: DataFrame, keys: list[str], bins: int = 68, exact: bool = False) -> DataFrame:

@@ -3,35 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import known, valid
 from .measures import block_variance
+from .order import order_statistics, ranks
 
 
 def top_blocks(a: DataFrame, keys: list[str], axes: list[str], percent: float, side: int = 4) -> DataFrame:
     """The given share of an image's usable blocks with the largest variance; place 1 is the largest, ties by position."""
     b = block_variance(a, keys, axes, side).where("usable")
     names = [f"b{x}" for x in axes]
-    w = W.partitionBy(*keys)
-    ranked = b.withColumn("place", F.row_number().over(w.orderBy(F.desc("variance"), *reversed(names)))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("place") <= F.floor(F.col("_n") * percent / 100)).drop("_n")
+    ranked = ranks(b.withColumn("_v", -F.col("variance")), keys, "_v", list(reversed(names)))
+    return ranked.where(F.col("_rank") <= F.floor(F.col("_n") * percent / 100)).withColumn("place", F.col("_rank").cast("int")).drop("_v", "_n", "_rank")
 
 
 def trim(a: DataFrame, keys: list[str], order: list[str], percent: float) -> DataFrame:
-    """The given share of rows with the least `residual`, ties by the order columns."""
-    w = W.partitionBy(*keys)
-    ranked = a.withColumn("_p", F.row_number().over(w.orderBy("residual", *order))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_p") <= F.floor(F.col("_n") * percent / 100)).drop("_p", "_n")
+    """The given share of rows with the least `residual`, ties by the order columns. NaN residuals don't count."""
+    ranked = ranks(a, keys, "residual", order)
+    return ranked.where(F.col("_rank") <= F.floor(F.col("_n") * percent / 100)).drop("_rank", "_n")
 
 
 def robust_range(a: DataFrame, keys: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Values at the sorted places round(n low) and round(n high)."""
-    w = W.partitionBy(*keys)
-    r = a.where(valid("value")).withColumn("_r", F.row_number().over(w.orderBy("value")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda q: F.max(F.when(F.col("_r") == F.least(F.floor(F.col("_n") * q + 0.5), F.col("_n") - 1), F.col("value")))
-    return r.groupBy(*keys).agg(at(low).alias("low"), at(high).alias("high"))
+    at = lambda q: lambda n: F.least(F.floor(n * q + 0.5), n - 1)
+    return order_statistics(a, keys, "value", {"low": at(low), "high": at(high)})
 
 
 def match_blocks(reference: DataFrame, warped: DataFrame, keys: list[str], axes: list[str], blocks: DataFrame, reach: int = 3, side: int = 4) -> DataFrame:

@@ -8,10 +8,11 @@ image is needed, and treat NaN as a missing value.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import INF, NAN, clamp, half_away, known, safe_div, safe_ln, truncated, valid
+from ..functions.scalar import INF, NAN, clamp, half_away, safe_div, safe_ln, truncated
+from .measures import ranges
+from .order import order_statistics
 
 OPERATIONS = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": safe_div}
 
@@ -33,9 +34,8 @@ def image_with_value(a: DataFrame, op: str, number: float, slope=1.0, inter=0.0)
 
 def rescale(a: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """Each volume's range moved to [low, high]; NaN is left out of the range and stays."""
-    w = W.partitionBy(*keys)
-    lo, hi = F.min(known("value")).over(w), F.max(known("value")).over(w)
-    return a.withColumn("value", safe_div(F.col("value") - lo, hi - lo) * (high - low) + low)
+    lo, hi = F.col("_lo_value"), F.col("_hi_value")
+    return ranges(a, keys, ["value"]).withColumn("value", safe_div(F.col("value") - lo, hi - lo) * (high - low) + low).select(a.columns)
 
 
 def apply_scaling(a: DataFrame, slope: float, inter: float) -> DataFrame:
@@ -93,11 +93,9 @@ def replace_nan_inf(a: DataFrame, by: float, compat: bool = False) -> DataFrame:
 
 def robust_normalise(a: DataFrame, keys: list[str], low: float = 0.03, high: float = 0.97) -> DataFrame:
     """Less the value at the sorted place floor(low n), over the distance to that at floor(high n), per image."""
-    w = W.partitionBy(*keys)
-    ranked = a.withColumn("_r", F.row_number().over(w.orderBy("value")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda q: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q), F.col("value"))).over(w)
-    lo, hi = at(low), at(high)
-    return ranked.withColumn("value", safe_div(F.col("value") - lo, hi - lo)).drop("_r", "_n")
+    found = order_statistics(a, keys, "value", {"_lo": lambda n: F.floor(n * low), "_hi": lambda n: F.floor(n * high)})
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return a.join(found, keys).withColumn("value", safe_div(F.col("value") - lo, hi - lo)).select(a.columns)
 
 
 def log_image(a: DataFrame) -> DataFrame:
@@ -106,18 +104,17 @@ def log_image(a: DataFrame) -> DataFrame:
 
 def channels_to_rgb(a: DataFrame, keys: list[str]) -> DataFrame:
     """Time points 0, 1, 2 as red, green, blue, each rescaled to 0..255 over the whole series and rounded."""
-    w = W.partitionBy(keys[0])
-    lo, hi = F.min(known("value")).over(w), F.max(known("value")).over(w)
+    lo, hi = F.col("_lo_value"), F.col("_hi_value")
     level = half_away(safe_div(F.col("value") - lo, hi - lo) * 255).cast("int")
     pick = lambda t: F.coalesce(F.max(F.when(F.col("t") == t, F.col("_v"))), F.lit(0))
-    return a.withColumn("_v", level).groupBy(*keys).agg(pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"))
+    return ranges(a, keys[:1], ["value"]).withColumn("_v", level).groupBy(*keys).agg(pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"))
 
 
 def signed_to_rgb(a: DataFrame, keys: list[str]) -> DataFrame:
     """Positive values in green, negative ones in red, as shares of the largest magnitude."""
-    most = F.max(F.abs(known("value"))).over(W.partitionBy(*keys))
+    most = F.greatest(F.abs("_lo_value"), F.abs("_hi_value"))
     level = half_away(safe_div(F.abs(F.col("value")), most) * 255).cast("int")
-    return a.withColumn("r", F.when(F.col("value") < 0, level).otherwise(F.lit(0))).withColumn("g", F.when(F.col("value") > 0, level).otherwise(F.lit(0))).withColumn("b", F.lit(0)).drop("value")
+    return ranges(a, keys, ["value"]).withColumn("r", F.when(F.col("value") < 0, level).otherwise(F.lit(0))).withColumn("g", F.when(F.col("value") > 0, level).otherwise(F.lit(0))).withColumn("b", F.lit(0)).drop("value", "_lo_value", "_hi_value")
 
 
 def world(m: list[float], axes=("x", "y", "z")) -> list[Column]:
@@ -158,7 +155,3 @@ def checker_lines(spark: SparkSession, dim: tuple[int, int, int], every: int, ax
     for a in axes:
         on = on | (F.col(a) % every == 0)
     return grid(spark, *dim).withColumn("value", F.when(on, F.lit(1.0)).otherwise(F.lit(0.0)))
-
-
-def both_defined(a: str = "value", b: str = "w") -> Column:
-    return valid(a) & valid(b)
