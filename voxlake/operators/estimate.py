@@ -8,52 +8,91 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import b_spline, b_spline_slope, known, safe_div
+from ..functions.scalar import b_spline, b_spline_slope, known, safe_div, valid
 from . import matrix
 from .lineage import cut
 from .measures import defined
 
 AX = ("x", "y", "z")
+#: Bins of residuals in a pass, and residuals that the driver looks at.
+BINS, FEW = 1 << 12, 1 << 14
 
 
-def moments(pairs: DataFrame, d: int) -> DataFrame:
-    """One row with the sums that a least-squares fit of w<axis> by r<axis> needs."""
+def _sums(d: int) -> list:
     r, w = [F.col(f"r{a}") for a in AX[:d]], [F.col(f"w{a}") for a in AX[:d]]
     cols = [F.count(F.lit(1)).alias("n")]
     cols += [F.sum(c).alias(f"s{n}{i}") for n, v in (("r", r), ("w", w)) for i, c in enumerate(v)]
     cols += [F.sum(r[i] * r[j]).alias(f"rr{i}{j}") for i in range(d) for j in range(i, d)]
-    cols += [F.sum(r[i] * w[j]).alias(f"rw{i}{j}") for i in range(d) for j in range(d)]
-    return pairs.agg(*cols)
+    return cols + [F.sum(r[i] * w[j]).alias(f"rw{i}{j}") for i in range(d) for j in range(d)]
+
+
+def moments(pairs: DataFrame, d: int) -> DataFrame:
+    """One row with the sums that a least-squares fit of w<axis> by r<axis> needs."""
+    return pairs.agg(*_sums(d))
 
 
-def _fit(pairs: DataFrame, d: int, rigid: bool) -> np.ndarray:
-    m = moments(pairs, d).first()
+def _fit(m, d: int, rigid: bool) -> np.ndarray:
     sx, sy = np.array([m[f"sr{i}"] for i in range(d)]), np.array([m[f"sw{i}"] for i in range(d)])
     sxx = np.array([[m[f"rr{min(i, j)}{max(i, j)}"] for j in range(d)] for i in range(d)])
     sxy = np.array([[m[f"rw{i}{j}"] for j in range(d)] for i in range(d)])
     return (matrix.rigid_from_moments if rigid else matrix.affine_from_moments)(float(m["n"]), sx, sy, sxx, sxy)
 
 
+def _kth_least(rows: DataFrame, k: int, low: float, high: float) -> float:
+    """The k-th least value (from 1) of _e. Values are counted in bins between low and high, where it is expected; only
+    those of its bin are looked at one by one."""
+    while True:
+        width = (high - low) / BINS
+        place = F.least(F.floor((F.col("_e") - low) / width), F.lit(BINS - 1)) if width > 0 else F.lit(0)
+        binned = rows.withColumn("_b", F.when(F.col("_e") < low, F.lit(-1)).when(F.col("_e") > high, F.lit(BINS)).otherwise(place).cast("int"))
+        before = 0
+        for b, n in sorted((r["_b"], r["count"]) for r in binned.groupBy("_b").count().collect()):
+            if before + n >= k:
+                break
+            before += n
+        rows, k = binned.where(F.col("_b") == b).drop("_b"), k - before
+        if n <= FEW:
+            return sorted(r[0] for r in rows.select("_e").collect())[k - 1]
+        low, high = rows.agg(F.min("_e"), F.max("_e")).first()
+        if low == high:
+            return low
+
+
+#: Pairs that a fit needs: a rigid one, an affine one in two and in three dimensions.
+LEAST = {True: {2: 4, 3: 4}, False: {2: 6, 3: 8}}
+
+
 def trimmed_fit(pairs: DataFrame, d: int = 3, percent: float = 50, rigid: bool = False, rounds: int = 30, tolerance: float = 0.001) -> np.ndarray:
     """Least trimmed squares transformation from points r<axis> to w<axis>.
 
     All points are fitted first; then the given share with the least residuals is fitted again, until the sum of these
-    residuals stops falling. Each round is one aggregate for the trim limit and one for the moments; only sums reach
-    the driver. The limit is the exact order statistic, found by percentile over the residuals' distribution, with rows
-    on the limit all taken.
+    squared residuals stops falling. A round counts residuals in bins, looks at the bin of the trim limit, and takes the
+    moments and the sum of the kept pairs in one aggregate; only bins and sums reach the driver. The limit is the exact
+    order statistic, with rows on the limit all taken.
+
+    Pairs with a NaN or null don't count. With fewer pairs than LEAST, or none at all, the identity is returned.
     """
-    pairs = cut(pairs.select(*[f"{p}{a}" for p in "rw" for a in AX[:d]]))
-    now, last = _fit(pairs, d, rigid), float("inf")
+    names = [f"{p}{a}" for p in "rw" for a in AX[:d]]
+    pairs = cut(pairs.select(*names).where(reduce(lambda p, q: p & q, [valid(c) for c in names])))
+    first = moments(pairs, d).first()
+    if first["n"] < LEAST[rigid][d]:
+        return np.eye(4)
+    now, last, limit = _fit(first, d, rigid), float("inf"), None
+    keep = max(LEAST[rigid][d], int(first["n"] * percent / 100))
+    before = now
     for _ in range(rounds):
         e = [reduce(lambda p, q: p + q, [F.col(f"r{AX[j]}") * float(now[i, j]) for j in range(d)]) + float(now[i, 3]) - F.col(f"w{AX[i]}") for i in range(d)]
-        res = pairs.withColumn("_e", F.sqrt(reduce(lambda p, q: p + q, [c * c for c in e])))
-        limit = res.agg(F.percentile("_e", F.lit(percent / 100))).first()[0]
-        kept = res.where(F.col("_e") <= limit)
-        total = kept.agg(F.sum("_e")).first()[0]
-        if last - total < tolerance:
-            return now if total <= last else before
-        before, last = now, total
-        now = _fit(kept, d, rigid)
+        res = pairs.withColumn("_e", reduce(lambda p, q: p + q, [c * c for c in e]))
+        if limit is None:
+            low, high = res.agg(F.min("_e"), F.max("_e")).first()
+        else:
+            low, high = limit / 2, limit * 1.5
+        limit = _kth_least(res, keep, low, high)
+        got = res.where(F.col("_e") <= limit).agg(*_sums(d), F.sum("_e").alias("total")).first()
+        if last - got["total"] < tolerance:
+            return now if got["total"] <= last else before
+        before, last = now, got["total"]
+        now = _fit(got, d, rigid)
     return now
 
 

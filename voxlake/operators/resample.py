@@ -1,69 +1,83 @@
-"""Interpolation: an image read at arbitrary points, by joining each point with the taps around it.
+"""Interpolation: an image read at arbitrary points.
 
 Points carry key columns, an id of their own (any columns) and voxel coordinates px, py (and pz) in the source image.
-Every point is multiplied with its taps, taps meet the source on whole coordinates, and the weighted sum is taken by
-point: two exchanges however large the images are. Taps outside the source count as the padding value.
+Points and the voxels around them meet on tiles with a halo, where the taps are added up in arrays: one exchange of
+either, and no row for a tap. Taps outside the source count as the padding value.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clamp, known, tap_weights, valid
+from ..functions.scalar import CATMULL_ROM, CATMULL_ROM_D, LINEAR, LINEAR_D, clamp
+from . import tiles
+
+#: Samples that a kernel holds at once.
+SAMPLES = 1 << 18
 
 
-def _taps(points: DataFrame, axes: list[str], order: int, derivative: str | None = None) -> DataFrame:
-    """Rows of points times taps: t<axis> (whole coordinates) and _k (weight)."""
-    out = points
-    for a in axes:
-        p = F.col(f"p{a}")
-        weights, before = tap_weights(p - F.floor(p), order, derivative == a)
-        out = out.withColumn("_ws", F.array(*weights))
-        if order == 4:  # weights of the windowed sinc don't add up to one by themselves
-            out = out.withColumn("_sum", F.aggregate("_ws", F.lit(0.0), lambda s, w: s + w)).withColumn("_ws", F.transform("_ws", lambda w: w / F.col("_sum"))).drop("_sum")
-        out = out.select("*", F.posexplode("_ws").alias("_i", "_w1")).withColumn(f"_t{a}", F.struct((F.floor(p) - before + F.col("_i")).cast("int").alias("t"), F.col("_w1").alias("k"))).drop("_ws", "_i", "_w1")
-    k = F.lit(1.0)
-    for a in axes:
-        k = k * F.col(f"_t{a}.k")
-    return out.withColumn("_k", k).withColumns({f"t{a}": F.col(f"_t{a}.t") for a in axes}).drop(*[f"_t{a}" for a in axes])
+def _weights(order: int, derivative: bool = False):
+    """Function of fractions (n,) that gives the taps' weights (taps, n), taps before floor(p), and their number."""
+    if order == 0:
+        return lambda f: np.stack([f < 0.5, f >= 0.5]).astype(float), 0, 2
+    if order in (1, 3):
+        table = {(1, False): LINEAR, (1, True): LINEAR_D, (3, False): CATMULL_ROM, (3, True): CATMULL_ROM_D}[order, derivative]
+        return lambda f: np.stack([np.polyval(c, f) * np.ones_like(f) for c in table]), order // 2, order + 1
+    if order == 4 and not derivative:
 
+        def sinc(f: np.ndarray) -> np.ndarray:
+            x = f - np.arange(-2, 4)[:, None]
+            w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+            return w / w.sum(0)
 
-def _source(source: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
-    """The source with its axes renamed, as points may carry columns of these names."""
-    return source.select(*keys, *[F.col(a).alias(f"_a{a}") for a in axes], "value")
+        return sinc, 2, 6
+    raise ValueError("interpolation orders are 0, 1, 3 and (values only) 4")
 
 
 def resample(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], order: int = 1, padding: float = 0.0, derivative: str | None = None, limits: tuple[float, float] | None = None) -> DataFrame:
     """keys, point columns, value. derivative names an axis along which the weights' slope is used instead.
 
     A padding of NaN makes every point NaN that misses a tap, also one of weight 0. limits: the element type's range.
+    Points and the parts of the source around them meet on tiles (tiles.py), in one exchange of each.
     """
-    taps = _taps(points.select(*keys, *point, *[f"p{a}" for a in axes]), axes, order, derivative).select(*keys, *point, "_k", *[F.col(f"t{a}").alias(f"_a{a}") for a in axes])
-    met = taps.join(_source(source, keys, axes), [*keys, *[f"_a{a}" for a in axes]], "left")
-    got = met.groupBy(*keys, *point).agg(F.sum(F.coalesce("value", F.lit(float(padding))) * F.col("_k")).alias("value"))
+    each = [_weights(order, derivative == a) for a in axes]
+    _, before, count = each[0]
+
+    def kernel(p, dense, origin, _):
+        values, there = dense
+        values = np.where(there, values, padding)
+        out = np.zeros(len(p))
+        for at, k in tiles.taps(p, origin, [w for w, _, _ in each], before, count):
+            out += values[at] * k
+        return [out]
+
+    at = [f"p{a}" for a in axes]
+    got = tiles.on_tiles(points.select(*keys, *point, *at), source, keys, axes, at, (before, count - before - 1), kernel, "value double", [*keys, *point], ["value"])
     return got.withColumn("value", clamp(F.col("value"), *limits)) if limits else got
 
 
 def image_gradient(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], order: int = 1, padding: float = 0.0) -> DataFrame:
     """g<axis>: slope of the interpolated source at each point along each axis; not defined: 0."""
-    # one pass: the taps carry a weight for every axis
-    out = points.select(*keys, *point, *[f"p{a}" for a in axes])
-    for a in axes:
-        p = F.col(f"p{a}")
-        w, before = tap_weights(p - F.floor(p), order)
-        d, _ = tap_weights(p - F.floor(p), order, True)
-        out = out.withColumn(f"_t{a}", F.explode(F.array(*[F.struct((F.floor(p) - before + i).cast("int").alias("t"), x.alias("k"), y.alias("d")) for i, (x, y) in enumerate(zip(w, d, strict=True))])))
-    weights = {}
-    for a in axes:
-        k = F.lit(1.0)
-        for b in axes:
-            k = k * F.col(f"_t{b}.{'d' if a == b else 'k'}")
-        weights[a] = k
-    taps = out.select(*keys, *point, *[F.col(f"_t{a}.t").alias(f"_a{a}") for a in axes], *[k.alias(f"_k{a}") for a, k in weights.items()])
-    met = taps.join(_source(source, keys, axes), [*keys, *[f"_a{a}" for a in axes]], "left")
-    v = F.coalesce("value", F.lit(float(padding)))
-    return met.groupBy(*keys, *point).agg(*[F.coalesce(known(F.sum(v * F.col(f"_k{a}"))), F.lit(0.0)).alias(f"g{a}") for a in axes])
+    value, before, count = _weights(order)
+    slope = _weights(order, True)[0]
+
+    def kernel(p, dense, origin, _):
+        values, there = dense
+        values = np.where(there, values, padding)
+        out = []
+        for k in range(len(axes)):
+            g = np.zeros(len(p))
+            for at, w in tiles.taps(p, origin, [slope if j == k else value for j in range(len(axes))], before, count):
+                g += values[at] * w
+            out.append(np.where(np.isnan(g), 0.0, g))
+        return out
+
+    at = [f"p{a}" for a in axes]
+    return tiles.on_tiles(points.select(*keys, *point, *at), source, keys, axes, at, (before, count - before - 1), kernel, ", ".join(f"g{a} double" for a in axes), [*keys, *point], ["value"])
 
 
 def downsample(a: DataFrame, axes: list[str]) -> DataFrame:
@@ -101,13 +115,26 @@ def isotropic(spacing: list[float], dim: list[int]) -> tuple[float, list[int], l
 def psf_resample(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], sigma: dict[str, float], padding: float = float("nan")) -> DataFrame:
     """Values seen through a Gaussian point spread: each point is the weighted mean of linear samples on a grid of
     half-sigma steps out to two sigmas. Samples outside the source don't count; a point without any gets the padding."""
-    spread = points.select(*keys, *point, *[f"p{a}" for a in axes]).withColumn("_w", F.lit(1.0))
-    for a in axes:
-        s = float(sigma[a])
-        steps = [i / 2 for i in range(-4, 5)] if s > 0 else [0.0]
-        spread = spread.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i * s).alias("d"), F.exp(F.lit(-0.5 * i * i)).alias("k")) for i in steps])))
-        spread = spread.withColumns({f"p{a}": F.col(f"p{a}") + F.col("_s.d"), "_w": F.col("_w") * F.col("_s.k")}).drop("_s")
-    taps = _taps(spread, axes, 1).withColumn("_k", F.col("_k") * F.col("_w"))
-    met = taps.select(*keys, *point, "_k", *[F.col(f"t{a}").alias(f"_a{a}") for a in axes]).join(_source(source.where(valid("value")), keys, axes), [*keys, *[f"_a{a}" for a in axes]], "left")
-    seen = F.when(F.col("value").isNotNull(), F.col("_k"))
-    return met.groupBy(*keys, *point).agg(F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("_k")), F.sum(seen)), F.lit(padding)).alias("value"))
+    linear, _, _ = _weights(1)
+    steps = [[(i / 2 * float(sigma[a]), np.exp(-0.5 * i * i / 4)) for i in range(-4, 5)] if sigma[a] > 0 else [(0.0, 1.0)] for a in axes]
+    moves = np.array([[x for x, _ in m] for m in product(*steps)])
+    gains = np.array([np.prod([w for _, w in m]) for m in product(*steps)])
+    reach = int(np.ceil(2 * max(sigma[a] for a in axes))) + 1
+
+    def kernel(p, dense, origin, _):
+        values, there = dense
+        there = there & ~np.isnan(values)
+        values = np.where(there, values, 0.0)
+        total, seen = np.zeros(len(p)), np.zeros(len(p))
+        some = max(1, SAMPLES // max(1, len(p)))  # samples of each point that are read at once
+        for lo in range(0, len(moves), some):
+            part, g = moves[lo : lo + some], gains[lo : lo + some]
+            q = (p[:, None, :] + part).reshape(-1, len(axes))
+            for at, k in tiles.taps(q, origin, [linear] * len(axes), 0, 2):
+                k = k.reshape(-1, len(part)) * g
+                total += (values[at].reshape(k.shape) * k).sum(1)
+                seen += (there[at].reshape(k.shape) * k).sum(1)
+        return [np.where(seen > 0, total / np.where(seen > 0, seen, 1.0), padding)]
+
+    at = [f"p{a}" for a in axes]
+    return tiles.on_tiles(points.select(*keys, *point, *at), source, keys, axes, at, (reach, reach + 1), kernel, "value double", [*keys, *point], ["value"])

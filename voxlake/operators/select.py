@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import product
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import known, valid
+from ..functions.scalar import valid
 from .measures import block_variance
 from .order import order_statistics, ranks
+from .tiles import on_tiles
 
 
 def top_blocks(a: DataFrame, keys: list[str], axes: list[str], percent: float, side: int = 4) -> DataFrame:
@@ -33,20 +37,60 @@ def robust_range(a: DataFrame, keys: list[str], low: float = 0.02, high: float =
 def match_blocks(reference: DataFrame, warped: DataFrame, keys: list[str], axes: list[str], blocks: DataFrame, reach: int = 3, side: int = 4) -> DataFrame:
     """For each chosen block the displacement (d<axis>) with the largest absolute correlation in +-reach voxels.
 
-    reference rows of the chosen blocks are multiplied with the offsets (7 an axis), meet the warped image on shifted
-    places, and six moments a block and offset are summed before the best is picked; ties go to the first offset in
-    raster order. Pairs of over half a block's voxels count.
+    Chosen blocks of the reference meet the warped image on tiles (tiles.py), where all blocks of a tile are compared at
+    once for each displacement. Ties go to the first displacement in raster order. Pairs of over half a block's voxels
+    count.
     """
-    names, shift = [f"b{x}" for x in axes], [f"d{x}" for x in axes]
-    at = reference.withColumns({n: F.floor(F.col(x) / side).cast("int") for n, x in zip(names, axes, strict=True)}).where(valid("value"))
-    rows = at.join(blocks.select(*keys, *names), [*keys, *names], "left_semi")
-    for s in shift:
-        rows = rows.withColumn(s, F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-    asked = rows.select(*keys, *names, *shift, F.col("value").alias("_r"), *[(F.col(x) + F.col(s)).alias(x) for x, s in zip(axes, shift, strict=True)])
-    met = asked.join(warped.select(*keys, *axes, known("value").alias("_w")), [*keys, *axes]).where(F.col("_w").isNotNull())
-    r, w = F.col("_r"), F.col("_w")
-    moments = met.groupBy(*keys, *names, *shift).agg(F.count(F.lit(1)).alias("n"), F.abs(F.corr(r, w)).alias("ncc"))
-    good = moments.where((F.col("n") > side ** len(axes) // 2) & valid("ncc"))
-    order = F.struct(F.round("ncc", 9).alias("c"), *[(-F.col(s)).alias(s) for s in reversed(shift)])
-    best = good.groupBy(*keys, *names).agg(F.max(order).alias("b"))
-    return best.select(*keys, *names, F.col("b.c").alias("ncc"), *[(-F.col(f"b.{s}")).alias(s) for s in shift])
+    names, shift, d = [f"b{x}" for x in axes], [f"d{x}" for x in axes], len(axes)
+    at = reference.where(valid("value")).withColumns({n: F.floor(F.col(x) / side).cast("int") for n, x in zip(names, axes, strict=True)})
+    rows = at.join(blocks.select(*keys, *names), [*keys, *names], "left_semi").select(*keys, *names, *axes, F.col("value").alias("_r"))
+    n_side = {1: 1024, 2: 64, 3: 16}[d] // side * side
+
+    def kernel(p, dense, origin, rows):
+        warped, there = dense
+        here = p.astype(np.int64) - origin
+        inner, blocks_a_side = n_side, n_side // side
+        ref = np.full((inner,) * d, np.nan)
+        ref[tuple((here - reach).T)] = rows["_r"].to_numpy()
+        block = ((here - reach) // side) @ (blocks_a_side ** np.arange(d - 1, -1, -1))
+        _, first = np.unique(block, return_index=True)
+        sums = lambda x: _by_block(x, side)
+        ok = ~np.isnan(ref)
+        usual = sums(np.where(ok, ref, 0.0)) / np.maximum(sums(ok.astype(float)), 1)
+        r0 = np.where(ok, ref - _spread(usual, side), 0.0)
+        best, move = np.full((blocks_a_side,) * d, -1.0), np.zeros((d, *(blocks_a_side,) * d))
+        for step in product(range(-reach, reach + 1), repeat=d):
+            step = step[::-1]  # raster order: the first axis runs fastest
+            w = warped[tuple(slice(reach + s, reach + s + inner) for s in step)]
+            both = ok & ~np.isnan(w)
+            n = sums(both.astype(float))
+            many = np.maximum(n, 1)
+            w = np.where(both, w, 0.0)
+            w0 = np.where(both, w - _spread(sums(w) / many, side), 0.0)
+            r = np.where(both, r0, 0.0)
+            cov, vr, vw = sums(r * w0), sums(r * r) - sums(r) ** 2 / many, sums(w0 * w0)
+            good = (n > side**d // 2) & (vr > 1e-300) & (vw > 1e-300)
+            ncc = np.where(good, np.round(np.abs(cov) / np.sqrt(np.where(good, vr * vw, 1.0)), 9), -1.0)
+            more = ncc > best
+            best = np.where(more, ncc, best)
+            for k, x in enumerate(step):
+                move[k] = np.where(more, x, move[k])
+        use = first[best.ravel()[block[first]] >= 0]
+        found = block[use]
+        return [best.ravel()[found], *(m.ravel()[found].astype(np.int32) for m in move)], use
+
+    out = "ncc double, " + ", ".join(f"{s} int" for s in shift)
+    return on_tiles(rows, warped.where(valid("value")), keys, axes, axes, (reach, reach), kernel, out, [*keys, *names], ["value"], n_side)
+
+
+def _by_block(x: np.ndarray, side: int) -> np.ndarray:
+    """Sums over blocks of side voxels along each axis."""
+    for axis in range(x.ndim):
+        x = np.add.reduceat(x, np.arange(0, x.shape[axis], side), axis=axis)
+    return x
+
+
+def _spread(x: np.ndarray, side: int) -> np.ndarray:
+    for axis in range(x.ndim):
+        x = np.repeat(x, side, axis=axis)
+    return x

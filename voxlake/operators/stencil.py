@@ -9,11 +9,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import known, safe_div, valid
+from .tiles import on_tiles
 
 
 def kernel(kind: str, sigma: float) -> list[float]:
@@ -57,23 +59,41 @@ def convolve(a: DataFrame, keys: list[str], axes: list[str], sigmas: dict[str, f
     return out.withColumn("value", F.when(F.col("_ok"), safe_div(F.col("_v"), F.col("_d"))).otherwise(F.lit(float("nan")))).drop("_v", "_d", "_ok")
 
 
-def offsets(axes: list[str], weights: dict[str, list[float]]) -> Column:
-    """Array of (d<axis>..., k): all offsets of a product kernel with their weights."""
-    rows = [({}, 1.0)]
-    for a in axes:
-        r = len(weights[a]) // 2
-        rows = [({**o, a: i}, k * x) for o, k in rows for i, x in zip(range(-r, r + 1), weights[a], strict=True) if x]
-    return F.array(*[F.struct(*[F.lit(o[a]).alias(f"d{a}") for a in axes], F.lit(float(k)).alias("k")) for o, k in rows])
-
-
 def label_filter(a: DataFrame, keys: list[str], axes: list[str], variance: float) -> DataFrame:
-    """Label with the largest Gaussian vote around each voxel, the least one on ties; variances in voxels."""
+    """Label with the largest Gaussian vote around each voxel, the least one on ties; variances in voxels.
+
+    Voxels meet those around them on tiles (tiles.py); a tile's labels are smoothed one after the other. Voxels that no
+    label reaches are left out.
+    """
     r = int(3 * math.sqrt(variance))
     k = [math.exp(-0.5 * i * i / variance) / math.sqrt(2 * math.pi * variance) for i in range(-r, r + 1)]
-    cast = a.where(valid("value")).select(*keys, *axes, "value", F.explode(offsets(axes, {x: k for x in axes})).alias("o"))
-    votes = cast.select(*keys, "value", "o.k", *[(F.col(x) + F.col(f"o.d{x}")).alias(x) for x in axes]).groupBy(*keys, *axes, "value").agg(F.sum("k").alias("vote"))
-    best = votes.groupBy(*keys, *axes).agg(F.max(F.struct(F.round("vote", 12).alias("v"), (-F.col("value")).alias("l"))).alias("b"))
-    return a.drop("value").join(best.select(*keys, *axes, (-F.col("b.l")).alias("value")), [*keys, *axes])
+
+    def kernel(p, dense, origin, rows):
+        labels = dense[0]
+        at = tuple((p.astype(np.int64) - origin).T)
+        best, label = np.zeros(len(p)), np.zeros(len(p))
+        for x in np.unique(labels[~np.isnan(labels)]):  # ascending, so that the least label keeps a tie
+            vote = (labels == x).astype(float)
+            for axis in range(len(axes)):
+                vote = sum(w * _moved(vote, i, axis) for i, w in zip(range(-r, r + 1), k, strict=True))
+            here = np.round(vote[at], 12)
+            label = np.where(here > best, x, label)
+            best = np.maximum(best, here)
+        return [label[best > 0]], np.flatnonzero(best > 0)
+
+    got = on_tiles(a.select(*keys, *axes), a, keys, axes, axes, (r, r), kernel, "value double", [*keys, *axes], ["value"])
+    rest = [c for c in a.columns if c not in (*keys, *axes, "value")]
+    return (a.select(*keys, *axes, *rest).join(got, [*keys, *axes]) if rest else got).select(a.columns)
+
+
+def _moved(x: np.ndarray, by: int, axis: int) -> np.ndarray:
+    """x moved by whole places along an axis, zeros moving in."""
+    out = np.zeros_like(x)
+    n = x.shape[axis]
+    to, source = [slice(None)] * x.ndim, [slice(None)] * x.ndim
+    to[axis], source[axis] = slice(max(0, -by), n - max(0, by)), slice(max(0, by), n - max(0, -by))
+    out[tuple(to)] = x[tuple(source)]
+    return out
 
 
 def gradient(a: DataFrame, keys: list[str], axes: list[str], padding: float = 0.0) -> DataFrame:
