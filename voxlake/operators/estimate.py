@@ -12,6 +12,7 @@ from ..functions.scalar import b_spline, b_spline_slope, known, safe_div, valid
 from . import matrix
 from .lineage import cut
 from .measures import defined
+from .stencil import convolve_components
 
 AX = ("x", "y", "z")
 #: Bins of residuals in a pass, and residuals that the driver looks at.
@@ -110,6 +111,33 @@ def kld_gradient(pair: DataFrame, keys: list[str], axes: list[str]) -> DataFrame
     return pair.join(n, keys).withColumns({f"g{a}": F.coalesce(known(k * F.col(f"s{a}")), F.lit(0.0)) for a in axes}).drop("_n")
 
 
+def lncc_gradient(pair: DataFrame, keys: list[str], axes: list[str], sigma: float = -5.0, kind: str = "gauss") -> DataFrame:
+    """g<axis> of the mean absolute local correlation of value and w, with slopes s<axis> of w.
+
+    Local moments are convolved; three maps of what a voxel's value adds to the correlations around it are made of them,
+    convolved again, and meet the voxel's own values. Voxels whose local deviations are 0 say nothing.
+    """
+    s = dict.fromkeys(axes, sigma)
+    v, w = F.col("value"), F.col("w")
+    ok = valid(v) & valid(w)
+    maps = {"_r": v, "_f": w, "_rr": v * v, "_ff": w * w, "_rf": v * w}
+    made = pair.withColumns({n: F.when(ok, c).otherwise(F.lit(float("nan"))) for n, c in maps.items()}).withColumns({"_v": v, "_w": w}).drop("value")
+    local = convolve_components(made, keys, axes, s, list(maps), kind)
+    dev = lambda a, b: F.sqrt(F.greatest(F.col(b) - F.col(a) * F.col(a), F.lit(0.0)))
+    local = local.withColumns({"_sr": dev("_r", "_rr"), "_sf": dev("_f", "_ff"), "_c": F.col("_rf") - F.col("_r") * F.col("_f")})
+    good = (F.col("_sr") >= 1e-6) & (F.col("_sf") >= 1e-6)
+    sign = F.when(F.col("_c") < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
+    first = sign / (F.col("_sr") * F.col("_sf"))
+    second = first * F.col("_c") / (F.col("_sf") * F.col("_sf"))
+    third = second * F.col("_f") - first * F.col("_r")
+    terms = {"_1": first, "_2": second, "_3": third}
+    drawn = local.withColumns({n: F.when(F.isnan("_c"), F.lit(float("nan"))).when(good, c).otherwise(F.lit(0.0)) for n, c in terms.items()}).withColumn("_good", good & ~F.isnan("_c"))
+    n = drawn.groupBy(*keys).agg(F.sum(F.col("_good").cast("long")).alias("_n"))
+    around = convolve_components(drawn, keys, axes, s, list(terms), kind).join(n, keys)
+    k = (F.col("_1") * F.col("_v") - F.col("_2") * F.col("_w") + F.col("_3")) / F.col("_n")
+    return around.select(*keys, *axes, *[F.coalesce(known(-k * F.col(f"s{a}")), F.lit(0.0)).alias(f"g{a}") for a in axes])
+
+
 def nmi_gradient(pair: DataFrame, histogram: DataFrame, keys: list[str], axes: list[str], point: list[str]) -> DataFrame:
     """g<axis> of the normalised mutual information of a binned pair with slopes s<axis>.
 
@@ -146,6 +174,32 @@ def step(nodes: DataFrame, gradient: DataFrame, on: list[str], parts: list[str],
     return nodes.join(g, on, "left").withColumns({v: F.col(v) + scale * F.coalesce(f"_g{v}", F.lit(0.0)) for v in parts}).drop(*[f"_g{v}" for v in parts])
 
 
+def update_velocity(nodes: DataFrame, gradient: DataFrame, on: list[str], parts: list[str], scale: float, optimise: dict[str, bool] | None = None) -> DataFrame:
+    """Velocity grid moved along the gradient; components that aren't to be optimised stay."""
+    free = [v for v in parts if (optimise or {}).get(v, True)]
+    return step(nodes, gradient, on, free, scale)
+
+
+def symmetrised(forward: DataFrame, backward: DataFrame, on: list[str], parts: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Velocities (displacements) of both directions, each half of itself less the other, so that they are inverse."""
+    other = lambda df: df.select(*on, *[F.col(v).alias(f"_o{v}") for v in parts])
+    half = lambda a, b: a.join(other(b), on).withColumns({v: (F.col(v) - F.col(f"_o{v}")) / 2 for v in parts}).select(*on, *parts)
+    return half(forward, backward), half(backward, forward)
+
+
+def exponentiated_gradient(gradient: DataFrame, fields: list[DataFrame], keys: list[str], axes: list[str]) -> DataFrame:
+    """Gradient of a velocity field from that of its deformation: for each squaring's field (positions), the gradient is
+    read where it leads, turned by its Jacobian and added; divided by two for each squaring."""
+    from .transform import PARTS, field_jacobian, parts_of, resample_vectors
+
+    now = gradient.select(*keys, *axes, *parts_of(axes))
+    for f in fields:
+        at = field_jacobian(f, keys, axes).withColumns({f"p{a}": F.col(PARTS[a]) for a in axes}).drop("det", *parts_of(axes))
+        moved = resample_vectors(now, at, keys, axes, axes).select(*keys, *axes, *[F.col(v).alias(f"_m{v}") for v in parts_of(axes)])
+        now = cut(now.join(moved, [*keys, *axes]).select(*keys, *axes, *[(F.col(v) + F.col(f"_m{v}")).alias(v) for v in parts_of(axes)]))
+    return now.withColumns({v: F.col(v) / float(2 ** len(fields)) for v in parts_of(axes)})
+
+
 def conjugate(gradient: DataFrame, before: DataFrame, keys: list[str], on: list[str], parts: list[str]) -> DataFrame:
     """Polak-Ribiere direction. before: the last gradient p<part> and direction h<part>; the result has both anew."""
     both = gradient.join(before, on)

@@ -157,5 +157,73 @@ def weighted_sum(parts: list[tuple[DataFrame, float]], keys: list[str]) -> DataF
     return total.groupBy(*keys).agg(F.sum("measure").alias("measure"))
 
 
-#: Measures by the name that a user asks for.
-MEASURES = {"ssd": ssd, "ncc": ncc, "nmi": nmi, "kld": kld}
+def both_ways(forward: DataFrame, backward: DataFrame, keys: list[str]) -> DataFrame:
+    """Measure of a symmetric comparison: that in the reference's space and that in the floating image's, added."""
+    return weighted_sum([(forward, 1.0), (backward, 1.0)], keys)
+
+
+def descriptor_measure(pair: DataFrame, keys: list[str], axes: list[str], context: bool = False) -> DataFrame:
+    """Negative mean of squared differences of self-similarity descriptors, added over their channels.
+
+    Voxels that are NaN in either image count in neither; the images must be dense.
+    """
+    from . import stencil
+
+    describe = stencil.mind_ssc if context else stencil.mind
+    sides = [describe(pair.select(*keys, *axes, F.col(c).alias("value")), keys, axes) for c in ("value", "w")]
+    channels = [c for c in sides[0].columns if c not in (*keys, *axes)]
+    other = sides[1].select(*keys, *axes, *[F.col(c).alias(f"_{c}") for c in channels])
+    total = F.lit(0.0)
+    for c in channels:
+        total = total + (F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}"))
+    return sides[0].join(other, [*keys, *axes]).groupBy(*keys).agg((-F.avg(known(total))).alias("measure"))
+
+
+def _lncc(pair: DataFrame, keys: list[str], axes: list[str], **options) -> DataFrame:
+    from . import stencil
+
+    return stencil.lncc(pair, keys, axes, **options)
+
+
+#: Measures by the name that a user asks for, all of (pair, keys, axes) and their own options.
+MEASURES = {
+    "ssd": lambda pair, keys, axes, **o: ssd(pair, keys, **o),
+    "ncc": lambda pair, keys, axes, **o: ncc(pair, keys, **o),
+    "nmi": lambda pair, keys, axes, **o: nmi(pair, keys, **o),
+    "kld": lambda pair, keys, axes, **o: kld(pair, keys, **o),
+    "lncc": _lncc,
+    "dti": lambda pair, keys, axes, **o: dti_distance(pair, keys, **o),
+    "mind": lambda pair, keys, axes, **o: descriptor_measure(pair, keys, axes, **o),
+    "mindssc": lambda pair, keys, axes, **o: descriptor_measure(pair, keys, axes, context=True, **o),
+}
+
+
+def measure(name: str, pair: DataFrame, keys: list[str], axes: list[str], **options) -> DataFrame:
+    """keys, measure: any of MEASURES by its name."""
+    if name not in MEASURES:
+        raise ValueError(f"measures are {', '.join(MEASURES)}")
+    return MEASURES[name](pair, keys, axes, **options)
+
+
+def active_times(a: DataFrame, weights: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """Time points whose weight is above 0. weights: keys, t, weight."""
+    return a.join(weights.where(F.col("weight") > 0).select(*keys, t), [*keys, t], "left_semi")
+
+
+def mask_centres(mask: DataFrame, keys: list[str], m: list[float], axes=("x", "y", None)) -> DataFrame:
+    """keys, cx, cy, cz: mean position of a mask's active voxels in world space."""
+    return centre_of_mass(mask.where("active").withColumn("value", F.lit(1.0)), keys, m, axes)
+
+
+def centre_shift(reference: DataFrame, floating: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tx, ty, tz: the shift that brings the reference's centre (cx, cy, cz) onto the floating image's."""
+    other = floating.select(*keys, *[F.col(f"c{a}").alias(f"_c{a}") for a in "xyz"])
+    return reference.join(other, keys).select(*keys, *[(F.col(f"_c{a}") - F.col(f"c{a}")).alias(f"t{a}") for a in "xyz"])
+
+
+def painted_blocks(a: DataFrame, keys: list[str], axes: list[str], side: int = 4) -> DataFrame:
+    """Image of the variance of the block that each voxel lies in; -1 where the block isn't usable."""
+    names = [f"b{x}" for x in axes]
+    found = block_variance(a, keys, axes, side).select(*keys, *names, F.when(F.col("usable"), F.col("variance")).otherwise(F.lit(-1.0)).alias("_v"))
+    at = a.withColumns({n: F.floor(F.col(x) / side).cast("int") for n, x in zip(names, axes, strict=True)})
+    return at.join(found, [*keys, *names]).withColumn("value", F.col("_v")).select(a.columns)

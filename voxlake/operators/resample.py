@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import CATMULL_ROM, CATMULL_ROM_D, LINEAR, LINEAR_D, clamp
 from . import tiles
 
+#: Full width at half maximum of a Gaussian, in sigmas.
+FULL_WIDTH = 2 * np.sqrt(2 * np.log(2))
 #: Samples that a kernel holds at once.
 SAMPLES = 1 << 18
 
@@ -87,6 +89,26 @@ def downsample(a: DataFrame, axes: list[str]) -> DataFrame:
     return a
 
 
+def mask_pyramid(mask: DataFrame, dim: dict[str, int], levels: int, least: int = 32) -> list[DataFrame]:
+    """Masks from the coarsest to the finest level, halved along the axes that pyramid() halves, without smoothing."""
+    out, size = [mask], dim
+    for _ in range(levels - 1):
+        halve = [x for x, n in size.items() if n // 2 >= least]
+        out.insert(0, downsample(out[0], halve))
+        size = {x: -(-n // 2) if x in halve else n for x, n in size.items()}
+    return out
+
+
+def change_resolution(source: DataFrame, targets: DataFrame, keys: list[str], axes: list[str], factor: dict[str, float], shift: dict[str, float], order: int = 1) -> DataFrame:
+    """An image on a grid whose voxels are `factor` old ones apart. Axes that become coarser are seen through a point
+    spread of the missing width (full width at half maximum), unless the nearest voxel is wanted."""
+    points = new_grid_points(targets, axes, factor, shift)
+    if order == 0 or all(factor[a] <= 1 for a in axes):
+        return resample(source, points, keys, axes, axes, order)
+    sigma = {a: np.sqrt(max(0.0, factor[a] ** 2 - 1.0)) / FULL_WIDTH for a in axes}
+    return psf_resample(source, points, keys, axes, axes, sigma)
+
+
 def pyramid(a: DataFrame, keys: list[str], dim: dict[str, int], levels: int, smooth: bool = True, least: int = 32) -> list[tuple[DataFrame, dict[str, int]]]:
     """Images from the coarsest to the finest level; an axis is halved only while half of it has `least` voxels."""
     from .stencil import convolve

@@ -59,6 +59,15 @@ def convolve(a: DataFrame, keys: list[str], axes: list[str], sigmas: dict[str, f
     return out.withColumn("value", F.when(F.col("_ok"), safe_div(F.col("_v"), F.col("_d"))).otherwise(F.lit(float("nan")))).drop("_v", "_d", "_ok")
 
 
+def convolve_components(field: DataFrame, keys: list[str], axes: list[str], sigmas: dict[str, float], components: list[str], kind: str = "gauss", spacing: dict[str, float] | None = None) -> DataFrame:
+    """convolve() of each component of a vector field: a voxel gradient smoothed, or brought to the spacing of a grid's
+    nodes with kind "cubic"."""
+    for c in components:
+        rest = [x for x in field.columns if x != c]
+        field = convolve(field.withColumnRenamed(c, "value"), keys, axes, sigmas, kind, spacing).select(*rest, F.col("value").alias(c))
+    return field
+
+
 def label_filter(a: DataFrame, keys: list[str], axes: list[str], variance: float) -> DataFrame:
     """Label with the largest Gaussian vote around each voxel, the least one on ties; variances in voxels.
 

@@ -37,10 +37,11 @@ def on_tiles(points: DataFrame, source: DataFrame, keys: list[str], axes: list[s
     tile = [f"_t{a}" for a in axes]
     coordinate = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(0.0)).otherwise(F.col(c).cast("double"))
     asked = points.withColumns({t: F.floor(coordinate(c) / size).cast("long") for t, c in zip(tile, at, strict=True)})
-    held = source.select(*keys, *[F.col(a).alias(f"_a{a}") for a in axes], *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)])
+    # names of its own, as both may come from one frame
+    held = source.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"_a{a}") for a in axes], *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)])
     for a, t in zip(axes, tile, strict=True):
         first, last = F.floor((F.col(f"_a{a}") - after) / size).cast("long"), F.floor((F.col(f"_a{a}") + before) / size).cast("long")
-        held = held.withColumn(t, F.explode(F.sequence(first, last)))
+        held = held.withColumn(f"_s{t}", F.explode(F.sequence(first, last)))
     shape = (size + before + after,) * d
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -65,7 +66,7 @@ def on_tiles(points: DataFrame, source: DataFrame, keys: list[str], axes: list[s
             rows = rows.take(pa.array(place))
         return _with(rows, out, got)
 
-    return asked.groupBy(*keys, *tile).cogroup(held.groupBy(*keys, *tile)).applyInArrow(run, schema_of(points, keep) + ", " + out)
+    return asked.groupBy(*keys, *tile).cogroup(held.groupBy(*[f"_k{i}" for i in range(len(keys))], *[f"_s{t}" for t in tile])).applyInArrow(run, schema_of(points, keep) + ", " + out)
 
 
 def _with(rows: pa.Table, out: str, columns: list) -> pa.Table:

@@ -50,13 +50,17 @@ def _spline_points(points: DataFrame, axes: list[str], basis: dict[str, list]) -
     return out.withColumn("_k", k).withColumns({f"_n{a}": F.col(f"_g{a}.t") for a in axes}).drop(*[f"_g{a}" for a in axes])
 
 
-def spline_sum(points: DataFrame, nodes: DataFrame, keys: list[str], point: list[str], axes: list[str], derivative: str | None = None) -> DataFrame:
-    """B-spline sums of the node components at lattice coordinates q<axis>; nodes that don't exist add nothing."""
+def spline_sum(points: DataFrame, nodes: DataFrame, keys: list[str], point: list[str], axes: list[str], derivative: str | None = None, whole: bool = False) -> DataFrame:
+    """B-spline sums of the node components at lattice coordinates q<axis>; nodes that don't exist add nothing.
+
+    whole: points without all their nodes are left out.
+    """
     basis = {a: B_SPLINE_D if a == derivative else B_SPLINE for a in axes}
     spread = _spline_points(points.select(*keys, *point, *[f"q{a}" for a in axes]), axes, basis)
     have = nodes.select(*keys, *[F.col(a).alias(f"_n{a}") for a in axes], *parts_of(axes))
     met = spread.join(have, [*keys, *[f"_n{a}" for a in axes]])
-    return met.groupBy(*keys, *point).agg(*[F.sum(F.col(v) * F.col("_k")).alias(v) for v in parts_of(axes)])
+    sums = met.groupBy(*keys, *point).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(v) * F.col("_k")).alias(v) for v in parts_of(axes)])
+    return (sums.where(F.col("_n") == 4 ** len(axes)) if whole else sums).drop("_n")
 
 
 def spline_field(voxels: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
@@ -120,13 +124,62 @@ def compose(first: DataFrame, second: DataFrame, keys: list[str], axes: list[str
     return met.groupBy(*keys, *axes).agg(*[(F.sum(F.col(PARTS[a]) * F.col("_k")) + F.max(f"_o{a}")).alias(PARTS[a]) for a in axes])
 
 
-def exponentiate(flow: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int], squarings: int) -> DataFrame:
-    """Deformation of a stationary displacement flow by scaling and squaring; each squaring is checkpointed."""
-    scale = float(2**squarings)
-    field = flow.withColumns({PARTS[a]: F.col(a) + F.col(PARTS[a]) / scale for a in axes})
+def longest_component(flow: DataFrame, axes: list[str]) -> float:
+    """Largest magnitude of a component, over all vectors of the frame."""
+    return flow.agg(F.max(F.greatest(*[F.abs(F.col(PARTS[a])) for a in axes], F.lit(0.0)))).first()[0] or 0.0
+
+
+def intermediate_fields(flow: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int], squarings: int | None = None, backward: bool = False) -> list[DataFrame]:
+    """The scaled flow as a deformation and what each squaring makes of it, the last one the whole deformation.
+
+    flow holds displacements. squarings None: as many as keep the longest step short (squarings_for). backward: the
+    inverse, by the flow's negative. Each squaring is checkpointed.
+    """
+    if squarings is None:
+        squarings = squarings_for(longest_component(flow, axes), len(axes))
+    scale = float(2**squarings) * (-1 if backward else 1)
+    fields = [flow.select(*keys, *axes, *[(F.col(a) + F.col(PARTS[a]) / scale).alias(PARTS[a]) for a in axes])]
     for _ in range(squarings):
-        field = cut(compose(field, field, keys, axes, dim))
-    return field
+        fields.append(cut(compose(fields[-1], fields[-1], keys, axes, dim)))
+    return fields
+
+
+def exponentiate(flow: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int], squarings: int | None = None, backward: bool = False, affine: list[float] | None = None) -> DataFrame:
+    """Deformation of a stationary displacement flow by scaling and squaring.
+
+    affine (row-major 4 by 4, in voxels) is a part of the flow that isn't squared: its displacement is taken off before
+    and put back at the end.
+    """
+    fixed = {PARTS[a]: c - F.col(a) for a, c in zip("xyz", world(affine, tuple(a if a in axes else None for a in "xyz")), strict=True) if a in axes} if affine else {}
+    field = intermediate_fields(flow.withColumns({v: F.col(v) - c for v, c in fixed.items()}), keys, axes, dim, squarings, backward)[-1]
+    return field.withColumns({v: F.col(v) + c for v, c in fixed.items()})
+
+
+def flow_jacobian(flow: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int], squarings: int | None = None, backward: bool = False) -> DataFrame:
+    """j<component><axis> and det of a flow's deformation as the product of the matrices of all squarings but the last.
+
+    The matrices belong to the voxels themselves, not to where the squarings lead them.
+    """
+    out = None
+    for field in intermediate_fields(flow, keys, axes, dim, squarings, backward)[:-1]:
+        now = field_jacobian(field, keys, axes).select(*keys, *axes, *[F.col(f"j{b}{a}").alias(f"_j{b}{a}") for b in axes for a in axes])
+        if out is None:
+            out = now.select(*keys, *axes, *[F.col(f"_j{b}{a}").alias(f"j{b}{a}") for b in axes for a in axes])
+            continue
+        product = {f"j{b}{a}": reduce(lambda p, q: p + q, [F.col(f"_j{b}{c}") * F.col(f"j{c}{a}") for c in axes]) for b in axes for a in axes}
+        out = out.join(now, [*keys, *axes]).select(*keys, *axes, *[c.alias(n) for n, c in product.items()])
+    return out.withColumn("det", determinant(axes))
+
+
+def compose_grids(first: DataFrame, second: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
+    """Control grid whose nodes are those of the second, moved on by the first: first(second(x)).
+
+    Grids hold positions in voxels, nodes `spacing` voxels apart; beyond its nodes the first moves nothing.
+    """
+    moves = first.withColumns({PARTS[a]: F.col(PARTS[a]) - (F.col(a) - 1) * float(spacing) for a in axes})
+    at = second.withColumns({f"q{a}": F.col(PARTS[a]) / float(spacing) + 1 for a in axes})
+    got = spline_sum(at, moves, keys, axes, axes).select(*keys, *axes, *[F.col(PARTS[a]).alias(f"_d{a}") for a in axes])
+    return second.join(got, [*keys, *axes], "left").select(*keys, *axes, *[(F.col(PARTS[a]) + F.coalesce(f"_d{a}", F.lit(0.0))).alias(PARTS[a]) for a in axes])
 
 
 def squarings_for(longest: float, dimensions: int, least: int = 6) -> int:
@@ -208,15 +261,16 @@ def map_landmarks(landmarks: DataFrame, field: DataFrame, keys: list[str], axes:
 
 
 def landmark_distance(landmarks: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], point: list[str]) -> DataFrame:
-    """Sum of squared distances between spline positions of points q<axis> and their targets t<axis>."""
-    got = spline_sum(landmarks, nodes, keys, point, axes).join(landmarks.select(*keys, *point, *[f"t{a}" for a in axes]), [*keys, *point])
+    """Sum of squared distances between spline positions of points q<axis> and their targets t<axis>. Points that aren't
+    within the grid don't count."""
+    got = spline_sum(landmarks, nodes, keys, point, axes, whole=True).join(landmarks.select(*keys, *point, *[f"t{a}" for a in axes]), [*keys, *point])
     d = reduce(lambda p, q: p + q, [(F.col(PARTS[a]) - F.col(f"t{a}")) ** 2 for a in axes])
     return got.groupBy(*keys).agg(F.sum(d).alias("distance"))
 
 
 def landmark_gradient(landmarks: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], point: list[str]) -> DataFrame:
     """Slope of landmark_distance() for each node's components: residuals scattered over the nodes of each point."""
-    got = spline_sum(landmarks, nodes, keys, point, axes)
+    got = spline_sum(landmarks, nodes, keys, point, axes, whole=True)
     res = landmarks.join(got, [*keys, *point]).withColumns({f"_e{a}": 2 * (F.col(PARTS[a]) - F.col(f"t{a}")) for a in axes})
     spread = _spline_points(res, axes, {a: B_SPLINE for a in axes})
     return spread.groupBy(*keys, *[F.col(f"_n{a}").alias(a) for a in axes]).agg(*[F.sum(F.col(f"_e{a}") * F.col("_k")).alias(PARTS[a]) for a in axes])

@@ -78,6 +78,12 @@ def nan_outside(a: DataFrame, mask: DataFrame, on: list[str]) -> DataFrame:
     return joined.withColumn("value", F.when(F.coalesce("active", F.lit(False)), F.col("value")).otherwise(F.lit(NAN))).drop("active")
 
 
+def within_thresholds(mask: DataFrame, image: DataFrame, on: list[str], low: float, high: float) -> DataFrame:
+    """Mask voxels where the image lies between both thresholds; NaN doesn't."""
+    good = image.where(~F.isnan("value") & F.col("value").between(low, high)).select(*on)
+    return mask.join(good, on, "left_semi")
+
+
 def drop_nan_from_mask(mask: DataFrame, image: DataFrame, on: list[str]) -> DataFrame:
     """Mask voxels of which no time point is NaN."""
     bad = image.where(F.isnan("value")).select(*on).distinct()

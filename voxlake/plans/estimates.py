@@ -100,21 +100,15 @@ def _pca(s, d):
 
 q("e_pca_all_parts", _pca, f"WITH {SQL_4D} SELECT series_id, t, x, y, round(value, 6) + 0.0 AS value FROM img4d")
 q("e_pca_two_parts", lambda s, d: e.project_over_time(img4d(s, d), ["series_id"], AXES, measures.time_covariance(img4d(s, d), ["series_id"], AXES), 2).select("series_id", "t", "x", "y", r6("value").alias("value")))
-q(
-    "w_average_images",
-    lambda s, d: register.average_images(img2d(s, d).where("image_id < 20"), {k: np.eye(4) + 0.25 * (np.eye(4, k=3) > 0) * (k % 2) for k in range(20)}, AXES).select("x", "y", r6("value").alias("value")),
-    f"WITH {PAIRS.split(', pairs AS')[0]}, m AS (SELECT a.x, a.y, CASE WHEN a.x = 7 OR a.y = 7 THEN NULL WHEN a.image_id % 2 = 0 THEN a.value ELSE a.value * 0.75 + b.value * 0.25 END AS v FROM img2d a LEFT JOIN img2d b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1 WHERE a.image_id < 20) SELECT x, y, round(coalesce(avg(v), CAST('nan' AS DOUBLE)), 6) + 0.0 AS value FROM m GROUP BY ALL",
-)
-
-
-
 def _moved(s, d):
     """A matrix for each image: those of odd numbers move by a quarter of a voxel."""
     one = {k: F.lit(float(k in (0, 5, 10))) for k in range(12)} | {3: (F.abs(F.col("image_id")) % 2) * 0.25}
     return table(s, d, "embeddings").select(F.col("vec_id").alias("image_id")).distinct().select("image_id", *[one[k].alias(f"m{k}") for k in range(12)])
 
 
-q("w_average_all_images", lambda s, d: register.average_images(img2d(s, d), _moved(s, d), AXES).select("x", "y", r6("value").alias("value")))
+_AVERAGED = f"WITH {PAIRS.split(', pairs AS')[0]}, m AS (SELECT a.x, a.y, CASE WHEN a.x = 7 OR a.y = 7 THEN NULL WHEN a.image_id % 2 = 0 THEN a.value ELSE a.value * 0.75 + b.value * 0.25 END AS v FROM img2d a LEFT JOIN img2d b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1) SELECT x, y, round(coalesce(avg(v), CAST('nan' AS DOUBLE)), 6) + 0.0 AS value FROM m GROUP BY ALL"
+for _name in ("w_average_images", "w_average_all_images"):
+    q(_name, lambda s, d: register.average_images(img2d(s, d), _moved(s, d), AXES).select("x", "y", r6("value").alias("value")), _AVERAGED)
 
 
 def blob(s, n=32, dx=0.0, dy=0.0):

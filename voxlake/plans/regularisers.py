@@ -71,13 +71,14 @@ q(
     lambda s, d: _out(g.demeaned_fields(field(img2d(s, d)), AXES), "vx", "vy"),
     f"WITH {FIELD} SELECT image_id, x, y, round(vx - avg(vx - x) OVER (PARTITION BY x, y), 6) + 0.0 AS vx, round(vy - avg(vy - y) OVER (PARTITION BY x, y), 6) + 0.0 AS vy FROM f",
 )
-q(
-    "t_linear_spline_field",
-    lambda s, d: _out(g.linear_spline_field(img2d(s, d).where("x % 2 = 1 AND y % 2 = 0"), nodes(img2d(s, d)), KEY, AXES, 2), "vx", "vy"),
-    f"WITH {NODES} SELECT i.image_id, i.x, i.y, round((a.vx + b.vx) / 2, 6) + 0.0 AS vx, round((a.vy + b.vy) / 2, 6) + 0.0 AS vy FROM img2d i JOIN n a ON a.image_id = i.image_id AND a.x = i.x // 2 + 1 AND a.y = i.y // 2 + 1 JOIN n b ON b.image_id = i.image_id AND b.x = i.x // 2 + 2 AND b.y = i.y // 2 + 1 WHERE i.x % 2 = 1 AND i.y % 2 = 0",
+_LINEAR = " + ".join(f"coalesce({n}.{{v}}, CAST('nan' AS DOUBLE)) * {wx} * {wy}" for n, wx, wy in (("a", "(1 - f)", "(1 - g)"), ("b", "f", "(1 - g)"), ("c", "(1 - f)", "g"), ("e", "f", "g")))
+_LINEAR_SQL = (
+    f"WITH {NODES}, p AS (SELECT image_id, x, y, x // 2 + 1 AS i, y // 2 + 1 AS j, x % 2 / 2.0::DOUBLE AS f, y % 2 / 2.0::DOUBLE AS g FROM img2d) SELECT p.image_id, p.x, p.y, "
+    + ", ".join(f"round({_LINEAR.format(v=v)}, 6) + 0.0 AS {v}" for v in ("vx", "vy"))
+    + " FROM p " + " ".join(f"LEFT JOIN n {n} ON {n}.image_id = p.image_id AND {n}.x = i + {dx} AND {n}.y = j + {dy}" for n, dx, dy in (("a", 0, 0), ("b", 1, 0), ("c", 0, 1), ("e", 1, 1)))
 )
-
-q("t_linear_spline_all", lambda s, d: _out(g.linear_spline_field(img2d(s, d), nodes(img2d(s, d)), KEY, AXES, 2), "vx", "vy"))
+for _name in ("t_linear_spline_field", "t_linear_spline_all"):
+    q(_name, lambda s, d: _out(g.linear_spline_field(img2d(s, d), nodes(img2d(s, d)), KEY, AXES, 2), "vx", "vy"), _LINEAR_SQL)
 
 
 def _tensors(s, d):
@@ -91,4 +92,3 @@ q(
     lambda s, d: g.tensor_exp(g.tensor_log(_tensors(s, d))).select("image_id", *[r6(f"d{k}").alias(f"d{k}") for k in range(6)]),
     "SELECT vec_id AS image_id, " + ", ".join(f"round(CAST(embedding[{k + 1}] AS DOUBLE) + {3 if k in (0, 2, 5) else 0}, 6) + 0.0 AS d{k}" for k in range(6)) + " FROM embeddings",
 )
-q("t_velocity_field", lambda s, d: _out(g.velocity_field(img2d(s, d).select(*ON), img2d(s, d).withColumns({"vx": F.col("value"), "vy": -F.col("value")}), KEY, AXES, 2, {"x": 8, "y": 8}), "vx", "vy"))

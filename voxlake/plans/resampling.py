@@ -68,13 +68,13 @@ q(
 )
 q(
     "r_change_resolution",
-    lambda s, d: r.resample(img2d(s, d), r.new_grid_points(img2d(s, d).where("x < 6 AND y < 6"), AXES, {"x": 1.25, "y": 1.5}, {"x": 0.125, "y": 0.25}), KEY, AXES, AXES, 1).select(*ON, r6("value").alias("value")),
-    f"WITH {SQL_2D}, pts AS (SELECT image_id, x, y, x * 1.25::DOUBLE + 0.125::DOUBLE AS px, y * 1.5::DOUBLE + 0.25::DOUBLE AS py FROM img2d WHERE x < 6 AND y < 6), g AS ({sql(1)}) SELECT image_id, x, y, round(value, 6) + 0.0 AS value FROM g",
+    lambda s, d: r.resample(img2d(s, d), r.new_grid_points(img2d(s, d), AXES, {"x": 1.25, "y": 1.5}, {"x": 0.125, "y": 0.25}), KEY, AXES, AXES, 1).select(*ON, r6("value").alias("value")),
+    f"WITH {SQL_2D}, pts AS (SELECT image_id, x, y, x * 1.25::DOUBLE + 0.125::DOUBLE AS px, y * 1.5::DOUBLE + 0.25::DOUBLE AS py FROM img2d), g AS ({sql(1)}) SELECT image_id, x, y, round(value, 6) + 0.0 AS value FROM g",
 )
 
 
 def _psf_sql() -> str:
-    return f"WITH {SQL_2D}, {POINTS}, e AS (SELECT image_id, x, y, px + a.i / 2.0::DOUBLE * 0.8::DOUBLE AS px, py + b.j / 2.0::DOUBLE * 0.5::DOUBLE AS py, exp(-0.125::DOUBLE * a.i * a.i) * exp(-0.125::DOUBLE * b.j * b.j) AS w FROM pts CROSS JOIN range(-4, 5) a(i) CROSS JOIN range(-4, 5) b(j) WHERE x % 3 = 0 AND y % 3 = 0), t AS (SELECT e.image_id, e.x, e.y, s.value, w * {weights(1, '(px - floor(px))', 'i')} * {weights(1, '(py - floor(py))', 'j')} AS k FROM e CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) JOIN img2d s ON s.image_id = e.image_id AND s.x = floor(px) + i AND s.y = floor(py) + j) SELECT image_id, x, y, round(sum(value * k) / sum(k), 6) + 0.0 AS value FROM t GROUP BY ALL"
+    return f"WITH {SQL_2D}, {POINTS}, e AS (SELECT image_id, x, y, px + a.i / 2.0::DOUBLE * 0.8::DOUBLE AS px, py + b.j / 2.0::DOUBLE * 0.5::DOUBLE AS py, exp(-0.125::DOUBLE * a.i * a.i) * exp(-0.125::DOUBLE * b.j * b.j) AS w FROM pts CROSS JOIN range(-4, 5) a(i) CROSS JOIN range(-4, 5) b(j)), t AS (SELECT e.image_id, e.x, e.y, s.value, w * {weights(1, '(px - floor(px))', 'i')} * {weights(1, '(py - floor(py))', 'j')} AS k FROM e CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) JOIN img2d s ON s.image_id = e.image_id AND s.x = floor(px) + i AND s.y = floor(py) + j) SELECT image_id, x, y, round(coalesce(sum(value * k) / nullif(sum(k), 0), CAST('nan' AS DOUBLE)), 6) + 0.0 AS value FROM t GROUP BY ALL"
 
 
-q("r_psf", lambda s, d: r.psf_resample(img2d(s, d), _points(img2d(s, d)).where("x % 3 = 0 AND y % 3 = 0"), KEY, AXES, AXES, {"x": 0.8, "y": 0.5}).select(*ON, r6("value").alias("value")), _psf_sql())
+q("r_psf", lambda s, d: r.psf_resample(img2d(s, d), _points(img2d(s, d)), KEY, AXES, AXES, {"x": 0.8, "y": 0.5}).select(*ON, r6("value").alias("value")), _psf_sql())

@@ -90,7 +90,7 @@ q(
     f"WITH {NODES}, w AS (SELECT * FROM (VALUES (-2, 0.125::DOUBLE), (-1, 0.5::DOUBLE), (0, 0.75::DOUBLE), (1, 0.5::DOUBLE), (2, 0.125::DOUBLE)) t(d, k)) SELECT image_id, CAST(x * 2 - 1 + a.d AS INT) AS x, CAST(y * 2 - 1 + b.d AS INT) AS y, round(sum(vx * a.k * b.k), 6) + 0.0 AS vx, round(sum(vy * a.k * b.k), 6) + 0.0 AS vy FROM n, w a, w b GROUP BY ALL",
 )
 _LM = "lm AS (SELECT image_id, x, y, x * 0.7::DOUBLE + 1.3::DOUBLE AS qx, y * 0.6::DOUBLE + 1.2::DOUBLE AS qy, x + value AS tx, y - value AS ty FROM img2d WHERE x = y)"
-_LS = f"SELECT l.image_id, l.x, l.y, sum(n.vx * k) AS vx, sum(n.vy * k) AS vy FROM (SELECT *, {basis('(qx - floor(qx))', 'i')} * {basis('(qy - floor(qy))', 'j')} AS k FROM lm CROSS JOIN range(4) a(i) CROSS JOIN range(4) b(j)) l JOIN n ON n.image_id = l.image_id AND n.x = floor(qx) - 1 + i AND n.y = floor(qy) - 1 + j GROUP BY ALL"
+_LS = f"SELECT l.image_id, l.x, l.y, sum(n.vx * k) AS vx, sum(n.vy * k) AS vy FROM (SELECT *, {basis('(qx - floor(qx))', 'i')} * {basis('(qy - floor(qy))', 'j')} AS k FROM lm CROSS JOIN range(4) a(i) CROSS JOIN range(4) b(j)) l JOIN n ON n.image_id = l.image_id AND n.x = floor(qx) - 1 + i AND n.y = floor(qy) - 1 + j GROUP BY ALL HAVING count(*) = 16"
 
 
 def _landmarks(a):
@@ -103,7 +103,6 @@ q(
     lambda s, d: _out(t.landmark_gradient(_landmarks(img2d(s, d)), nodes(img2d(s, d)), KEY, AXES, AXES), "vx", "vy"),
     f"WITH {NODES}, {_LM}, s AS ({_LS}), e AS (SELECT lm.*, 2 * (vx - tx) AS ex, 2 * (vy - ty) AS ey FROM s JOIN lm USING (image_id, x, y)) SELECT image_id, CAST(floor(qx) - 1 + i AS INT) AS x, CAST(floor(qy) - 1 + j AS INT) AS y, round(sum(ex * {basis('(qx - floor(qx))', 'i')} * {basis('(qy - floor(qy))', 'j')}), 6) + 0.0 AS vx, round(sum(ey * {basis('(qx - floor(qx))', 'i')} * {basis('(qy - floor(qy))', 'j')}), 6) + 0.0 AS vy FROM e CROSS JOIN range(4) a(i) CROSS JOIN range(4) b(j) GROUP BY ALL",
 )
-q("t_exponentiate", lambda s, d: _out(t.exponentiate(img2d(s, d).withColumns({"vx": F.col("value"), "vy": -F.col("value")}).select(*ON, "vx", "vy"), KEY, AXES, {"x": 8, "y": 8}, 6), "vx", "vy"))
 q("t_invert_field", lambda s, d: _out(t.invert_field(field(img2d(s, d)), KEY, AXES, {"x": 8, "y": 8}, 5), "vx", "vy"))
 q(
     "t_jacobian_3d",
@@ -114,6 +113,6 @@ q(
 )
 q(
     "t_to_nodes",
-    lambda s, d: _out(t.to_nodes(field(img2d(s, d)), img2d(s, d).where("x < 5 AND y < 5"), KEY, AXES, 1.5), "vx", "vy"),
-    f"WITH {FIELD}, p AS (SELECT image_id, x, y, (x - 1) * 1.5::DOUBLE AS px, (y - 1) * 1.5::DOUBLE AS py FROM img2d WHERE x < 5 AND y < 5), k AS (SELECT p.*, i, j, CASE i WHEN 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END * CASE j WHEN 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END AS w FROM p CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)) SELECT k.image_id, k.x, k.y, round(sum(coalesce(f.vx, 0) * 1.5 * w), 6) + 0.0 AS vx, round(sum(coalesce(f.vy, 0) * 1.5 * w), 6) + 0.0 AS vy FROM k LEFT JOIN f ON f.image_id = k.image_id AND f.x = floor(px) + i AND f.y = floor(py) + j GROUP BY ALL",
+    lambda s, d: _out(t.to_nodes(field(img2d(s, d)), img2d(s, d), KEY, AXES, 1.5), "vx", "vy"),
+    f"WITH {FIELD}, p AS (SELECT image_id, x, y, (x - 1) * 1.5::DOUBLE AS px, (y - 1) * 1.5::DOUBLE AS py FROM img2d), k AS (SELECT p.*, i, j, CASE i WHEN 0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END * CASE j WHEN 0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END AS w FROM p CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j)) SELECT k.image_id, k.x, k.y, round(sum(coalesce(f.vx, 0) * 1.5 * w), 6) + 0.0 AS vx, round(sum(coalesce(f.vy, 0) * 1.5 * w), 6) + 0.0 AS vy FROM k LEFT JOIN f ON f.image_id = k.image_id AND f.x = floor(px) + i AND f.y = floor(py) + j GROUP BY ALL",
 )
