@@ -121,7 +121,7 @@ def lncc_gradient(pair: DataFrame, keys: list[str], axes: list[str], sigma: floa
     v, w = F.col("value"), F.col("w")
     ok = valid(v) & valid(w)
     maps = {"_r": v, "_f": w, "_rr": v * v, "_ff": w * w, "_rf": v * w}
-    made = pair.withColumns({n: F.when(ok, c).otherwise(F.lit(float("nan"))) for n, c in maps.items()}).withColumns({"_v": v, "_w": w}).drop("value")
+    made = pair.withColumns({n: F.when(ok, c).otherwise(F.lit(float("nan"))) for n, c in maps.items()}).withColumns({"_own": v, "_other": w}).drop("value")
     local = convolve_components(made, keys, axes, s, list(maps), kind)
     dev = lambda a, b: F.sqrt(F.greatest(F.col(b) - F.col(a) * F.col(a), F.lit(0.0)))
     local = local.withColumns({"_sr": dev("_r", "_rr"), "_sf": dev("_f", "_ff"), "_c": F.col("_rf") - F.col("_r") * F.col("_f")})
@@ -134,7 +134,7 @@ def lncc_gradient(pair: DataFrame, keys: list[str], axes: list[str], sigma: floa
     drawn = local.withColumns({n: F.when(F.isnan("_c"), F.lit(float("nan"))).when(good, c).otherwise(F.lit(0.0)) for n, c in terms.items()}).withColumn("_good", good & ~F.isnan("_c"))
     n = drawn.groupBy(*keys).agg(F.sum(F.col("_good").cast("long")).alias("_n"))
     around = convolve_components(drawn, keys, axes, s, list(terms), kind).join(n, keys)
-    k = (F.col("_1") * F.col("_v") - F.col("_2") * F.col("_w") + F.col("_3")) / F.col("_n")
+    k = (F.col("_1") * F.col("_own") - F.col("_2") * F.col("_other") + F.col("_3")) / F.col("_n")
     return around.select(*keys, *axes, *[F.coalesce(known(-k * F.col(f"s{a}")), F.lit(0.0)).alias(f"g{a}") for a in axes])
 
 

@@ -148,6 +148,26 @@ def tensor_log(tensors: DataFrame) -> DataFrame:
     return _spectral(tensors, lambda v: np.log(np.maximum(v, np.finfo(float).tiny)))
 
 
+def tensor_rotate(tensors: DataFrame) -> DataFrame:
+    """Symmetric tensors d0..d5 turned by the rotation nearest to the Jacobian j<component><axis> of their voxel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = np.array([[0, 1, 3], [1, 2, 4], [3, 4, 5]])
+        for b in batches:
+            m = b[[f"d{k}" for k in range(6)]].to_numpy(float)[:, at]
+            j = b[[f"j{r}{c}" for r in "xyz" for c in "xyz"]].to_numpy(float).reshape(-1, 3, 3)
+            ok = np.isfinite(m).all((1, 2)) & np.isfinite(j).all((1, 2))
+            out = np.full((len(b), 6), np.nan)
+            u, _, v = np.linalg.svd(j[ok])
+            u[:, :, 2] *= np.sign(np.linalg.det(u @ v))[:, None]
+            r = u @ v
+            full = r @ m[ok] @ np.swapaxes(r, 1, 2)
+            out[ok] = full[:, [0, 1, 1, 2, 2, 2], [0, 0, 1, 0, 1, 2]]
+            yield b.assign(**{f"d{k}": out[:, k] for k in range(6)})
+
+    return tensors.mapInPandas(run, tensors.schema)
+
+
 def tensor_exp(tensors: DataFrame) -> DataFrame:
     return _spectral(tensors, np.exp)
 

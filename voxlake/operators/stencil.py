@@ -62,10 +62,12 @@ def convolve(a: DataFrame, keys: list[str], axes: list[str], sigmas: dict[str, f
 def convolve_components(field: DataFrame, keys: list[str], axes: list[str], sigmas: dict[str, float], components: list[str], kind: str = "gauss", spacing: dict[str, float] | None = None) -> DataFrame:
     """convolve() of each component of a vector field: a voxel gradient smoothed, or brought to the spacing of a grid's
     nodes with kind "cubic"."""
+    names = field.columns
+    field = field.withColumnRenamed("value", "_kept")
     for c in components:
         rest = [x for x in field.columns if x != c]
         field = convolve(field.withColumnRenamed(c, "value"), keys, axes, sigmas, kind, spacing).select(*rest, F.col("value").alias(c))
-    return field
+    return field.withColumnRenamed("_kept", "value").select(names)
 
 
 def label_filter(a: DataFrame, keys: list[str], axes: list[str], variance: float) -> DataFrame:

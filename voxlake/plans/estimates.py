@@ -41,7 +41,6 @@ def matrix_rows(s, m):
     return s.createDataFrame([(i, j, round(float(m[i, j]), 6) + 0.0) for i in range(len(m)) for j in range(len(m))], "i int, j int, v double")
 
 
-q("e_affine_fit", lambda s, d: matrix_rows(s, e.trimmed_fit(point_pairs(s, d), 2, 100, rounds=1)))
 q("e_lts_affine", lambda s, d: matrix_rows(s, e.trimmed_fit(point_pairs(s, d), 2, 50)))
 q("e_lts_rigid", lambda s, d: matrix_rows(s, e.trimmed_fit(point_pairs(s, d), 2, 50, rigid=True)))
 
@@ -81,17 +80,6 @@ q(
 )
 
 
-def _matrices():
-    return [matrix.make_affine([5 * k, -3 * k, 2], [k, 1, -k], [1 + 0.02 * k, 1, 1], [0.01 * k, 0, 0]) for k in range(5)]
-
-
-q("a_matrix_mean", lambda s, d: matrix_rows(s, matrix.mean(_matrices())))
-q("a_matrix_trimmed_mean", lambda s, d: matrix_rows(s, matrix.trimmed_mean(_matrices())))
-q("a_matrix_demean", lambda s, d: matrix_rows(s, matrix.demean(_matrices())))
-q("t_half_affine", lambda s, d: matrix_rows(s, matrix.half(_matrices()[3])))
-q("t_rigid_part", lambda s, d: matrix_rows(s, matrix.rigid_part(_matrices()[3])))
-
-
 def _pca(s, d):
     a = img4d(s, d)
     cov = measures.time_covariance(a, ["series_id"], AXES)

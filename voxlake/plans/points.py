@@ -96,4 +96,3 @@ q("p_zero_components", lambda s, d: voxel.zero_components(img2d(s, d).withColumn
 q("p_checker_lines", lambda s, d: voxel.checker_lines(s, (24, 20, 12), 5, ("x", "y")), "SELECT CAST(i % 24 AS INT) AS x, CAST(i // 24 % 20 AS INT) AS y, CAST(i // 480 AS INT) AS z, CASE WHEN i % 24 % 5 = 0 OR i // 24 % 20 % 5 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM range(5760) t(i)")
 q("p_identity_field", lambda s, d: voxel.identity_field(s, (9, 7, 5), M).select("x", "y", "z", *[r6(v).alias(v) for v in ("vx", "vy", "vz")]), "SELECT x, y, z, round(2.0 * x + 0.5 * y - 3.0, 6) + 0.0 AS vx, round(-0.25 * x + 1.5 * y + 4.0, 6) + 0.0 AS vy, round(z + 1.0, 6) + 0.0 AS vz FROM (SELECT CAST(i % 9 AS INT) AS x, CAST(i // 9 % 7 AS INT) AS y, CAST(i // 63 AS INT) AS z FROM range(315) t(i))")
 q("p_slice", lambda s, d: img3d(s, d).where("z = 2").select("image_id", "x", "y", r6("value").alias("value")), f"WITH {SQL_3D} SELECT image_id, x, y, round(value, 6) + 0.0 AS value FROM img3d WHERE z = 2")
-q("p_stack_volumes", lambda s, d: img4d(s, d).select("series_id", "t", "x", "y", r6("value").alias("value")), f"WITH {SQL_4D} SELECT series_id, t, x, y, round(value, 6) + 0.0 AS value FROM img4d")

@@ -79,16 +79,3 @@ _LINEAR_SQL = (
 )
 for _name in ("t_linear_spline_field", "t_linear_spline_all"):
     q(_name, lambda s, d: _out(g.linear_spline_field(img2d(s, d), nodes(img2d(s, d)), KEY, AXES, 2), "vx", "vy"), _LINEAR_SQL)
-
-
-def _tensors(s, d):
-    """The first six values of each image as a tensor with a heavy diagonal."""
-    v = [F.col("embedding")[k].cast("double") for k in range(6)]
-    return s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), *[((v[k] + 3.0) if k in (0, 2, 5) else v[k]).alias(f"d{k}") for k in range(6)])
-
-
-q(
-    "p_tensor_log_exp",
-    lambda s, d: g.tensor_exp(g.tensor_log(_tensors(s, d))).select("image_id", *[r6(f"d{k}").alias(f"d{k}") for k in range(6)]),
-    "SELECT vec_id AS image_id, " + ", ".join(f"round(CAST(embedding[{k + 1}] AS DOUBLE) + {3 if k in (0, 2, 5) else 0}, 6) + 0.0 AS d{k}" for k in range(6)) + " FROM embeddings",
-)

@@ -125,5 +125,38 @@ def rgb_channels(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy("image_id", "x", "y", "z", "t").pivot("u").agg(F.first("value"))
 
 
-def safe_name(name: str) -> str:
-    return re.sub(r"[^\w.-]", "_", name)
+def vector_rows(field: DataFrame, keys: list[str], axes: list[str], components: list[str]) -> DataFrame:
+    """Components as rows: u (place of the component) and value for each voxel, as vector images are stored."""
+    parts = F.array(*[F.struct(F.lit(k).alias("u"), F.col(c).cast("double").alias("value")) for k, c in enumerate(components)])
+    return field.select(*keys, *axes, F.explode(parts).alias("_p")).select(*keys, *axes, "_p.u", "_p.value")
+
+
+def vector_columns(rows: DataFrame, keys: list[str], axes: list[str], components: list[str]) -> DataFrame:
+    """Rows of u and value as one column for each component."""
+    return rows.groupBy(*keys, *axes).agg(*[F.max(F.when(F.col("u") == k, F.col("value"))).alias(c) for k, c in enumerate(components)])
+
+
+def reoriented(voxels: DataFrame, new: dict[str, str], dim: dict[str, int]) -> DataFrame:
+    """Axes exchanged and turned: new names for each axis the old one that it runs along, "-" for against it."""
+    at = lambda old: F.lit(dim[old[1:]] - 1) - F.col(old[1:]) if old.startswith("-") else F.col(old)
+    return voxels.withColumns({a: at(old).cast("int") for a, old in new.items()})
+
+
+def reoriented_world(m: np.ndarray, new: dict[str, str], dim: dict[str, int]) -> np.ndarray:
+    """Voxel-to-world matrix of the reoriented image: each voxel stays where it is."""
+    axes, back = ["x", "y", "z"], np.zeros((4, 4))
+    back[3, 3] = 1.0
+    for k, a in enumerate(axes):
+        old = new.get(a, a)
+        row = axes.index(old.removeprefix("-"))
+        back[row, k] = -1.0 if old.startswith("-") else 1.0
+        back[row, 3] = dim[axes[row]] - 1 if old.startswith("-") else 0.0
+    return np.asarray(m, float) @ back
+
+
+def matrix_size(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Rows and columns of a matrix in a text file; rows of differing length are an error."""
+    lines = [len(r.value.split()) for r in spark.read.text(path).collect() if r.value.strip()]
+    if len(set(lines)) > 1:
+        raise ValueError("the rows of the matrix differ in length")
+    return len(lines), lines[0] if lines else 0
