@@ -73,3 +73,29 @@ def test_all_images_are_averaged(spark):
         total += (e[:7, :7] * 0.75 + e[:7, 1:] * 0.25) if r.vec_id % 2 else e[:7, :7]
     got = {(r.x, r.y): r.value for r in PLANS["w_average_all_images"](spark, SF).collect()}
     assert len(got) == 64 and all(np.isnan(got[k]) if 7 in k else abs(got[k] - total[k[1], k[0]] / len(rows)) < 2e-6 for k in got)
+
+
+def test_spline_registration_of_other_measures_and_levels(spark):
+    ref, flo = blob(spark, 32), blob(spark, 32, dx=1.5)
+    mask = ref.where("x < 30").select("x", "y")
+    start = register.spline_registration(ref, flo, ["x", "y"], {"x": 32, "y": 32}, 5.0, rounds=0, measure="nmi", mask=mask)[1]
+    grid, after = register.spline_registration(ref, flo, ["x", "y"], {"x": 32, "y": 32}, 5.0, rounds=1, linear=0.001, jacobian=0.001, measure="nmi", mask=mask, levels=2, trials=2)
+    assert after > start and grid.count() == 10 * 10
+
+
+def test_velocity_registration_improves_both_directions(spark):
+    ref, flo = blob(spark, 14), blob(spark, 14, dx=0.8)
+    start = register.velocity_registration(ref, flo, ["x", "y"], {"x": 14, "y": 14}, 5.0, rounds=0, squarings=1)[1]
+    grid, after = register.velocity_registration(ref, flo, ["x", "y"], {"x": 14, "y": 14}, 5.0, rounds=1, squarings=1, trials=3)
+    assert after > start and grid.count() == 6 * 6 and grid.columns == ["x", "y", "vx", "vy"]
+
+
+def test_groups_and_series_are_aligned(spark):
+    shifts = [-1.0, 1.0]
+    one = lambda n, dx, name: blob(spark, 32, dx=dx).select(F.lit(n).alias(name), "x", "y", "value")
+    images = one(0, shifts[0], "image_id").union(one(1, shifts[1], "image_id"))
+    options = {"levels": 1, "rounds": 1, "rigid_only": True}
+    mean, found = register.groupwise(images, ["x", "y"], {"x": 32, "y": 32}, 1, **options)
+    assert mean.count() == 32 * 32 and found[1][0, 3] - found[0][0, 3] > 0.5
+    series = register.pca_registration(images.withColumnRenamed("image_id", "t"), ["x", "y"], {"x": 32, "y": 32}, **options)
+    assert series.count() == 2 * 32 * 32

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import estimate, matrix, measures, resample, select, stencil, transform
+from . import estimate, matrix, measures, penalty, regularise, resample, select, stencil, transform
 from .lineage import cut
 
 
@@ -56,53 +56,198 @@ def affine_registration(reference: DataFrame, floating: DataFrame, axes: list[st
     return m
 
 
-def spline_registration(reference: DataFrame, floating: DataFrame, axes: list[str], dim: dict[str, int], spacing: float = 5.0, rounds: int = 10, bending: float = 0.001) -> tuple[DataFrame, float]:
-    """Control grid that moves reference voxels onto the floating image, by conjugate gradient on SSD less bending energy.
+def _slope(measure: str, pair: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """g<axis>: against the slope of a measure of a pair that carries the warped image's gradient s<axis>."""
+    if measure == "nmi":
+        binned = measures.in_bins(pair, keys)
+        return estimate.nmi_gradient(binned, measures.joint_histogram(binned, keys), keys, axes, axes)
+    if measure == "lncc":
+        return estimate.lncc_gradient(pair, keys, axes)
+    if measure == "kld":
+        return estimate.kld_gradient(pair, keys, axes).withColumns({f"g{a}": -F.col(f"g{a}") for a in axes})
+    if measure == "ssd":
+        return estimate.ssd_gradient(pair, keys, axes)
+    raise ValueError("registration is offered for ssd, nmi, kld and lncc")
 
+
+def _energies(grid: DataFrame, axes: list[str], spacing: float, weights: dict[str, float]) -> float:
+    """Weighted sum of the penalties of a grid (one key, k)."""
+    fn = {
+        "bending": lambda: transform.bending_energy(grid, ["k"], axes).first().energy,
+        "linear": lambda: regularise.linear_energy(grid, ["k"], axes, spacing).first().energy,
+        "jacobian": lambda: penalty.grid_penalty(grid, ["k"], axes, spacing).first().penalty,
+    }
+    return sum(w * fn[name]() for name, w in weights.items() if w)
+
+
+def _energy_slope(grid: DataFrame, axes: list[str], spacing: float, weights: dict[str, float]) -> DataFrame | None:
+    """Slope of _energies() for each node's components; None without penalties."""
+    fn = {
+        "bending": lambda: regularise.bending_gradient(grid, ["k"], axes),
+        "linear": lambda: regularise.linear_gradient(grid, ["k"], axes, spacing),
+        "jacobian": lambda: penalty.penalty_gradient(grid, ["k"], axes, spacing),
+    }
+    parts, total = transform.parts_of(axes), None
+    for name, w in weights.items():
+        if w:
+            one = fn[name]().select("k", *axes, *[(F.col(v) * w).alias(v) for v in parts])
+            total = one if total is None else total.union(one)
+    return None if total is None else total.groupBy("k", *axes).agg(*[F.sum(v).alias(v) for v in parts])
+
+
+def _node_gradient(dense: DataFrame, nodes: DataFrame, axes: list[str], spacing: float) -> DataFrame:
+    """A voxel gradient (k, axes, components) brought to the nodes: convolved at their spacing and read there."""
+    smooth = stencil.convolve_components(dense, ["k"], axes, {a: -spacing for a in axes}, transform.parts_of(axes), "cubic")
+    return transform.to_nodes(smooth, nodes, ["k"], axes, spacing)
+
+
+def spline_registration(reference: DataFrame, floating: DataFrame, axes: list[str], dim: dict[str, int], spacing: float = 5.0, rounds: int = 10, bending: float = 0.001, linear: float = 0.0, jacobian: float = 0.0, measure: str = "ssd", mask: DataFrame | None = None, levels: int = 1, trials: int = 6) -> tuple[DataFrame, float]:
+    """Control grid that moves reference voxels onto the floating image, by conjugate gradient on a measure (ssd, nmi, kld
+    or lncc) less weighted penalties: bending energy, linear energy and squared log Jacobians.
+
+    levels: coarse to fine, with nodes `spacing` voxels apart at each level; mask (axes): the reference voxels that count.
     Returns the grid and the objective. Each step's image, gradient and grid stay distributed; the line search sees
     one number a trial.
     """
-    parts = transform.parts_of(axes)
-    nodes = cut(transform.control_grid(reference.sparkSession, dim, spacing))
+    one = F.lit(0).alias("k")
+    image = lambda a: resample.pyramid(a.select(one, *axes, "value"), ["k"], dim, levels, least=16)
+    masks = resample.mask_pyramid(mask.select(*axes), dim, levels, least=16) if mask is not None else [None] * levels
+    nodes, before = None, dim
+    for (r, size), (f, _), chosen in zip(image(reference), image(floating), masks, strict=True):
+        first = transform.control_grid(reference.sparkSession, size, spacing)
+        if nodes is not None:
+            first = _refined(nodes, first, axes, spacing, {a: size[a] / before[a] for a in axes})
+        r, f = cut(r.drop("k")), cut(f.drop("k"))
+        nodes, best = _fit_grid(r if chosen is None else r.join(chosen, axes, "left_semi"), f, cut(first), axes, spacing, rounds, {"bending": bending, "linear": linear, "jacobian": jacobian}, measure, trials)
+        before = size
+    return nodes, best
+
+
+def _refined(nodes: DataFrame, grid: DataFrame, axes: list[str], spacing: float, factor: dict[str, float]) -> DataFrame:
+    """A coarser level's grid on the nodes of the next one: axes that became finer are refined, displacements grow with them."""
+    finer = [a for a in axes if factor[a] > 1]
+    moved = nodes.select(F.lit(0).alias("k"), *axes, *[((F.col(transform.PARTS[a]) - (F.col(a) - 1) * float(spacing)) * float(round(factor[a]))).alias(transform.PARTS[a]) for a in axes])
+    dense = transform.refine_grid(moved, ["k"], axes, finer)
+    have = dense.select(*axes, *[F.col(v).alias(f"_d{v}") for v in transform.parts_of(axes)])
+    return grid.join(have, axes, "left").select(*axes, *[(F.col(v) + F.coalesce(f"_d{v}", F.lit(0.0))).alias(v) for v in transform.parts_of(axes)])
+
+
+def _fit_grid(reference: DataFrame, floating: DataFrame, nodes: DataFrame, axes: list[str], spacing: float, rounds: int, penalties: dict[str, float], measure: str, trials: int) -> tuple[DataFrame, float]:
+    parts, keyed = transform.parts_of(axes), lambda df: df.withColumn("k", F.lit(0))
     voxels, ref = reference.select(*axes), reference.select(*axes, "value")
+    share = 1 - sum(penalties.values())
 
     def state(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
         at = transform.spline_field(voxels, grid, [], axes, spacing).withColumns({f"p{a}": F.col(transform.PARTS[a]) for a in axes})
         return at, ref.join(resample.resample(floating, at, [], axes, axes, 1, float("nan")).withColumnRenamed("value", "w"), axes)
 
     def objective(grid: DataFrame) -> float:
-        pair = state(grid)[1].withColumn("k", F.lit(0))
-        ssd = measures.ssd(pair, ["k"]).first().measure
-        be = transform.bending_energy(grid.withColumn("k", F.lit(0)), ["k"], axes).first().energy
-        return (1 - bending) * ssd - bending * be
+        return share * measures.measure(measure, keyed(state(grid)[1]), ["k"], axes).first().measure - _energies(keyed(grid), axes, spacing, penalties)
 
     best, history = objective(nodes), None
     size = float(spacing)
     for _ in range(rounds):
         at, pair = state(nodes)
         slope = resample.image_gradient(floating, at, [], axes, axes).select(*axes, *[F.col(f"g{a}").alias(f"s{a}") for a in axes])
-        g = estimate.ssd_gradient(pair.join(slope, axes).withColumn("k", F.lit(0)), ["k"], axes)
-        # against the slope of the squared differences
-        dense = g.select("k", *axes, *[(-F.col(f"g{a}")).alias(transform.PARTS[a]) for a in axes])
-        smooth = dense
-        for v in parts:
-            one = stencil.convolve(dense.select("k", *axes, F.col(v).alias("value")), ["k"], axes, {a: -spacing for a in axes}, "cubic").withColumnRenamed("value", f"_{v}")
-            smooth = smooth.drop(v).join(one, ["k", *axes]).withColumnRenamed(f"_{v}", v)
+        g = _slope(measure, keyed(pair.join(slope, axes)), ["k"], axes)
+        dense = g.select("k", *axes, *[(-F.col(f"g{a}") * share).alias(transform.PARTS[a]) for a in axes])
+        grad = _node_gradient(dense, keyed(nodes), axes, spacing)
+        against = _energy_slope(keyed(nodes), axes, spacing, penalties)
+        if against is not None:
+            grad = estimate.step(grad, against, ["k", *axes], parts, -1.0)
         on = ["k", *axes]
-        grad = estimate.normalise_gradient(transform.to_nodes(smooth, nodes.withColumn("k", F.lit(0)), ["k"], axes, spacing), ["k"], parts)
+        grad = estimate.normalise_gradient(grad, ["k"], parts)
         if history is None:
             history = grad.select(*on, *[F.col(v).alias(f"p{v}") for v in parts], *[F.col(v).alias(f"h{v}") for v in parts])
         else:
             history = estimate.conjugate(grad, history, ["k"], on, parts)
         history = cut(history)
         move = history.select(*axes, *[F.col(f"h{v}").alias(v) for v in parts])
-        done, value = estimate.line_search(lambda s, mv=move: objective(estimate.step(nodes, mv, axes, parts, s)), size, best, 6)
+        done, value = estimate.line_search(lambda s, mv=move: objective(estimate.step(nodes, mv, axes, parts, s)), size, best, trials)
         if done == 0.0:
             break
         nodes, best, size = cut(estimate.step(nodes, move, axes, parts, done)), value, max(done, 0.1)
     return nodes, best
 
 
+def velocity_registration(reference: DataFrame, floating: DataFrame, axes: list[str], dim: dict[str, int], spacing: float = 5.0, rounds: int = 10, bending: float = 0.001, measure: str = "ssd", squarings: int = 6, trials: int = 6) -> tuple[DataFrame, float]:
+    """Velocity grid (displacements of nodes) whose exponential moves the reference onto the floating image, and whose
+    negative moves the floating image back: both directions count the same.
+
+    Each round takes the slope of both directions to the velocities, symmetrises it, and searches along it. Returns the
+    grid and the objective.
+    """
+    parts, keyed = transform.parts_of(axes), lambda df: df.withColumn("k", F.lit(0))
+    images = [keyed(x.select(*axes, "value")) for x in (reference, floating)]
+    voxels, on = images[0].select("k", *axes), ["k", *axes]
+    nodes = cut(keyed(transform.control_grid(reference.sparkSession, dim, spacing)).select(*on, *[F.lit(0.0).alias(v) for v in parts]))
+
+    def fields(grid: DataFrame, side: int) -> list[DataFrame]:
+        return transform.intermediate_fields(transform.spline_field(voxels, grid, ["k"], axes, spacing), ["k"], axes, dim, squarings, backward=side == 1)
+
+    def pair(field: DataFrame, side: int) -> tuple[DataFrame, DataFrame]:
+        at = field.withColumns({f"p{a}": F.col(transform.PARTS[a]) for a in axes})
+        return at, images[side].join(resample.resample(images[1 - side], at, ["k"], axes, axes, 1, float("nan")).withColumnRenamed("value", "w"), on)
+
+    def objective(grid: DataFrame) -> float:
+        seen = [measures.measure(measure, pair(fields(grid, side)[-1], side)[1], ["k"], axes) for side in (0, 1)]
+        return (1 - bending) * measures.both_ways(*seen, ["k"]).first().measure - 2 * bending * transform.bending_energy(grid, ["k"], axes).first().energy
+
+    best, size = objective(nodes), float(spacing)
+    for _ in range(rounds):
+        slopes = []
+        for side in (0, 1):
+            steps = fields(nodes, side)
+            at, seen = pair(steps[-1], side)
+            slope = resample.image_gradient(images[1 - side], at, ["k"], axes, axes).select(*on, *[F.col(f"g{a}").alias(f"s{a}") for a in axes])
+            g = _slope(measure, seen.join(slope, on), ["k"], axes)
+            dense = g.select(*on, *[(-F.col(f"g{a}")).alias(transform.PARTS[a]) for a in axes])
+            # a voxel outside the image says nothing
+            dense = voxels.join(dense, on, "left").select(*on, *[F.coalesce(v, F.lit(0.0)).alias(v) for v in parts])
+            spread = estimate.exponentiated_gradient(dense, fields(nodes, 1 - side)[:-1], ["k"], axes)
+            slopes.append(_node_gradient(spread, nodes, axes, spacing))
+        move = cut(estimate.normalise_gradient(estimate.symmetrised(*slopes, on, parts)[0], ["k"], parts))
+        done, value = estimate.line_search(lambda s, mv=move: objective(estimate.update_velocity(nodes, mv, on, parts, s)), size, best, trials)
+        if done == 0.0:
+            break
+        nodes, best, size = cut(estimate.update_velocity(nodes, move, on, parts, done)), value, max(done, 0.1)
+    return nodes.drop("k"), best
+
+
+def groupwise(images: DataFrame, axes: list[str], dim: dict[str, int], passes: int = 3, **options) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """An atlas of a study's images: each pass registers every image to the mean (affine), takes the common part out of
+    the matrices, and averages the images anew. images: image_id, axes, value; a study has tens of them.
+
+    Returns the mean image and each image's matrix.
+    """
+    ids = [r.image_id for r in images.select("image_id").distinct().orderBy("image_id").collect()]
+    mean, found = cut(measures.nan_average(images, axes)), {i: np.eye(4) for i in ids}
+    for _ in range(passes):
+        found = {i: affine_registration(mean, images.where(F.col("image_id") == i).drop("image_id"), axes, dim, **options) for i in ids}
+        common = matrix.demean(list(found.values()))
+        found = {i: m @ common for i, m in found.items()}
+        mean = cut(average_images(images, found, axes))
+    return mean, found
+
+
+def pca_registration(series: DataFrame, axes: list[str], dim: dict[str, int], parts: int | None = None, **options) -> DataFrame:
+    """A series of volumes (t, axes, value) aligned through its principal parts: with one part, then two and so on, each
+    volume is registered (affine) to what these parts make of it, and read there."""
+    times = [r.t for r in series.select("t").distinct().orderBy("t").collect()]
+    now = series.select(F.lit(0).alias("series"), "t", *axes, "value")
+    for count in range(1, (parts or len(times) - 1) + 1):
+        cov = measures.time_covariance(now.where(~F.isnan("value")), ["series"], axes)
+        target = cut(estimate.project_over_time(now.where(~F.isnan("value")), ["series"], axes, cov, count))
+        out = None
+        for t in times:
+            volume = series.where(F.col("t") == t).select(*axes, "value")
+            m = affine_registration(target.where(F.col("t") == t).select(*axes, "value"), volume, axes, dim, **options)
+            one = warp(volume, volume.select(*axes), m, axes).select(F.lit(0).alias("series"), F.lit(t).alias("t"), *axes, "value")
+            out = one if out is None else out.unionByName(one)
+        now = cut(out)
+    return now.drop("series")
+
+
 def average_images(images: DataFrame, matrices: dict[int, np.ndarray] | DataFrame, axes: list[str]) -> DataFrame:
     """Mean of images (image_id, axes, value) after each is warped by its own matrix; NaN where none is defined.
 

@@ -36,13 +36,19 @@ def kernel(kind: str, sigma: float) -> list[float]:
 
 
 def _along(keys: list[str], axes: list[str], axis: str):
-    """Window along one axis of each image. Lines are dense, so neighbours in the window are neighbours in space."""
+    """Window along one axis of each image."""
     return W.partitionBy(*keys, *[a for a in axes if a != axis]).orderBy(axis)
 
 
+def neighbour(column: str | Column, by: int, w) -> Column:
+    """The value `by` places away along the window's axis; null where there is no voxel. Voxels are found by their place,
+    so lines may have gaps."""
+    return F.max(column).over(w.rangeBetween(by, by))
+
+
 def _weighted(column: str, weights: list[float], w) -> Column:
     r = len(weights) // 2
-    terms = [F.coalesce(F.lag(column, -i).over(w), F.lit(0.0)) * k for i, k in zip(range(-r, r + 1), weights, strict=True) if k]
+    terms = [F.coalesce(neighbour(column, i, w), F.lit(0.0)) * k for i, k in zip(range(-r, r + 1), weights, strict=True) if k]
     return reduce(lambda a, b: a + b, terms, F.lit(0.0))
 
 
@@ -112,7 +118,7 @@ def gradient(a: DataFrame, keys: list[str], axes: list[str], padding: float = 0.
     out = {}
     for x in axes:
         w = _along(keys, axes, x)
-        g = (F.coalesce(F.lead("value").over(w), F.lit(padding)) - F.coalesce(F.lag("value").over(w), F.lit(padding))) / 2
+        g = (F.coalesce(neighbour("value", 1, w), F.lit(padding)) - F.coalesce(neighbour("value", -1, w), F.lit(padding))) / 2
         out[f"g{x}"] = F.coalesce(known(g), F.lit(0.0))
     return a.withColumns(out)
 
@@ -120,7 +126,7 @@ def gradient(a: DataFrame, keys: list[str], axes: list[str], padding: float = 0.
 def shifted(keys: list[str], axes: list[str], move: dict[str, int], column: str = "value") -> Column:
     """The value `move` away along one axis (0 outside the image)."""
     ((axis, by),) = move.items()
-    return F.coalesce(F.lead(column, by).over(_along(keys, axes, axis)), F.lit(0.0))
+    return F.coalesce(neighbour(column, by, _along(keys, axes, axis)), F.lit(0.0))
 
 
 def shift(a: DataFrame, keys: list[str], axes: list[str], move: dict[str, int]) -> DataFrame:

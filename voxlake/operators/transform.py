@@ -93,13 +93,13 @@ def determinant(axes: list[str]) -> Column:
 
 
 def field_jacobian(field: DataFrame, keys: list[str], axes: list[str], spacing: dict[str, float] | None = None) -> DataFrame:
-    """Forward differences of a dense field (the last voxel of a line repeats the one before) and their determinant."""
+    """Forward differences of a dense field (the last voxel of a line repeats the one before) and their determinant. Lines may have gaps."""
     out = {}
     for a in axes:
         w = W.partitionBy(*keys, *[b for b in axes if b != a]).orderBy(a)
         for b in axes:
             v = F.col(PARTS[b])
-            ahead, back = F.lead(v).over(w) - v, v - F.lag(v).over(w)
+            ahead, back = F.max(v).over(w.rangeBetween(1, 1)) - v, v - F.max(v).over(w.rangeBetween(-1, -1))
             out[f"j{b}{a}"] = F.coalesce(ahead, back, F.lit(0.0)) / float((spacing or {}).get(a, 1.0))
     return field.withColumns(out).withColumn("det", determinant(axes))
 
@@ -210,11 +210,11 @@ def control_grid(spark: SparkSession, dim: dict[str, int], spacing: float) -> Da
     return g.select(*dim, *[((F.col(a) - 1) * float(spacing)).alias(PARTS[a]) for a in dim])
 
 
-def refine_grid(nodes: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+def refine_grid(nodes: DataFrame, keys: list[str], axes: list[str], finer: list[str] | None = None) -> DataFrame:
     """Grid of half the spacing with the same field: an old node keeps [1/8, 3/4, 1/8] of its line, a new node between
-    two takes half of each. Outside nodes count as 0, as the displacement form asks for."""
+    two takes half of each. Outside nodes count as 0, as the displacement form asks for. finer: the axes to refine, else all."""
     out = nodes
-    for a in axes:
+    for a in axes if finer is None else finer:
         rest = [b for b in axes if b != a]
         shares = [(-2, 1 / 8), (-1, 1 / 2), (0, 3 / 4), (1, 1 / 2), (2, 1 / 8)]
         cast = out.select(*keys, *rest, F.explode(F.array(*[F.struct((F.col(a) * 2 - 1 + d).alias("t"), F.lit(k).alias("k")) for d, k in shares])).alias("_s"), *parts_of(axes))
