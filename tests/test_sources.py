@@ -57,3 +57,40 @@ def test_names_and_matrices(spark, tmp_path):
     assert np.allclose(images.read_matrix(spark, str(tmp_path / "m.txt")), np.eye(4) * 1.5)
     (tmp_path / "l.txt").write_text("1 2 3\n4 5 6\n")
     assert [(r.px, r.pz) for r in images.read_landmarks(spark, str(tmp_path / "l.txt")).orderBy("landmark").collect()] == [(1.0, 3.0), (4.0, 6.0)]
+
+
+def test_images_are_written_as_files(spark, tmp_path):
+    voxels = spark.createDataFrame([(f"case {i}.nii", x, y, 0, 0, 0, float(x + 4 * y + i)) for i in range(3) for x in range(4) for y in range(3)], images.VOXELS)
+    meta = ImageMeta("", (4, 3, 1, 1, 1, 1, 1), (1.0,) * 7, "float32", 1.0, 0.0, 1, 0, tuple(np.eye(4).ravel()))
+    for _ in range(2):  # written again: the same files
+        images.write_images(images.encode_images(voxels, meta), str(tmp_path / "out"))
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == ["case_0.nii", "case_1.nii", "case_2.nii"]
+    back = {(r.image_id.rsplit("/", 1)[-1], r.x, r.y): r.value for r in images.read_voxels(spark, str(tmp_path / "out")).collect()}
+    assert len(back) == 36 and back["case_2.nii", 3, 2] == 13.0
+
+
+def test_reoriented_voxels_stay_where_they_are(spark):
+    new, dim = {"x": "-y", "y": "z", "z": "x"}, {"x": 5, "y": 4, "z": 3}
+    m = np.array(META.sform).reshape(4, 4) if hasattr(META, "sform") else np.array([[1.0, 0, 0, -4], [0, 2, 0, 3], [0, 0, 3, 1], [0, 0, 0, 1]])
+    turned = images.reoriented_world(m, new, dim)
+    df = spark.createDataFrame([(1, 2, 0, 7.0), (4, 3, 2, 8.0)], "x int, y int, z int, value double")
+    for a, b in zip(df.orderBy("value").collect(), images.reoriented(df, new, dim).orderBy("value").collect(), strict=True):
+        assert np.allclose(m @ [a.x, a.y, a.z, 1], turned @ [b.x, b.y, b.z, 1])
+
+
+def test_matrix_size(spark, tmp_path):
+    (tmp_path / "m.txt").write_text("1 2 3\n4 5 6\n")
+    (tmp_path / "bad.txt").write_text("1 2 3\n4 5\n")
+    assert images.matrix_size(spark, str(tmp_path / "m.txt")) == (2, 3)
+    with pytest.raises(ValueError):
+        images.matrix_size(spark, str(tmp_path / "bad.txt"))
+
+
+def test_grids_in_the_middle_cover_both_images(spark):
+    from voxlake.operators.transform import middle_grids
+
+    forward, backward, box = middle_grids(spark, {"x": 10, "y": 8}, {"x": 10, "y": 8}, [1, 0, 0, 4.0, 0, 1, 0, -2.0, 0, 0, 1, 0, 0, 0, 0, 1], 2.0)
+    assert box == {"x": (-2, 11), "y": (-1, 8)}
+    first = forward.where("x = 1 AND y = 1").first()
+    assert (first.vx, first.vy) == (-2.0, -1.0) and backward.count() == 10 * 8

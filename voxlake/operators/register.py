@@ -261,6 +261,14 @@ def average_images(images: DataFrame, matrices: dict[int, np.ndarray] | DataFram
     return _average(images, table, axes)
 
 
+def average_deformed(images: DataFrame, fields: DataFrame, axes: list[str], demean: bool = False) -> DataFrame:
+    """Mean of images (image_id, axes, value), each read through its own dense field (image_id, axes, positions); demean:
+    the fields' mean displacement is taken off first."""
+    at = regularise.demeaned_fields(fields, axes) if demean else fields
+    points = at.withColumns({f"p{a}": F.col(transform.PARTS[a]) for a in axes})
+    return measures.nan_average(resample.resample(images, points, ["image_id"], axes, axes, 1, float("nan")), axes)
+
+
 def _average(images: DataFrame, table: DataFrame, axes: list[str]) -> DataFrame:
     c = [F.col(a) if a in axes else F.lit(0.0) for a in "xyz"]
     at = {f"p{a}": F.col(f"m{4 * r}") * c[0] + F.col(f"m{4 * r + 1}") * c[1] + F.col(f"m{4 * r + 2}") * c[2] + F.col(f"m{4 * r + 3}") for r, a in enumerate("xyz") if a in axes}

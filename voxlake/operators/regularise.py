@@ -178,6 +178,35 @@ def demeaned_fields(fields: DataFrame, axes: list[str]) -> DataFrame:
     return fields.join(mean, axes).withColumns({PARTS[a]: F.col(PARTS[a]) - F.col(f"_m{a}") for a in axes}).drop(*[f"_m{a}" for a in axes])
 
 
+def demeaned_velocities(grids: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """Velocity grids (displacements of nodes; keys name the image) without what an affine of each grid explains, less the
+    mean of these over all images at each node. The affine is the least-squares one, fitted from sums by key."""
+    n, at, v = len(axes), [F.col(a).cast("double") for a in axes], [F.col(PARTS[a]) for a in axes]
+    sums = [F.count(F.lit(1)).alias("_n")] + [F.sum(c).alias(f"_s{i}") for i, c in enumerate(at)] + [F.sum(c).alias(f"_t{i}") for i, c in enumerate(v)]
+    sums += [F.sum(at[i] * at[j]).alias(f"_q{i}{j}") for i in range(n) for j in range(n)] + [F.sum(at[i] * v[j]).alias(f"_r{i}{j}") for i in range(n) for j in range(n)]
+    names = [f"_a{i}{j}" for i in range(n) for j in range(n + 1)]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            gram, right = np.zeros((len(b), n + 1, n + 1)), np.zeros((len(b), n + 1, n))
+            gram[:, n, n] = b["_n"]
+            for i in range(n):
+                gram[:, i, n] = gram[:, n, i] = b[f"_s{i}"]
+                right[:, n, i] = b[f"_t{i}"]
+                for j in range(n):
+                    gram[:, i, j], right[:, i, j] = b[f"_q{i}{j}"], b[f"_r{i}{j}"]
+            a = np.swapaxes(np.linalg.pinv(gram) @ right, 1, 2).reshape(len(b), -1)
+            yield pd.concat([b[keys].reset_index(drop=True), pd.DataFrame(a, columns=names)], axis=1)
+
+    grouped = grids.groupBy(*keys).agg(*sums)
+    schema = ", ".join([*(f"`{k}` {dict(grouped.dtypes)[k]}" for k in keys), *(f"{x} double" for x in names)])
+    affine = grouped.mapInPandas(fit, schema)
+    rest = {PARTS[a]: F.col(PARTS[a]) - reduce(add, [F.col(f"_a{i}{j}") * at[j] for j in range(n)]) - F.col(f"_a{i}{n}") for i, a in enumerate(axes)}
+    free = grids.join(affine, keys).select(*keys, *axes, *[c.alias(p) for p, c in rest.items()])
+    mean = free.groupBy(*axes).agg(*[F.avg(p).alias(f"_m{p}") for p in parts_of(axes)])
+    return free.join(mean, axes).select(*keys, *axes, *[(F.col(p) - F.col(f"_m{p}")).alias(p) for p in parts_of(axes)])
+
+
 def linear_spline_field(voxels: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
     """Dense field that runs straight between the nodes of a grid, `spacing` voxels apart."""
     at = voxels.withColumns({f"p{a}": F.col(a) / float(spacing) + 1 for a in axes})

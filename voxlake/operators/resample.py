@@ -160,3 +160,87 @@ def psf_resample(source: DataFrame, points: DataFrame, keys: list[str], axes: li
 
     at = [f"p{a}" for a in axes]
     return tiles.on_tiles(points.select(*keys, *point, *at), source, keys, axes, at, (reach, reach + 1), kernel, "value double", [*keys, *point], ["value"])
+
+
+def spread_of(j: np.ndarray, target: list[float], source: list[float], algorithm: str = "matrix") -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues (n, d) and eigenvectors (n, d, d) of the point spread between a grid and an image with variances
+    `target` and `source` along their axes, whose Jacobians are j (n, d, d).
+
+    The image's spread is brought into the grid's space. "matrix": what the grid's has beyond it, no eigenvalue below 0.
+    "determinant": the least spread that covers both, found where the image's is round.
+    """
+    t, a = np.diag(target), np.linalg.inv(j)
+    s = a @ np.diag(source) @ np.swapaxes(a, 1, 2)
+    if algorithm == "matrix":
+        vals, vecs = np.linalg.eigh(t - s)
+        return np.maximum(vals, 1e-6), vecs
+    if algorithm != "determinant":
+        raise ValueError("algorithms are matrix and determinant")
+    ds, zs = np.linalg.eigh(s)
+    volume = np.prod(ds, 1) ** 0.25
+    scale = volume[:, None] / np.sqrt(ds)
+    round_ = scale[:, :, None] * (np.swapaxes(zs, 1, 2) @ t @ zs) * scale[:, None, :]
+    dt, zt = np.linalg.eigh(round_)
+    full = (zt * np.maximum(np.sqrt(volume)[:, None], dt)[:, None, :]) @ np.swapaxes(zt, 1, 2)
+    q = zs @ (full / (scale[:, :, None] * scale[:, None, :])) @ np.swapaxes(zs, 1, 2)
+    vals, vecs = np.linalg.eigh(q - s)
+    return np.maximum(vals, 0.0), vecs
+
+
+def _spread_out(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], moves, longest: float, order: int, padding: float) -> DataFrame:
+    """Each point as the weighted mean of samples around it. moves(j) gives (n, samples, d) offsets in the grid's space and
+    their weights; the point's Jacobian j<component><axis> leads them into the image. A tap beyond the image counts 0, a
+    sample without any doesn't count."""
+    names = [f"j{b}{a}" for b in axes for a in axes]
+    most = points.agg(*[F.max(sum((F.abs(F.col(f"j{b}{a}")) for a in axes), F.lit(0.0))) for b in axes]).first()
+    weigh, before, count = _weights(order)
+    reach = int(np.ceil(longest * max([x for x in most if x is not None] or [0.0]))) + 3
+
+    def kernel(p, dense, origin, rows):
+        values, there = dense
+        there = there & ~np.isnan(values)
+        values = np.where(there, values, 0.0)
+        out = np.full(len(p), padding)
+        jac = np.stack([rows[c].to_numpy().astype(float) for c in names], 1).reshape(-1, len(axes), len(axes))
+        few = max(1, SAMPLES // 512)
+        for lo in range(0, len(p), few):
+            j = jac[lo : lo + few]
+            offset, weight = moves(j)
+            q = p[lo : lo + few, None, :] + np.einsum("nba,nma->nmb", j, offset)
+            total, seen = np.zeros(weight.size), np.zeros(weight.size, bool)
+            for at, k in tiles.taps(q.reshape(-1, len(axes)), origin, [weigh] * len(axes), before, count):
+                total += values[at] * k
+                seen |= there[at]
+            weight = weight * seen.reshape(weight.shape)
+            all_ = weight.sum(1)
+            out[lo : lo + few] = np.where(all_ != 0, (total.reshape(weight.shape) * weight).sum(1) / np.where(all_ != 0, all_, 1.0), padding)
+        return [out]
+
+    at = [f"p{a}" for a in axes]
+    return tiles.on_tiles(points.select(*keys, *point, *at, *names), source, keys, axes, at, (reach + before, reach + count - before), kernel, "value double", [*keys, *point], ["value"])
+
+
+def psf_resample_between(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], target: dict[str, float], image: dict[str, float], algorithm: str = "matrix", order: int = 1, padding: float = float("nan")) -> DataFrame:
+    """Values seen through the point spread that leads from the image's resolution to the grid's, with each point's own
+    covariance from its Jacobian j<component><axis>. target, image: variances along the axes. Samples stand three
+    quarters of a deviation apart along the spread's axes, out to three of them, none along axes that hardly spread."""
+    grid = np.array(list(product([0.75 * i for i in range(-3, 4)], repeat=len(axes))))
+    grid = grid[(grid**2).sum(1) <= 9.0]
+
+    def moves(j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        vals, vecs = spread_of(j, [target[a] for a in axes], [image[a] for a in axes], algorithm)
+        flat = vals < 0.01
+        weight = np.exp(-0.5 * (grid**2).sum(1))[None, :] * ~((grid[None] != 0) & flat[:, None, :]).any(2)
+        return np.einsum("nba,nma->nmb", vecs, grid[None] * np.sqrt(vals)[:, None, :]), weight
+
+    return _spread_out(source, points, keys, axes, point, moves, 3 * np.sqrt(max(target.values())) * (1 if algorithm == "matrix" else 4), order, padding)
+
+
+def psf_resample_sinc(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], order: int = 1, padding: float = float("nan")) -> DataFrame:
+    """Values seen through the positive part of a windowed sinc of the grid's own resolution: samples 0.3 voxels apart out
+    to three voxels, led into the image by each point's Jacobian j<component><axis>."""
+    steps = np.array([-3 + 0.3 * i for i in range(21)])
+    taps = np.sinc(steps) * np.sinc(steps / 3)
+    grid, gain = np.array(list(product(steps, repeat=len(axes)))), np.array([np.prod(w) for w in product(taps, repeat=len(axes))])
+    grid, gain = grid[gain > 0], gain[gain > 0]
+    return _spread_out(source, points, keys, axes, point, lambda j: (np.broadcast_to(grid, (len(j), *grid.shape)), np.broadcast_to(gain, (len(j), len(gain)))), 3.0, order, padding)

@@ -210,6 +210,29 @@ def control_grid(spark: SparkSession, dim: dict[str, int], spacing: float) -> Da
     return g.select(*dim, *[((F.col(a) - 1) * float(spacing)).alias(PARTS[a]) for a in dim])
 
 
+def middle_grids(spark: SparkSession, dim: dict[str, int], other_dim: dict[str, int], affine: list[float], spacing: float) -> tuple[DataFrame, DataFrame, dict[str, tuple[int, int]]]:
+    """Identity grids for a symmetric registration, in the space half way between both images, and its first and last
+    voxel along each axis.
+
+    affine leads from the reference's voxels to the floating image's. Half of it leads the reference's corners into the
+    middle, the inverse of half of it the other image's; the grids cover all of these. Both hold positions in the middle
+    space, nodes `spacing` voxels apart from the first voxel on.
+    """
+    import math
+
+    import numpy as np
+
+    from .matrix import half
+
+    axes, h = list(dim), half(np.reshape(affine, (4, 4)))
+    corners = lambda size: np.array([[*[(size.get(a, 1) - 1) * (i >> k & 1) for k, a in enumerate("xyz")], 1.0] for i in range(8)])
+    seen = np.concatenate([corners(dim) @ h.T, corners(other_dim) @ np.linalg.inv(h).T])
+    box = {a: (math.floor(seen[:, k].min() + 1e-9), math.ceil(seen[:, k].max() - 1e-9)) for k, a in enumerate("xyz") if a in axes}
+    nodes = control_grid(spark, {a: hi - lo + 1 for a, (lo, hi) in box.items()}, spacing)
+    placed = nodes.withColumns({PARTS[a]: F.col(PARTS[a]) + float(box[a][0]) for a in axes})
+    return placed, placed, box
+
+
 def refine_grid(nodes: DataFrame, keys: list[str], axes: list[str], finer: list[str] | None = None) -> DataFrame:
     """Grid of half the spacing with the same field: an old node keeps [1/8, 3/4, 1/8] of its line, a new node between
     two takes half of each. Outside nodes count as 0, as the displacement form asks for. finer: the axes to refine, else all."""

@@ -183,3 +183,42 @@ q(
     lambda s, d: regularise.tensor_rotate(_tensors(s, d).withColumns({**{f"j{b}{a}": F.lit(float(a == b) * 1.5) for a in "xyz" for b in "xyz"}, "jxy": F.col("d1"), "jyx": -F.col("d1")})).select("image_id", *[r6(f"d{k}").alias(f"d{k}") for k in range(6)]),
     f"WITH {_T}, r AS (SELECT *, 1.5 / sqrt(2.25 + d1 * d1) AS c, d1 / sqrt(2.25 + d1 * d1) AS s FROM t) SELECT image_id, round(c*c*d0 + 2*c*s*d1 + s*s*d2, 6) + 0.0 AS d0, round(-c*s*d0 + (c*c - s*s)*d1 + c*s*d2, 6) + 0.0 AS d1, round(s*s*d0 - 2*c*s*d1 + c*c*d2, 6) + 0.0 AS d2, round(c*d3 + s*d4, 6) + 0.0 AS d3, round(c*d4 - s*d3, 6) + 0.0 AS d4, round(d5, 6) + 0.0 AS d5 FROM r",
 )
+
+
+# --- point spreads between resolutions
+def _turned_points(s, d):
+    """A regridding that stretches x by 0.8 and y by 1.3, as points with their Jacobian."""
+    at = img2d(s, d).select(*ON, (F.col("x") * 0.8 + 0.3).alias("px"), (F.col("y") * 1.3 - 0.6).alias("py"))
+    return at.withColumns({"jxx": F.lit(0.8), "jxy": F.lit(0.0), "jyx": F.lit(0.0), "jyy": F.lit(1.3)})
+
+
+def _spread_sql(offsets: str) -> str:
+    """offsets: rows of dx, dy (in the grid's space) and w."""
+    return f"WITH {SQL_2D}, o AS ({offsets}), e AS (SELECT image_id, x, y, n, x * 0.8::DOUBLE + 0.3::DOUBLE + 0.8::DOUBLE * dx AS px, y * 1.3::DOUBLE - 0.6::DOUBLE + 1.3::DOUBLE * dy AS py, w FROM img2d, o), t AS (SELECT e.image_id, e.x, e.y, e.n, any_value(w) AS w, sum(s.value * {weights(1, '(px - floor(px))', 'i')} * {weights(1, '(py - floor(py))', 'j')}) AS v FROM e CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) JOIN img2d s ON s.image_id = e.image_id AND s.x = floor(px) + i AND s.y = floor(py) + j GROUP BY ALL), k AS (SELECT image_id, x, y, sum(v * w) / sum(w) AS value FROM t GROUP BY ALL) SELECT i.image_id, i.x, i.y, round(coalesce(k.value, CAST('nan' AS DOUBLE)), 6) + 0.0 AS value FROM img2d i LEFT JOIN k USING (image_id, x, y)"
+
+
+_T, _S = {"x": 1.1, "y": 0.9}, {"x": 0.3, "y": 0.4}
+_EIGEN = [_T["x"] - _S["x"] / 0.8**2, _T["y"] - _S["y"] / 1.3**2]
+_STEPS = f"SELECT i * 7 + j AS n, 0.75::DOUBLE * i * {_EIGEN[0] ** 0.5!r}::DOUBLE AS dx, 0.75::DOUBLE * j * {_EIGEN[1] ** 0.5!r}::DOUBLE AS dy, exp(-0.5 * 0.5625::DOUBLE * (i * i + j * j)) AS w FROM range(-3, 4) a(i), range(-3, 4) b(j) WHERE 0.5625 * (i * i + j * j) <= 9"
+q("r_psf_between", lambda s, d: resample.psf_resample_between(img2d(s, d), _turned_points(s, d), KEY, AXES, AXES, _T, _S).select(*ON, r6("value").alias("value")), _spread_sql(_STEPS))
+_SINC = [(k, -3 + 0.3 * k) for k in range(21)]
+_SINC_W = "(CASE WHEN {v} = 0 THEN 1 WHEN abs({v}) >= 3 THEN 0 ELSE 3 * sin(pi() * {v}) * sin(pi() * {v} / 3) / pow(pi() * {v}, 2) END)"
+_SHIFTS = "(VALUES " + ", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in _SINC) + ")"
+q(
+    "r_psf_sinc",
+    lambda s, d: resample.psf_resample_sinc(img2d(s, d), _turned_points(s, d), KEY, AXES, AXES).select(*ON, r6("value").alias("value")),
+    _spread_sql(f"SELECT * FROM (SELECT a.k * 21 + b.k AS n, a.v AS dx, b.v AS dy, {_SINC_W.format(v='a.v')} * {_SINC_W.format(v='b.v')} AS w FROM {_SHIFTS} a(k, v), {_SHIFTS} b(k, v)) WHERE w > 0"),
+)
+
+
+# --- slopes of descriptors
+def _descriptor_slope_sql(moves) -> str:
+    n = len(moves)
+    raw = _descriptor_sql(moves).replace("round(", "(").replace(", 6) + 0.0 AS d", ") AS d")
+    slopes = ", ".join(f"(coalesce(lead(d{i}) OVER w{a}, 0) - coalesce(lag(d{i}) OVER w{a}, 0)) / 2 AS s{i}{a}" for i in range(n) for a in "xy")
+    total = ", ".join("round(" + " + ".join(f"-2 * (a.d{i} - b.d{i}) / 64 * b.s{i}{a}" for i in range(n)) + f", 6) + 0.0 AS g{a}" for a in "xy")
+    return f"WITH d AS MATERIALIZED ({raw}), s AS (SELECT *, {slopes} FROM d WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y)) SELECT a.image_id, a.x, a.y, {total} FROM d a JOIN s b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y"
+
+
+for _name, _context, _moves in (("e_mind_gradient", False, _MIND), ("e_mindssc_gradient", True, _SSC)):
+    q(_name, lambda s, d, c=_context: _out(regularise.mind_gradient(img2d(s, d), _next(img2d(s, d)), KEY, AXES, c), "gx", "gy"), _descriptor_slope_sql(_moves))

@@ -64,8 +64,6 @@ q(
     + " + ".join((f"(4.0::DOUBLE / 3 * d{k} - 2.0::DOUBLE / 3 * ({' + '.join(f'd{m}' for m in (0, 2, 5) if m != k)}))" if k in (0, 2, 5) else f"4 * d{k}") + f" * (y * 0.5::DOUBLE + {k})" for k in range(6))
     + ") / count(*) OVER (PARTITION BY image_id), 6) + 0.0 AS gy FROM t",
 )
-q("e_mind_gradient", lambda s, d: _out(g.mind_gradient(img2d(s, d), img2d(s, d).withColumn("image_id", F.col("image_id") - 1), KEY, AXES), "gx", "gy"))
-q("e_mindssc_gradient", lambda s, d: _out(g.mind_gradient(img2d(s, d), img2d(s, d).withColumn("image_id", F.col("image_id") - 1), KEY, AXES, True), "gx", "gy"))
 q(
     "a_demean_fields",
     lambda s, d: _out(g.demeaned_fields(field(img2d(s, d)), AXES), "vx", "vy"),

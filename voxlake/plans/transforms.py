@@ -103,7 +103,6 @@ q(
     lambda s, d: _out(t.landmark_gradient(_landmarks(img2d(s, d)), nodes(img2d(s, d)), KEY, AXES, AXES), "vx", "vy"),
     f"WITH {NODES}, {_LM}, s AS ({_LS}), e AS (SELECT lm.*, 2 * (vx - tx) AS ex, 2 * (vy - ty) AS ey FROM s JOIN lm USING (image_id, x, y)) SELECT image_id, CAST(floor(qx) - 1 + i AS INT) AS x, CAST(floor(qy) - 1 + j AS INT) AS y, round(sum(ex * {basis('(qx - floor(qx))', 'i')} * {basis('(qy - floor(qy))', 'j')}), 6) + 0.0 AS vx, round(sum(ey * {basis('(qx - floor(qx))', 'i')} * {basis('(qy - floor(qy))', 'j')}), 6) + 0.0 AS vy FROM e CROSS JOIN range(4) a(i) CROSS JOIN range(4) b(j) GROUP BY ALL",
 )
-q("t_invert_field", lambda s, d: _out(t.invert_field(field(img2d(s, d)), KEY, AXES, {"x": 8, "y": 8}, 5), "vx", "vy"))
 q(
     "t_jacobian_3d",
     lambda s, d: t.field_jacobian(img3d(s, d).withColumns({"vx": F.col("x") + F.col("value"), "vy": F.col("y") - F.col("value"), "vz": F.col("z") + F.col("value") * 0.5}), KEY, ["x", "y", "z"]).select("image_id", "x", "y", "z", r6("det").alias("det")),

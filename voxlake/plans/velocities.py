@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
-from ..operators import convert, estimate, penalty, transform
+from ..operators import convert, estimate, penalty, register, regularise, transform
 from .points import M, ON
 from .regularisers import _AROUND, _WEIGHTS, _back, _inner
 from .transforms import AXES, FIELD, KEY, NODES, _out, _spline, _voxels, VOX, basis, field, nodes
@@ -101,6 +101,18 @@ for _name, _side in (("forward", 0), ("backward", 1)):
         f"WITH {SQL_2D} SELECT a.image_id, a.x, a.y, round((a.value - b.value) / {'-' if _side else ''}2, 6) + 0.0 AS vx, round((b.value - a.value) / {'-' if _side else ''}2, 6) + 0.0 AS vy FROM img2d a JOIN img2d b ON b.image_id = a.image_id + 1 AND a.x = b.x AND a.y = b.y",
     )
 
+_FIT = "c AS (SELECT image_id, covar_pop(x, {v}) AS cx, covar_pop(y, {v}) AS cy, var_pop(x) AS qx, var_pop(y) AS qy, avg(x) AS mx, avg(y) AS my, avg({v}) AS mv FROM n GROUP BY 1)"
+q(
+    "a_demean_velocities",
+    lambda s, d: _out(regularise.demeaned_velocities(flow(img2d(s, d)), KEY, AXES), "vx", "vy"),
+    # nodes of a whole grid are uncorrelated in x and y
+    f"WITH {SQL_2D}, n AS (SELECT image_id, x, y, value FROM img2d), {_FIT.format(v='value')}, r AS (SELECT n.image_id, x, y, value - mv - cx / qx * (x - mx) - cy / qy * (y - my) AS v FROM n JOIN c USING (image_id)), o AS (SELECT *, v - avg(v) OVER (PARTITION BY x, y) AS vx, -(v - avg(v) OVER (PARTITION BY x, y)) AS vy FROM r) {rounded('o', 'vx', 'vy')}",
+)
+q(
+    "w_average_deformed",
+    lambda s, d: register.average_deformed(img2d(s, d), img2d(s, d).select(*ON, (F.col("x") + (F.col("image_id") % 2) * 0.5).alias("vx"), F.col("y").cast("double").alias("vy")), AXES).select("x", "y", r6("value").alias("value")),
+    f"WITH {SQL_2D}, m AS (SELECT a.x, a.y, CASE WHEN a.image_id % 2 = 0 THEN CASE WHEN a.x < 7 AND a.y < 7 THEN a.value END WHEN a.x < 7 AND a.y < 7 THEN (a.value + b.value) / 2 END AS v FROM img2d a LEFT JOIN img2d b ON b.image_id = a.image_id AND b.y = a.y AND b.x = a.x + 1) SELECT x, y, round(coalesce(avg(v), CAST('nan' AS DOUBLE)), 6) + 0.0 AS value FROM m GROUP BY ALL",
+)
 # --- folds and penalties
 
 
@@ -165,3 +177,15 @@ q(
     lambda s, d: _out(convert.landmarks(_affine, img2d(s, d).withColumns({"px": F.col("x") + F.col("value"), "py": F.col("y") - F.col("value")}), None, KEY, AXES, DIM, AXES), "vx", "vy"),
     f"WITH {SQL_2D}, o AS (SELECT image_id, x, y, 2.0 * (x + value) + 0.5 * (y - value) - 3.0 AS vx, -0.25 * (x + value) + 1.5 * (y - value) + 4.0 AS vy FROM img2d) {rounded('o', 'vx', 'vy')}",
 )
+
+
+# --- inverse fields, step by step
+def _inverse_sql(rounds: int) -> str:
+    steps = ["v0 AS MATERIALIZED (SELECT image_id, x, y, x::DOUBLE AS vx, y::DOUBLE AS vy FROM img2d)"]
+    for k in range(rounds):
+        p = f"SELECT image_id, x, y, vx AS qx, vy AS qy, least(greatest(vx, 0), 7) AS cx, least(greatest(vy, 0), 7) AS cy FROM v{k}"
+        steps.append(f"v{k + 1} AS MATERIALIZED (WITH l AS (SELECT *, least(floor(cx), 6) AS lx, least(floor(cy), 6) AS ly FROM ({p})) SELECT l.image_id, l.x, l.y, max(qx) - (sum(f.vx * {_W}) + max(qx - cx) - max(l.x)) AS vx, max(qy) - (sum(f.vy * {_W}) + max(qy - cy) - max(l.y)) AS vy FROM l CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) JOIN f ON f.image_id = l.image_id AND f.x = lx + i AND f.y = ly + j GROUP BY ALL)")
+    return ", ".join(steps)
+
+
+q("t_invert_field", lambda s, d: _out(transform.invert_field(field(img2d(s, d)), KEY, AXES, DIM, 5), "vx", "vy"), f"WITH {FIELD}, {_inverse_sql(5)} {rounded('v5', 'vx', 'vy')}")

@@ -6,13 +6,16 @@ reads will do, and a folder of a million images is a distributed scan.
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from . import codecs
 from .meta import ImageMeta
@@ -90,6 +93,47 @@ def encode_images(voxels: DataFrame, meta: ImageMeta, kind: str = "nifti") -> Da
     return voxels.groupBy("image_id").applyInPandas(run, "image_id string, content binary")
 
 
+class ImageFiles(DataSource):
+    """Sink for encode_images(): each row's content becomes the file named by its image_id in the folder `path`.
+
+    Use: encoded.write.format("images").option("path", folder).mode("append").save(). The folder must be one that all
+    executors see. A file is written under another name and moved when whole, so a task that is run again replaces it.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "images"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _ImageWriter(self.options["path"])
+
+
+class _ImageWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path.removeprefix("file://")
+
+    def write(self, rows) -> WriterCommitMessage:
+        os.makedirs(self.path, exist_ok=True)
+        for r in rows:
+            to = os.path.join(self.path, safe_name(r["image_id"]))
+            part = f"{to}.{uuid.uuid4().hex}.part"
+            with open(part, "wb") as f:
+                f.write(r["content"])
+            os.replace(part, to)
+        return WriterCommitMessage()
+
+
+def write_images(encoded: DataFrame, path: str) -> None:
+    """Files of encode_images() in a shared folder, named by image_id (other signs than letters, digits, dots and dashes
+    become underscores)."""
+    encoded.sparkSession.dataSource.register(ImageFiles)
+    encoded.select("image_id", "content").write.format("images").option("path", path).mode("append").save()
+
+
+def safe_name(name: str) -> str:
+    return re.sub(r"[^\w.-]", "_", name)
+
+
 def split_times(voxels: DataFrame, path: str) -> None:
     """A 4D image written as one Parquet folder for each time point."""
     voxels.write.partitionBy("t").parquet(path)
