@@ -41,6 +41,21 @@ def test_each_stage_does_what_it_says(spark):
     assert cp.run(spark, SF).count() > 0
 
 
+def test_sketches_never_differ_more_than_their_sets():
+    import numpy as np
+
+    from voxlake.llm.similar import least_difference, sketch
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 64, 65, 300, 1000):
+        for m in (n, max(0, n - n // 5), n // 3):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[:m], rng.integers(0, 1 << 63, n // 7, dtype=np.uint64)]))
+            assert least_difference(sketch(a), sketch(b)) <= len(np.setxor1d(a, b))
+    far = [np.unique(rng.integers(0, 1 << 63, 900, dtype=np.uint64)) for _ in range(2)]
+    assert least_difference(*map(sketch, far)) > 200
+
+
 @pytest.mark.parametrize("tile", [1 << 12, 8])
 def test_similar_documents_are_those_of_the_exact_similarity(spark, monkeypatch, tile):
     import numpy as np
