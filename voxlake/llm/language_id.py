@@ -24,6 +24,8 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Slots of the presence vector: pairs as they are, runs of three and four bytes by hash.
 _HASHED = 1 << 17
 SLOTS = (1 << 16) + 2 * _HASHED
+#: Texts whose presence vectors are multiplied at once.
+AT_ONCE = 32
 
 _KEEP = np.full(256, 32, np.uint8)
 for _b in [*range(97, 123), *range(128, 256)]:
@@ -54,13 +56,17 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         """Texts by languages. The batch's presence matrix is multiplied with (landmarks' presence, transposed, times
         the regression's weights), a product formed once: the same sum as kernel rows times weights."""
-        rows, norm = np.zeros((len(texts), len(self.vocabulary)), np.float32), np.ones(len(texts), np.float32)
-        mark = np.zeros(SLOTS, bool)
-        for k, t in enumerate(texts):
-            mark[:] = False
-            norm[k] = max(1, presence(t, mark)) ** 0.5
-            rows[k] = mark[self.vocabulary]
-        return rows @ self.weights / norm[:, None]
+        out, mark = np.zeros((len(texts), self.weights.shape[1]), np.float32), np.zeros(SLOTS, bool)
+        rows = np.zeros((min(AT_ONCE, len(texts)), len(self.vocabulary)), np.float32)
+        for lo in range(0, len(texts), AT_ONCE):
+            part = texts[lo : lo + AT_ONCE]
+            norm = np.ones(len(part), np.float32)
+            for k, t in enumerate(part):
+                mark[:] = False
+                norm[k] = max(1, presence(t, mark)) ** 0.5
+                rows[k] = mark[self.vocabulary]
+            out[lo : lo + AT_ONCE] = rows[: len(part)] @ self.weights / norm[:, None]
+        return out
 
 
 def _sample(labelled: DataFrame, per_lang: dict[str, int], seed: int) -> DataFrame:
