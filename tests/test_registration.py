@@ -99,3 +99,24 @@ def test_groups_and_series_are_aligned(spark):
     assert mean.count() == 32 * 32 and found[1][0, 3] - found[0][0, 3] > 0.5
     series = register.pca_registration(images.withColumnRenamed("image_id", "t"), ["x", "y"], {"x": 32, "y": 32}, **options)
     assert series.count() == 2 * 32 * 32
+
+
+def test_affine_registration_in_three_dimensions_with_masks(spark):
+    def solid(dx):
+        x, y, z = F.col("x") - dx, F.col("y"), F.col("z")
+        v = 30 * F.sin(x / 2.1) * F.cos(y / 1.7) + 20 * F.sin(z / 1.9 + x / 5.0) + F.sin(x * y / 11.0) * 10
+        return transform.grid(spark, 20, 20, 16).select("x", "y", "z", v.alias("value"))
+
+    mask = transform.grid(spark, 20, 20, 16).withColumn("active", F.col("z") < 14)
+    options = {"levels": 1, "rounds": 1, "rigid_only": True}
+    m = register.affine_registration(solid(0.0), solid(2.0), ["x", "y", "z"], {"x": 20, "y": 20, "z": 16}, reference_mask=mask, floating_mask=mask, thresholds=(-100.0, 100.0), **options)
+    assert np.allclose(m[:3, 3], [2, 0, 0], atol=0.3) and np.allclose(m[:3, :3], np.eye(3), atol=0.05)
+
+
+def test_search_starts_between_the_centres(spark):
+    at = lambda c: transform.grid(spark, 32, 32).select("x", "y", F.exp(-((F.col("x") - c) ** 2 + (F.col("y") - 14) ** 2) / 40.0).alias("value"))
+    m = register.affine_registration(at(10), at(19), ["x", "y"], {"x": 32, "y": 32}, levels=1, rounds=0, centred=True)
+    assert np.allclose(m[:3, 3], [9, 0, 0], atol=0.3)  # the picture ends within the blob
+    box = lambda lo: transform.grid(spark, 32, 32).withColumn("active", F.col("x").between(lo, lo + 4))
+    m = register.affine_registration(at(10), at(19), ["x", "y"], {"x": 32, "y": 32}, levels=1, rounds=0, centred=True, reference_mask=box(3), floating_mask=box(9))
+    assert np.allclose(m[:3, 3], [6, 0, 0], atol=1e-9)

@@ -58,29 +58,6 @@ B_SPLINE_D = [(-1 / 2, 1, -1 / 2), (3 / 2, -2, 0), (-3 / 2, 1, 1 / 2), (1 / 2, 0
 B_SPLINE_D2 = [(-1, 1), (3, -2), (-3, 1), (1, 0)]
 
 
-def tap_weights(f: Column, order: int, derivative: bool = False) -> tuple[list[Column], int]:
-    """Weights of the taps around a point and how far the first one lies before floor(p).
-
-    order 0: nearest (the later tap from a fraction of one half on), 1: linear, 3: Catmull-Rom, 4: windowed sinc of
-    radius three, renormalised.
-    """
-    if order == 0:
-        near = F.when(f < 0.5, F.lit(1.0)).otherwise(F.lit(0.0))
-        return [near, 1.0 - near], 0
-    if order == 1:
-        return [horner(f, *c) for c in (LINEAR_D if derivative else LINEAR)], 0
-    if order == 3:
-        return [horner(f, *c) for c in (CATMULL_ROM_D if derivative else CATMULL_ROM)], 1
-    if order == 4 and not derivative:
-        pi = 3.141592653589793
-        raw = []
-        for i in range(-2, 4):
-            x = f - float(i)
-            raw.append(F.when(x == 0, F.lit(1.0)).when(F.abs(x) >= 3, F.lit(0.0)).otherwise(F.try_divide(3.0 * F.sin(pi * x) * F.sin(pi * x / 3.0), pi * pi * x * x)))
-        return raw, 2  # the caller divides by their sum
-    raise ValueError("interpolation orders are 0, 1, 3 and (values only) 4")
-
-
 def b_spline(x: Column) -> Column:
     """Cubic B-spline of a distance."""
     a = F.abs(x)

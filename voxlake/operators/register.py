@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import estimate, matrix, measures, penalty, regularise, resample, select, stencil, transform
+from . import estimate, matrix, measures, penalty, regularise, resample, select, stencil, transform, voxel
 from .lineage import cut
 
 
@@ -32,15 +32,34 @@ def _round(reference: DataFrame, floating: DataFrame, m: np.ndarray, axes: list[
     return estimate.trimmed_fit(pairs, len(axes), inliers, rigid)
 
 
-def affine_registration(reference: DataFrame, floating: DataFrame, axes: list[str], dim: dict[str, int], levels: int = 2, rounds: int = 4, rigid_only: bool = False, symmetric: bool = False, blocks: float = 50, inliers: float = 50, reach: int = 3) -> np.ndarray:
+def affine_registration(
+    reference: DataFrame, floating: DataFrame, axes: list[str], dim: dict[str, int], levels: int = 2, rounds: int = 4, rigid_only: bool = False, symmetric: bool = False, blocks: float = 50, inliers: float = 50, reach: int = 3,
+    reference_mask: DataFrame | None = None, floating_mask: DataFrame | None = None, thresholds: tuple[float, float] | None = None, centred: bool = False, start: np.ndarray | None = None,
+) -> np.ndarray:
     """Affine from reference voxels to floating voxels by block matching and trimmed least squares, coarse to fine.
 
     Rigid rounds come first at the coarsest level, then affine ones. symmetric also matches backward and takes the
-    log-Euclidean mean of both directions.
+    log-Euclidean mean of both directions. Masks (axes, active) and thresholds (of the floating image's values) make all
+    other voxels undefined, so that no block counts them. The search starts from the matrix `start`, or with centred from
+    the shift between both images' centres: of their masks where both have one, else of their intensities.
     """
+    m = np.eye(4) if start is None else np.asarray(start, float)
+    if centred:
+        pair = [(reference, reference_mask), (floating, floating_mask)]
+        by_mask = all(mask is not None for _, mask in pair)
+        identity, at = np.eye(4).ravel().tolist(), tuple(a if a in axes else None for a in "xyz")
+        one = [(mask if by_mask else image).withColumn("k", F.lit(0)) for image, mask in pair]
+        centres = [measures.mask_centres(x, ["k"], identity, at) if by_mask else measures.centre_of_mass(x, ["k"], identity, at) for x in one]
+        shift = measures.centre_shift(*centres, ["k"]).first()
+        m[:3, 3] = [shift.tx, shift.ty, shift.tz]
+    if reference_mask is not None:
+        reference = voxel.nan_outside(reference.select(*axes, "value"), reference_mask, axes)
+    if floating_mask is not None:
+        floating = voxel.nan_outside(floating.select(*axes, "value"), floating_mask, axes)
+    if thresholds:
+        floating = floating.withColumn("value", F.when(F.col("value").between(*thresholds), F.col("value")).otherwise(F.lit(float("nan"))))
     pyramid = lambda a: resample.pyramid(a.select(F.lit(0).alias("image_id"), *axes, "value"), ["image_id"], dim, levels, least=16)
     refs, flos = pyramid(reference), pyramid(floating)
-    m = np.eye(4)
     for level, ((r, size), (f, _)) in enumerate(zip(refs, flos, strict=True)):
         r, f = cut(r.drop("image_id")), cut(f.drop("image_id"))
         scale = np.diag([*[dim[a] / size[a] if a in dim else 1.0 for a in "xyz"], 1.0])
