@@ -12,7 +12,7 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows_of(PLANS[name](spark, SF)) == rows_of_sql(duck, ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(PLANS) - set(ORACLES) - {"w_affine_registration"}))
+@pytest.mark.parametrize("name", sorted(set(PLANS) - set(ORACLES)))
 def test_others_run(spark, name):
     assert PLANS[name](spark, SF).count() > 0
 

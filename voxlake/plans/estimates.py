@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.scalar import r6
@@ -106,4 +105,18 @@ def blob(s, n=32, dx=0.0, dy=0.0):
     return transform.grid(s, n, n).select("x", "y", v.alias("value"))
 
 
-q("w_affine_registration", lambda s, d: matrix_rows(s, register.affine_registration(blob(s, dx=0.0), blob(s, dx=2.0, dy=-1.0), AXES, {"x": 32, "y": 32}, levels=1, rounds=2)))
+def mosaic(s, d):
+    """All images side by side as one picture."""
+    a = img2d(s, d)
+    wide = int(a.select("image_id").distinct().count() ** 0.5) + 1
+    return a.select(((F.col("image_id") % wide) * 8 + F.col("x")).cast("int").alias("x"), (F.floor(F.col("image_id") / wide) * 8 + F.col("y")).cast("int").alias("y"), "value"), wide * 8
+
+
+def _registered(s, d):
+    """The picture of all images against itself, moved by two voxels along x and one back along y."""
+    picture, side = mosaic(s, d)
+    moved = picture.withColumns({"x": F.col("x") + 2, "y": F.col("y") - 1})
+    return matrix_rows(s, register.affine_registration(picture, moved, AXES, {"x": side, "y": side}, levels=1, rounds=1))
+
+
+q("w_affine_registration", _registered, "SELECT CAST(k // 4 AS INT) AS i, CAST(k % 4 AS INT) AS j, CASE k WHEN 3 THEN 2 WHEN 7 THEN -1 ELSE CASE WHEN k // 4 = k % 4 THEN 1 ELSE 0 END END::DOUBLE AS v FROM range(16) t(k)")

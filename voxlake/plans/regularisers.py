@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import r6
 from ..operators import regularise as g
 from .measuring import pairs
 from .points import ON, PAIRS

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import r6
 from ..operators import convert, estimate, penalty, register, regularise, transform
 from .points import M, ON
-from .regularisers import _AROUND, _WEIGHTS, _back, _inner
+from .regularisers import _WEIGHTS, _back, _inner
 from .transforms import AXES, FIELD, KEY, NODES, _out, _spline, _voxels, VOX, basis, field, nodes
 from .views import SQL_2D, SQL_3D, img2d, img3d
 
