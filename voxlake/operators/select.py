@@ -44,7 +44,7 @@ def match_blocks(reference: DataFrame, warped: DataFrame, keys: list[str], axes:
     names, shift, d = [f"b{x}" for x in axes], [f"d{x}" for x in axes], len(axes)
     at = reference.where(valid("value")).withColumns({n: F.floor(F.col(x) / side).cast("int") for n, x in zip(names, axes, strict=True)})
     rows = at.join(blocks.select(*keys, *names), [*keys, *names], "left_semi").select(*keys, *names, *axes, F.col("value").alias("_r"))
-    n_side = {1: 1024, 2: 64, 3: 16}[d] // side * side
+    n_side = {1: 256, 2: 16, 3: 16}[d] // side * side
 
     def kernel(p, dense, origin, rows):
         warped, there = dense

@@ -7,7 +7,7 @@ tile and its halo alone, whatever the size of the image.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Voxels along an axis of a tile, in two and in three dimensions.
-SIDES = {1: 4096, 2: 128, 3: 32}
+SIDES = {1: 1024, 2: 32, 3: 32}
 
 
 def schema_of(df: DataFrame, columns: list[str]) -> str:
@@ -31,42 +31,81 @@ def on_tiles(points: DataFrame, source: DataFrame, keys: list[str], axes: list[s
     each of the columns a dense array over the tile and its halo (NaN where there is no voxel), a last one that tells
     where there are voxels, the coordinates of the array's first voxel, and the tile's points as a table. It returns one
     array for each column of `out`, or these and the places of the points that they belong to.
+
+    Voxels and points are dealt by tile and sorted, voxels first, so that small tiles follow each other in one stream.
     """
     d, (before, after) = len(axes), halo
     size = side or SIDES[d]
     tile = [f"_t{a}" for a in axes]
+    kinds = dict(points.dtypes)
     coordinate = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(0.0)).otherwise(F.col(c).cast("double"))
     asked = points.withColumns({t: F.floor(coordinate(c) / size).cast("long") for t, c in zip(tile, at, strict=True)})
-    # names of its own, as both may come from one frame
-    held = source.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.col(a).alias(f"_a{a}") for a in axes], *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)])
+    asked = asked.withColumns({"_g": F.xxhash64(*keys, *tile), "_role": F.lit(1), **{f"_p{a}": coordinate(c) for a, c in zip(axes, at, strict=True)}, **{f"_q{a}": F.col(c).cast("double") for a, c in zip(axes, at, strict=True)}})
+    held = source.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], *[F.col(a).cast("double").alias(f"_p{a}") for a in axes], *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)])
     for a, t in zip(axes, tile, strict=True):
-        first, last = F.floor((F.col(f"_a{a}") - after) / size).cast("long"), F.floor((F.col(f"_a{a}") + before) / size).cast("long")
-        held = held.withColumn(f"_s{t}", F.explode(F.sequence(first, last)))
+        first, last = F.floor((F.col(f"_p{a}") - after) / size).cast("long"), F.floor((F.col(f"_p{a}") + before) / size).cast("long")
+        held = held.withColumn(t, F.explode(F.sequence(first, last)))
+    inside = [*tile, *[f"_p{a}" for a in axes]]
+    held = held.select(F.xxhash64(*keys, *tile).alias("_g"), F.lit(0).alias("_role"), *inside, *[f"_c{k}" for k in range(len(columns))])
+    rest = [c for c in points.columns if c not in inside]
+    both = asked.select("_g", "_role", *inside, *[f"_q{a}" for a in axes], *rest).unionByName(held, allowMissingColumns=True)
     shape = (size + before + after,) * d
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _with(left.select(keep), out, [[]] * len(out.split(", ")))
-        origin = np.array([x.as_py() for x in key[-d:]], np.int64) * size - before
-        p = np.stack([left[c].to_numpy().astype(float) for c in at], 1)
-        flat = np.zeros(right.num_rows, np.int64)
-        for k, a in enumerate(axes):
-            flat = flat * shape[k] + (right[f"_a{a}"].to_numpy().astype(np.int64) - origin[k])
+    def one(rows: pa.Table, tiles_: np.ndarray, place: np.ndarray, values: list[np.ndarray], m: int) -> tuple[list, np.ndarray | None]:
+        """A tile: m voxels, then its points."""
+        origin = tiles_ * size - before
+        flat = np.zeros(m, np.int64)
+        for k in range(d):
+            flat = flat * shape[k] + (place[:m, k].astype(np.int64) - origin[k])
         dense = []
-        for k in range(len(columns)):
+        for v in values:
             x = np.full(np.prod(shape), np.nan)
-            x[flat] = right[f"_c{k}"].to_numpy()
+            x[flat] = v[:m]
             dense.append(x.reshape(shape))
         there = np.zeros(np.prod(shape), bool)
         there[flat] = True
-        got = kernel(p, [*dense, there.reshape(shape)], origin, left)
-        rows = left.select(keep)
-        if isinstance(got, tuple):
-            got, place = got
-            rows = rows.take(pa.array(place))
-        return _with(rows, out, got)
-
-    return asked.groupBy(*keys, *tile).cogroup(held.groupBy(*[f"_k{i}" for i in range(len(keys))], *[f"_s{t}" for t in tile])).applyInArrow(run, schema_of(points, keep) + ", " + out)
+        p = np.stack([rows[f"_q{a}"].to_numpy().astype(float) for a in axes], 1)
+        got = kernel(p, [*dense, there.reshape(shape)], origin, rows)
+        return got if isinstance(got, tuple) else (got, None)
+
+    def whole(t: pa.Table, ends: np.ndarray) -> pa.Table:
+        """Results of the tiles that end at the given rows."""
+        role = t["_role"].to_numpy()
+        tiles_, place = (np.stack([t[f"{c}{a}"].to_numpy() for a in axes], 1) for c in ("_t", "_p"))
+        values = [t[f"_c{k}"].to_numpy() for k in range(len(columns))]
+        use, found, lo = [], [[] for _ in out.split(", ")], 0
+        for hi in ends.tolist():
+            m = int(np.count_nonzero(role[lo:hi] == 0))
+            if lo + m < hi:
+                got, kept = one(t.slice(lo + m, hi - lo - m), tiles_[lo], place[lo:hi], [v[lo:hi] for v in values], m)
+                use.append(lo + m + (np.arange(hi - lo - m) if kept is None else kept))
+                for column, x in zip(found, got, strict=True):
+                    column.append(x)
+            lo = hi
+        at_ = np.concatenate(use) if use else np.empty(0, np.int64)
+        return _with(t.select(keep).take(pa.array(at_)), out, [np.concatenate(x) if x else [] for x in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g = batch["_g"].to_numpy()
+            if last is not None and g[0] == last and g[-1] == last:
+                held.append(batch)  # the tile goes on
+                continue
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            g = t["_g"].to_numpy()
+            ends = np.flatnonzero(g[1:] != g[:-1]) + 1
+            if len(ends):
+                yield from whole(t.slice(0, int(ends[-1])), ends).to_batches()
+            held, last = t.slice(int(ends[-1]) if len(ends) else 0).to_batches(), g[-1]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            yield from whole(t, np.array([t.num_rows])).to_batches()
+
+    return both.repartition("_g").sortWithinPartitions("_g", "_role").mapInArrow(run, schema_of(points, keep) + ", " + out)
 
 
 def _with(rows: pa.Table, out: str, columns: list) -> pa.Table:
