@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Chunks in the young half of a Python worker's store. When it is full it becomes the old half; chunks met again move back.
-MAX_CHUNKS = 100_000
+MAX_CHUNKS = 200_000
 #: Unicode blanks besides ASCII's: texts that hold one are cut by the slower rule.
 _RARE_BLANK = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
