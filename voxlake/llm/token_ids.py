@@ -26,7 +26,7 @@ _STEP = int(_rng.integers(1, 1 << 62)) * 2 + 1
 _STEP_INV = pow(_STEP, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-_encoders: dict[str, "ChunkEncoder"] = {}
+_encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,11 +49,13 @@ class ChunkEncoder:
     and a text's ids are those of its chunks. Equal chunks of a slice are found by a 64-bit hash.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: the strings of special tokens are encoded like any other text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain
         one = lambda t: self.tok.encode(t, add_special_tokens=False)
         lead, self.newline = one(" ").tokens[0], one("\n").ids[0]
         self.opens = np.zeros(self.tok.get_vocab_size(), dtype=bool)
@@ -159,10 +161,10 @@ class ChunkEncoder:
         return b"".join([known[c] for c in chunks])
 
 
-def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def encoder(path: str, plain: bool = False) -> ChunkEncoder:
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = ChunkEncoder(path, plain)
+    return _encoders[path, plain]
 
 
 def default_tokenizer() -> str:
