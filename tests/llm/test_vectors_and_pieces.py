@@ -164,7 +164,12 @@ def plain_alignment(rows):
         shared, groups = sorted(set(ends[0]) & set(ends[1])), []
         for low, high in zip([0, *shared], shared, strict=False):
             groups.append(tuple([i for i, e in zip(ids, end, strict=True) if low < e <= high] for ids, end in zip((a, b), ends, strict=True)))
-        docs.append((doc, a, b, groups, Counter((x, y) for ga, gb in groups for x in ga for y in gb)))
+        found = Counter()
+        for ga, gb in groups:
+            for x, n in Counter(ga).items():
+                for y, m in Counter(gb).items():
+                    found[x, y] += n * m
+        docs.append((doc, a, b, groups, found))
     held = Counter(p for *_, found in docs for p in found)
     most = {}
     for (x, _), n in held.items():
