@@ -62,6 +62,24 @@ def resample(source: DataFrame, points: DataFrame, keys: list[str], axes: list[s
     return got.withColumn("value", clamp(F.col("value"), *limits)) if limits else got
 
 
+def resample_components(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], columns: list[str], order: int = 1, padding: float = 0.0) -> DataFrame:
+    """keys, point columns and the given columns of the source at points p<axis>: all of them in the one exchange."""
+    weights, before, count = _weights(order)
+
+    def kernel(p, dense, origin, _):
+        *values, there = dense
+        values = [np.where(there, v, padding) for v in values]
+        out = [np.zeros(len(p)) for _ in values]
+        for at, k in tiles.taps(p, origin, [weights] * len(axes), before, count):
+            for x, v in zip(out, values, strict=True):
+                x += v[at] * k
+        return out
+
+    at = [f"p{a}" for a in axes]
+    asked = points.select(*dict.fromkeys([*keys, *point, *at]))
+    return tiles.on_tiles(asked, source, keys, axes, at, (before, count - before - 1), kernel, ", ".join(f"{c} double" for c in columns), [*keys, *point], columns)
+
+
 def image_gradient(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], order: int = 1, padding: float = 0.0) -> DataFrame:
     """g<axis>: slope of the interpolated source at each point along each axis; not defined: 0."""
     value, before, count = _weights(order)

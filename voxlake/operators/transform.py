@@ -14,8 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import B_SPLINE, B_SPLINE_D, horner, safe_ln
+from .lattice import lattice_sums
 from .lineage import cut
-from .resample import resample
+from .resample import resample_components
 from .voxel import grid, world
 
 PARTS = {"x": "vx", "y": "vy", "z": "vz"}
@@ -53,14 +54,9 @@ def _spline_points(points: DataFrame, axes: list[str], basis: dict[str, list]) -
 def spline_sum(points: DataFrame, nodes: DataFrame, keys: list[str], point: list[str], axes: list[str], derivative: str | None = None, whole: bool = False) -> DataFrame:
     """B-spline sums of the node components at lattice coordinates q<axis>; nodes that don't exist add nothing.
 
-    whole: points without all their nodes are left out.
+    whole: points without all their nodes are left out. Nodes and points meet on tiles of the lattice (lattice.py).
     """
-    basis = {a: B_SPLINE_D if a == derivative else B_SPLINE for a in axes}
-    spread = _spline_points(points.select(*keys, *point, *[f"q{a}" for a in axes]), axes, basis)
-    have = nodes.select(*keys, *[F.col(a).alias(f"_n{a}") for a in axes], *parts_of(axes))
-    met = spread.join(have, [*keys, *[f"_n{a}" for a in axes]])
-    sums = met.groupBy(*keys, *point).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(v) * F.col("_k")).alias(v) for v in parts_of(axes)])
-    return (sums.where(F.col("_n") == 4 ** len(axes)) if whole else sums).drop("_n")
+    return lattice_sums(points, nodes, keys, point, axes, [(derivative, {v: v for v in parts_of(axes)})], whole=whole)
 
 
 def spline_field(voxels: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
@@ -69,15 +65,13 @@ def spline_field(voxels: DataFrame, nodes: DataFrame, keys: list[str], axes: lis
     return spline_sum(at, nodes, keys, axes, axes)
 
 
-def spline_jacobian(voxels: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
-    """j<component><axis> and det of a control grid at voxels, in units of node displacement a voxel."""
+def spline_jacobian(voxels: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, kind: str = "cubic") -> DataFrame:
+    """j<component><axis> and det of a cubic or piecewise linear control grid at voxels, in units of node displacement a
+    voxel. All slopes are taken on the same tiles."""
     at = voxels.withColumns({f"q{a}": F.col(a) / float(spacing) + 1 for a in axes})
-    out = None
-    for a in axes:
-        d = spline_sum(at, nodes, keys, axes, axes, a)
-        one = d.select(*keys, *axes, *[(F.col(PARTS[b]) / float(spacing)).alias(f"j{b}{a}") for b in axes])
-        out = one if out is None else out.join(one, [*keys, *axes])
-    return out.withColumn("det", determinant(axes))
+    wanted = [(a, {PARTS[b]: f"j{b}{a}" for b in axes}) for a in axes]
+    got = lattice_sums(at, nodes, keys, axes, axes, wanted, kind)
+    return got.withColumns({f"j{b}{a}": F.col(f"j{b}{a}") / float(spacing) for a in axes for b in axes}).withColumn("det", determinant(axes))
 
 
 def determinant(axes: list[str]) -> Column:
@@ -109,19 +103,17 @@ def log_determinant(jacobian: DataFrame) -> DataFrame:
 
 
 def compose(first: DataFrame, second: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int]) -> DataFrame:
-    """first(second(x)) of dense fields in voxel units; beyond first's edge its edge value moves on with the point."""
-    at = second.select(*keys, *axes, *[F.col(PARTS[a]).alias(f"_p{a}") for a in axes])
-    inside = at.withColumns({f"p{a}": F.least(F.greatest(F.col(f"_p{a}"), F.lit(0.0)), F.lit(float(dim[a] - 1))) for a in axes})
-    spread = inside.select(*keys, *axes, *[f"p{a}" for a in axes], *[(F.col(f"_p{a}") - F.col(f"p{a}")).alias(f"_o{a}") for a in axes])
-    for a in axes:
-        p = F.col(f"p{a}")
-        lo = F.least(F.floor(p), F.lit(dim[a] - 2))
-        spread = spread.withColumn(f"_t{a}", F.explode(F.array(F.struct(lo.cast("int").alias("t"), (1 - (p - lo)).alias("k")), F.struct((lo + 1).cast("int").alias("t"), (p - lo).alias("k")))))
-    k = reduce(lambda x, y: x * y, [F.col(f"_t{a}.k") for a in axes])
-    taps = spread.select(*keys, *axes, *[f"_o{a}" for a in axes], k.alias("_k"), *[F.col(f"_t{a}.t").alias(f"_a{a}") for a in axes])
-    have = first.select(*keys, *[F.col(a).alias(f"_a{a}") for a in axes], *parts_of(axes))
-    met = taps.join(have, [*keys, *[f"_a{a}" for a in axes]])
-    return met.groupBy(*keys, *axes).agg(*[(F.sum(F.col(PARTS[a]) * F.col("_k")) + F.max(f"_o{a}")).alias(PARTS[a]) for a in axes])
+    """first(second(x)) of dense fields in voxel units; beyond first's edge its edge value moves on with the point.
+
+    The first field is a lattice of its own voxels, read linearly on tiles.
+    """
+    inside = {f"_i{a}": F.least(F.greatest(F.col(PARTS[a]), F.lit(0.0)), F.lit(float(dim[a] - 1))) for a in axes}
+    at = second.select(*keys, *axes, *parts_of(axes)).withColumns(inside)
+    at = at.select(*keys, *axes, *inside, *[(F.col(PARTS[a]) - F.col(f"_i{a}")).alias(f"_o{a}") for a in axes])
+    beyond = [f"_o{a}" for a in axes]
+    wanted = [(None, {v: v for v in parts_of(axes)})]
+    met = lattice_sums(at, first, keys, [*axes, *beyond], axes, wanted, "linear", coordinates=list(inside))
+    return met.select(*keys, *axes, *[(F.col(PARTS[a]) + F.col(f"_o{a}")).alias(PARTS[a]) for a in axes])
 
 
 def longest_component(flow: DataFrame, axes: list[str]) -> float:
@@ -276,11 +268,7 @@ def jacobian_penalty(jacobian: DataFrame, keys: list[str]) -> DataFrame:
 
 def map_landmarks(landmarks: DataFrame, field: DataFrame, keys: list[str], axes: list[str], point: list[str]) -> DataFrame:
     """Positions that a dense field gives to points p<axis>, sampled linearly."""
-    out = None
-    for a in axes:
-        one = resample(field.withColumn("value", F.col(PARTS[a])), landmarks, keys, axes, point, 1, float("nan")).withColumnRenamed("value", PARTS[a])
-        out = one if out is None else out.join(one, [*keys, *point])
-    return out
+    return resample_components(field, landmarks, keys, axes, point, parts_of(axes), 1, float("nan"))
 
 
 def landmark_distance(landmarks: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], point: list[str]) -> DataFrame:
@@ -301,22 +289,17 @@ def landmark_gradient(landmarks: DataFrame, nodes: DataFrame, keys: list[str], a
 
 def resample_vectors(field: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str]) -> DataFrame:
     """Components of a vector field at points, linear, 0 outside, turned by the transpose of the points' Jacobian j.. ."""
-    out = points
-    for a in axes:
-        one = resample(field.withColumn("value", F.col(PARTS[a])), points, keys, axes, point, 1).withColumnRenamed("value", f"_v{a}")
-        out = out.join(one, [*keys, *point])
-    turned = {PARTS[a]: reduce(lambda p, q: p + q, [F.col(f"j{b}{a}") * F.col(f"_v{b}") for b in axes]) for a in axes}
-    return out.select(*keys, *point, *[c.alias(n) for n, c in turned.items()])
+    turns = [f"j{b}{a}" for b in axes for a in axes]
+    got = resample_components(field, points, keys, axes, [*point, *turns], parts_of(axes), 1)
+    turned = {PARTS[a]: reduce(lambda p, q: p + q, [F.col(f"j{b}{a}") * F.col(PARTS[b]) for b in axes]) for a in axes}
+    return got.select(*keys, *point, *[c.alias(n) for n, c in turned.items()])
 
 
 def to_nodes(gradient: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
     """Voxel gradient read linearly at the nodes' voxels and scaled by the spacing in each axis."""
     at = nodes.select(*keys, *axes, *[((F.col(a) - 1) * float(spacing)).alias(f"p{a}") for a in axes])
-    out = None
-    for a in axes:
-        one = resample(gradient.withColumn("value", F.col(PARTS[a]) * float(spacing)), at, keys, axes, axes, 1).withColumnRenamed("value", PARTS[a])
-        out = one if out is None else out.join(one, [*keys, *axes])
-    return out
+    got = resample_components(gradient, at, keys, axes, axes, parts_of(axes), 1)
+    return got.select(*keys, *axes, *[(F.col(v) * float(spacing)).alias(v) for v in parts_of(axes)])
 
 
 def lie_bracket(*_args):
