@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import keyed_texts, map_arrow, slices, table
 
 #: Chunks in the young half of a worker's store, and the characters up to which a chunk is kept there.
-MAX_CHUNKS, MAX_KEPT = 100_000, 40
+MAX_CHUNKS, MAX_KEPT = 200_000, 40
 #: Pairs whose compatibility a worker remembers.
 MAX_PAIRS = 1_000_000
 SPACE = "▁"
@@ -63,7 +63,9 @@ class PieceEncoder:
             left, right = ([self.place[ord(p[k])] for p in pairs] for k in (0, 1))
             self.bound[left, right] = True
         self._trees()
-        self.pairs: dict[int, bool] = {}
+        # tested right tokens of each left one; the last is for the start of a chunk
+        self.after: list[dict[int, bool]] = [{} for _ in range(max(self.piece) + 2)]
+        self.tested = 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -117,12 +119,12 @@ class PieceEncoder:
 
     def compatible(self, left: int, right: int) -> bool:
         """left: -1 at the start of a chunk, where right must only be the encoding of its own text."""
-        key = (left + 1) << 32 | right
-        known = self.pairs.get(key)
+        known = self.after[left].get(right)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._compatible(self.piece[left] if left >= 0 else "", self.piece[right])
+            if self.tested >= MAX_PAIRS:
+                self.after, self.tested = [{} for _ in self.after], 0
+            known = self.after[left][right] = self._compatible(self.piece[left] if left >= 0 else "", self.piece[right])
+            self.tested += 1
         return known
 
     def _compatible(self, a: str, b: str) -> bool:
@@ -141,14 +143,14 @@ class PieceEncoder:
         """The id and length of the last token of each prefix of a text of known characters."""
         n = len(text)
         ids, lengths = [-1] * (n + 1), [0] * (n + 1)
-        pairs, test = self.pairs, self.compatible
+        test = self.compatible
         for end, (i, m) in self.automaton.iter(text):
             end += 1
             if lengths[end]:
                 continue
             before = ids[end - m]
-            known = pairs.get((before + 1) << 32 | i)
-            if test(before, i) if known is None else known:
+            known = self.after[before].get(i)
+            if known or known is None and test(before, i):
                 ids[end], lengths[end] = i, m
         return ids, lengths
 
