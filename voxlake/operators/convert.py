@@ -58,6 +58,24 @@ def displacement(t: Transformation, voxels: DataFrame, keys: list[str], axes: li
     return deformation(t, voxels, keys, axes, dim).withColumns({PARTS[a]: F.col(PARTS[a]) - F.col(a) for a in axes})
 
 
+def jacobian(t: Transformation, voxels: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int]) -> DataFrame:
+    """j<component><axis>, det and log_det at the voxels for a transformation of any kind.
+
+    Affines have their matrix everywhere, control grids the slopes of their lattice, dense fields forward differences, and
+    velocities the product of the matrices of their squarings. log_det is NaN where the transformation folds.
+    """
+    if t.kind == "affine":
+        row = {f"j{b}{a}": F.lit(float(t.data[4 * "xyz".index(b) + "xyz".index(a)])) for b in axes for a in axes}
+        out = voxels.select(*keys, *axes).withColumns(row).withColumn("det", transform.determinant(axes))
+    elif t.kind in ("grid", "linear_grid"):
+        out = transform.spline_jacobian(voxels, t.data, keys, axes, t.spacing, "cubic" if t.kind == "grid" else "linear")
+    elif t.kind in ("velocity", "flow"):
+        out = transform.flow_jacobian(flow(t, voxels, keys, axes), keys, axes, dim, t.squarings)
+    else:
+        out = transform.field_jacobian(deformation(t, voxels, keys, axes, dim), keys, axes)
+    return transform.log_determinant(out).select(*keys, *axes, *[f"j{b}{a}" for b in axes for a in axes], "det", "log_det")
+
+
 def composed(second: Transformation, first: Transformation, voxels: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int]) -> Transformation:
     """second(first(x)) as a deformation. An affine second and two grids of one spacing are composed without sampling."""
     if second.kind == first.kind == "grid" and second.spacing == first.spacing:

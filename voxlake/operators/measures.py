@@ -221,6 +221,19 @@ def centre_shift(reference: DataFrame, floating: DataFrame, keys: list[str]) ->
     return reference.join(other, keys).select(*keys, *[(F.col(f"_c{a}") - F.col(f"c{a}")).alias(f"t{a}") for a in "xyz"])
 
 
+def mask_shift(reference: DataFrame, floating: DataFrame, keys: list[str], m: list[float], axes=("x", "y", None)) -> DataFrame:
+    """keys, tx, ty, tz: the shift between the centres of two masks' active voxels, in world space.
+
+    Voxel centres are subtracted before the matrix turns the difference, so that its shift and the images' size don't
+    cost digits.
+    """
+    centres = lambda mask, tag: mask.where("active").groupBy(*keys).agg(*[(F.avg(a) if a else F.max(F.lit(0.0))).alias(f"_{tag}{k}") for k, a in enumerate(axes)])
+    both = centres(reference, "r").join(centres(floating, "f"), keys)
+    moved = [F.col(f"_f{k}") - F.col(f"_r{k}") for k in range(3)]
+    rows = [sum((m[4 * r + k] * moved[k] for k in range(1, 3)), m[4 * r] * moved[0]) for r in range(3)]
+    return both.select(*keys, *[c.alias(f"t{a}") for c, a in zip(rows, "xyz", strict=True)])
+
+
 def painted_blocks(a: DataFrame, keys: list[str], axes: list[str], side: int = 4) -> DataFrame:
     """Image of the variance of the block that each voxel lies in; -1 where the block isn't usable."""
     names = [f"b{x}" for x in axes]

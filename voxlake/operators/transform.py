@@ -7,6 +7,7 @@ Small matrices live on the driver as row-major lists of 16.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,11 +194,14 @@ def invert_field(field: DataFrame, keys: list[str], axes: list[str], dim: dict[s
     return inv
 
 
+def nodes_along(voxels: int, spacing: float) -> int:
+    """Nodes of a control grid along an axis of so many voxels: one before them, two behind."""
+    return math.ceil(voxels / spacing) + 3
+
+
 def control_grid(spark: SparkSession, dim: dict[str, int], spacing: float) -> DataFrame:
     """Nodes of an identity grid for an image: ceil(n / spacing) + 3 an axis, positions in voxels."""
-    import math
-
-    n = [math.ceil(dim[a] / spacing) + 3 if a in dim else 1 for a in "xyz"]
+    n = [nodes_along(dim[a], spacing) if a in dim else 1 for a in "xyz"]
     g = grid(spark, *n)
     return g.select(*dim, *[((F.col(a) - 1) * float(spacing)).alias(PARTS[a]) for a in dim])
 
@@ -210,8 +214,6 @@ def middle_grids(spark: SparkSession, dim: dict[str, int], other_dim: dict[str,
     middle, the inverse of half of it the other image's; the grids cover all of these. Both hold positions in the middle
     space, nodes `spacing` voxels apart from the first voxel on.
     """
-    import math
-
     import numpy as np
 
     from .matrix import half

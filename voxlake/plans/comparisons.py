@@ -58,7 +58,7 @@ q(
 _active = lambda a: voxel.mask_of(voxel.binarise_at(a, 0.0))
 q(
     "a_mask_centre_shift",
-    lambda s, d: m.centre_shift(m.mask_centres(_active(img2d(s, d)), KEY, M), m.mask_centres(_active(_next(img2d(s, d))), KEY, M), KEY).select("image_id", *[r6(f"t{a}").alias(f"t{a}") for a in "xyz"]),
+    lambda s, d: m.mask_shift(_active(img2d(s, d)), _active(_next(img2d(s, d))), KEY, M).select("image_id", *[(r6(f"t{a}") + 0.0).alias(f"t{a}") for a in "xyz"]),
     f"WITH {SQL_2D}, c AS (SELECT image_id, avg(x) AS a, avg(y) AS b FROM img2d WHERE value >= 0 GROUP BY 1) SELECT a.image_id, round(2 * (b.a - a.a) + 0.5 * (b.b - a.b), 6) + 0.0 AS tx, round(-0.25 * (b.a - a.a) + 1.5 * (b.b - a.b), 6) + 0.0 AS ty, 0.0::DOUBLE AS tz FROM c a JOIN c b ON b.image_id = a.image_id + 1",
 )
 q(
