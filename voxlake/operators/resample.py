@@ -80,6 +80,28 @@ def resample_components(source: DataFrame, points: DataFrame, keys: list[str], a
     return tiles.on_tiles(asked, source, keys, axes, at, (before, count - before - 1), kernel, ", ".join(f"{c} double" for c in columns), [*keys, *point], columns)
 
 
+def value_and_gradient(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], order: int = 1, padding: float = float("nan")) -> DataFrame:
+    """keys, point columns, w (the source's value at p<axis>) and s<axis> (its slopes), all on the same tiles."""
+    kinds = [None, *axes]
+    each = [[_weights(order, by == a)[0] for a in axes] for by in kinds]
+    _, before, count = _weights(order)
+
+    def kernel(p, dense, origin, _):
+        values, there = dense
+        values = np.where(there, values, padding)
+        out = []
+        for weights in each:
+            x = np.zeros(len(p))
+            for at, k in tiles.taps(p, origin, weights, before, count):
+                x += values[at] * k
+            out.append(x)
+        return out
+
+    at = [f"p{a}" for a in axes]
+    asked = points.select(*dict.fromkeys([*keys, *point, *at]))
+    return tiles.on_tiles(asked, source, keys, axes, at, (before, count - before - 1), kernel, ", ".join(["w double", *[f"s{a} double" for a in axes]]), [*keys, *point], ["value"])
+
+
 def image_gradient(source: DataFrame, points: DataFrame, keys: list[str], axes: list[str], point: list[str], order: int = 1, padding: float = 0.0) -> DataFrame:
     """g<axis>: slope of the interpolated source at each point along each axis; not defined: 0."""
     value, before, count = _weights(order)

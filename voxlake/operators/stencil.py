@@ -1,7 +1,7 @@
 """Stencils: separable convolution, label filter, gradients, shifts and self-similarity descriptors.
 
-A pass along an axis is one window over the other axes, so a chain of passes along the same image needs one exchange
-an axis and each task holds one line's frame at a time.
+Convolutions and the label filter work on tiles (tiles.py), all axes and components in one exchange. Gradients, shifts and
+descriptors are windows along the lines of an image: each task holds one line's frame at a time.
 """
 
 from __future__ import annotations
@@ -46,34 +46,60 @@ def neighbour(column: str | Column, by: int, w) -> Column:
     return F.max(column).over(w.rangeBetween(by, by))
 
 
-def _weighted(column: str, weights: list[float], w) -> Column:
-    r = len(weights) // 2
-    terms = [F.coalesce(neighbour(column, i, w), F.lit(0.0)) * k for i, k in zip(range(-r, r + 1), weights, strict=True) if k]
-    return reduce(lambda a, b: a + b, terms, F.lit(0.0))
+def _passes(x: np.ndarray, there: np.ndarray, weights: list[list[float]]) -> np.ndarray:
+    """Weighted sums along one axis after the other; places without a voxel hold nothing between the passes."""
+    for axis, k in enumerate(weights):
+        if len(k) > 1 or k[0] != 1.0:
+            r, out = len(k) // 2, np.zeros_like(x)
+            for i, w in zip(range(-r, r + 1), k, strict=True):
+                if w:
+                    out += _moved(x, i, axis) * w
+            x = out
+        x = np.where(there, x, 0.0)
+    return x
+
+
+def _smoothed(a: DataFrame, keys: list[str], axes: list[str], columns: list[str], weights: list[list[float]], normal: bool) -> DataFrame:
+    """a with the given columns convolved on tiles, all in one exchange. normal: divided by the convolved presence of
+    their values; NaN stays. Otherwise the bare sums, NaN counting as 0."""
+
+    def run(p, dense, origin, _):
+        *values, there = dense
+        at, out, seen = tuple((p.astype(np.int64) - origin).T), [], {}
+        for x in values:
+            ok = ~np.isnan(x)
+            sums = _passes(np.where(ok, x, 0.0), there, weights)[at]
+            if normal:
+                mark = ok.tobytes()
+                if mark not in seen:
+                    seen[mark] = _passes(ok.astype(float), there, weights)[at]
+                d = seen[mark]
+                sums = np.where(ok[at], np.divide(sums, d, out=np.zeros_like(sums), where=d != 0), np.nan)
+            out.append(sums)
+        return out
+
+    far = max(len(k) // 2 for k in weights)
+    keep = [c for c in a.columns if c not in columns]
+    source = a.select(*keys, *axes, *[F.when(valid(c), F.col(c)).otherwise(F.lit(float("nan"))).alias(c) for c in columns])
+    got = on_tiles(a.select(keep), source, keys, axes, axes, (far, far), run, ", ".join(f"{c} double" for c in columns), keep, columns)
+    return got.select(a.columns)
 
 
 def convolve(a: DataFrame, keys: list[str], axes: list[str], sigmas: dict[str, float], kind: str = "gauss", spacing: dict[str, float] | None = None) -> DataFrame:
     """Normalised separable convolution: values and their presence are both convolved along each axis, and divided once
     at the end. NaN voxels count nowhere and stay NaN. A sigma above 0 is in mm (spacing), below 0 in voxels; 0: none."""
-    out = a.withColumn("_d", F.when(valid("value"), F.lit(1.0)).otherwise(F.lit(0.0))).withColumn("_v", F.coalesce(known("value"), F.lit(0.0))).withColumn("_ok", valid("value"))
-    for axis in axes:
-        s = sigmas.get(axis, 0.0)
-        s = s / (spacing or {}).get(axis, 1.0) if s > 0 else -s
-        if s:
-            k, w = kernel(kind, s), _along(keys, axes, axis)
-            out = out.withColumns({"_v": _weighted("_v", k, w), "_d": _weighted("_d", k, w)})
-    return out.withColumn("value", F.when(F.col("_ok"), safe_div(F.col("_v"), F.col("_d"))).otherwise(F.lit(float("nan")))).drop("_v", "_d", "_ok")
+    return convolve_components(a, keys, axes, sigmas, ["value"], kind, spacing)
 
 
 def convolve_components(field: DataFrame, keys: list[str], axes: list[str], sigmas: dict[str, float], components: list[str], kind: str = "gauss", spacing: dict[str, float] | None = None) -> DataFrame:
     """convolve() of each component of a vector field: a voxel gradient smoothed, or brought to the spacing of a grid's
-    nodes with kind "cubic"."""
-    names = field.columns
-    field = field.withColumnRenamed("value", "_kept")
-    for c in components:
-        rest = [x for x in field.columns if x != c]
-        field = convolve(field.withColumnRenamed(c, "value"), keys, axes, sigmas, kind, spacing).select(*rest, F.col("value").alias(c))
-    return field.withColumnRenamed("_kept", "value").select(names)
+    nodes with kind "cubic". Voxels and their surroundings meet on tiles (tiles.py), all components at once."""
+    weights = []
+    for axis in axes:
+        s = sigmas.get(axis, 0.0)
+        s = s / (spacing or {}).get(axis, 1.0) if s > 0 else -s
+        weights.append(kernel(kind, s) if s else [1.0])
+    return _smoothed(field, keys, axes, components, weights, normal=True)
 
 
 def label_filter(a: DataFrame, keys: list[str], axes: list[str], variance: float) -> DataFrame:
@@ -186,9 +212,7 @@ def lncc(pair: DataFrame, keys: list[str], axes: list[str], sigma: float = -5.0,
     ok = valid("value") & valid("w")
     cols = {"_r": F.col("value"), "_f": F.col("w"), "_rr": F.col("value") * F.col("value"), "_ff": F.col("w") * F.col("w"), "_rf": F.col("value") * F.col("w"), "_n": F.lit(1.0)}
     out = pair.withColumns({n: F.when(ok, c).otherwise(F.lit(0.0)) for n, c in cols.items()}).withColumn("_ok", ok)
-    for x in axes:
-        k, w = kernel(kind, abs(sigma)), _along(keys, axes, x)
-        out = out.withColumns({n: _weighted(n, k, w) for n in cols})
+    out = _smoothed(out, keys, axes, list(cols), [kernel(kind, abs(sigma))] * len(axes), normal=False)
     # the voxel itself is defined here, so the weight isn't 0
     mean = out.where("_ok").select(*keys, *[(F.col(n) / F.col("_n")).alias(n) for n in cols if n != "_n"])
     dev = lambda a, b: F.sqrt(F.greatest(F.col(b) - F.col(a) * F.col(a), F.lit(0.0)))
