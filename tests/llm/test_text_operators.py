@@ -373,3 +373,24 @@ def test_components_of_a_long_chain(spark):
     got = {r.node: r.root for r in connected_components(df, "x", "y").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
     assert connected_components(df.where("false"), "x", "y").count() == 0
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    from voxlake.llm.language_id import fit, predict
+
+    rows = [(i, ("the road and the river " if i % 2 else "der Weg und der Fluss ") * (3 + i % 5), "en" if i % 2 else "de") for i in range(60)]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = ["12 ½ ² ①", "Ⅷ ③ 7", "", None, "__ 4", "é", "語"]
+    got = predict(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in got] == [True] * 5 + [False] * 2 and all(r.score == 0 for r in got[:5])
+
+
+def test_leaks_in_other_case_are_found(spark):
+    from voxlake.llm.decontamination import find_leaks
+
+    words = [f"{a}é{b}ß" for a in "kvlmnpqr" for b in "aeiouyzx"]
+    item = " ".join(words[:40])
+    filler = " ".join(f"wort{i % 50}" for i in range(300))
+    docs = [(0, f"{filler} {item.upper()} {filler}"), (1, f"{filler} {item.title()}"), (2, filler), (3, item)]
+    found = find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, filler[::-1][:200])], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(0, 7), (1, 7), (3, 7)}

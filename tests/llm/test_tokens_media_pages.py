@@ -216,3 +216,33 @@ def test_pages_edges(spark):
     df = spark.createDataFrame([(1, "u", None, 1), (1, "u", None, 1), (None, None, "<p>x, y.</p>", 1)], "page_id long, url string, html string, text int")
     assert sorted((r.text, r.n_chars) for r in extract(df).collect()) == [("", 0), ("", 0), ("x, y.", 5)]
     assert extract(df.where("false")).count() == 0
+
+
+PROSE = "It was a long day, and the road went on; nobody spoke until evening came, when lamps were lit. " * 5
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post no-comments", "article-header", "search-results-off", "content"])
+def test_names_never_take_the_main_part_away(name):
+    from voxlake.llm.html_extract import main_text
+
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>About us</a></li></ul>"
+    page = f'<html><body><div class="{name}"><p>{PROSE}</p>{menu}<p>{PROSE}</p></div><div class="sidebar"><p>Other pages.</p></div></body></html>'
+    assert main_text(page) == "\n".join([PROSE.strip()] * 2)
+
+
+def test_names_hold_where_the_page_marks_its_article():
+    from voxlake.llm.html_extract import main_text
+
+    page = f'<body><div class="ad">{PROSE}</div><article><h1>Short</h1><p>One line.</p></article></body>'
+    assert main_text(page) == "Short\nOne line."
+    assert main_text(f'<body><div><p>{PROSE}</p></div><div class="comments"><p>{PROSE * 4}</p></div></body>') == PROSE.strip()
+
+
+def test_held_notes_vote_for_their_length():
+    from voxlake.llm.chroma import _Codes, block_matches
+
+    held = np.repeat([7, 9], [40, 30]).astype(np.int32)  # two runs only
+    other = np.concatenate([np.arange(100, 110), held]).astype(np.int32)
+    q, m = (_Codes(np.array([i]), c, np.array([0, len(c)])) for i, c in ((1, held), (2, other)))
+    a, b, votes, offset, error = (x.tolist() for x in block_matches(q, m, 5, 0.3))
+    assert (a, b, votes, offset, error) == ([1], [2], [70], [10], [0.0])

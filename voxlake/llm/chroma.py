@@ -118,8 +118,10 @@ class _Codes:
         owner = np.repeat(np.arange(len(ids)), np.diff(at))
         first = np.append(True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1]))[: len(codes)]
         use = np.flatnonzero(first)
-        order = use[np.argsort(codes[use], kind="stable")]
+        by_code = np.argsort(codes[use], kind="stable")
+        order = use[by_code]
         self.sorted, self.owner, self.pos = codes[order], owner[order], order - at[owner[order]]
+        self.run = np.diff(np.append(use, len(codes)))[by_code]  # equal integers in a row from here on
 
     @classmethod
     def of(cls, t: pa.Table, id_col: str) -> _Codes:
@@ -129,7 +131,8 @@ class _Codes:
 
 
 def _votes(q: _Codes, m: _Codes, qr: tuple[int, int], mr: tuple[int, int]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Query, recording, offset and number of equal integers there, for the given ranges; halved while hits are too many."""
+    """Query, recording, offset and number of equal integers there, for the given ranges; halved while hits are too many.
+    Where runs of equal integers begin together, they count as long as the shorter one."""
     a, b = ((x.owner >= r[0]) & (x.owner < r[1]) for x, r in ((q, qr), (m, mr)))
     code, own, pos = q.sorted[a], q.owner[a], q.pos[a]
     lo = np.searchsorted(code, m.sorted[b], "left")
@@ -142,7 +145,9 @@ def _votes(q: _Codes, m: _Codes, qr: tuple[int, int], mr: tuple[int, int]) -> It
         return
     hit = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
     key = (own[hit] * len(m.ids) + np.repeat(m.owner[b], n)) << 32 | np.repeat(m.pos[b], n) - pos[hit] + (1 << 31)
-    key, count = np.unique(key, return_counts=True)
+    key, which = np.unique(key, return_inverse=True)
+    shared = np.minimum(q.run[a][hit], np.repeat(m.run[b], n))
+    count = np.bincount(which, shared, len(key)).astype(np.int64)
     yield (key >> 32) // len(m.ids), (key >> 32) % len(m.ids), (key & 0xFFFFFFFF) - (1 << 31), count
 
 
@@ -173,7 +178,7 @@ def align(prints: DataFrame, is_query, min_votes: int = 5, max_bit_error: float
     (rows where is_query holds) n_matches and the best match: match_id, offset, votes, bit_error (else null).
 
     Recordings of one class are compared once. Only the first of equal integers in a row is looked up, so held notes
-    and silence don't multiply. A match has min_votes equal integers at its best offset and at most max_bit_error of
+    and silence don't multiply, and votes for all that both rows share. A match has min_votes equal integers at its best offset and at most max_bit_error of
     the bits differing over the frames that overlap there. Recordings without a code are one class and match
     nothing, nor do those with no id but null.
 

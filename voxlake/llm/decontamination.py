@@ -36,8 +36,6 @@ KEPT = 0.9
 
 _WORD_BYTE = np.zeros(256, bool)
 _WORD_BYTE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 _CODE = np.random.default_rng(4).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = 0x9E3779B97F4A7C15
 _INVERSE = pow(_STEP, -1, 1 << 64)
@@ -45,8 +43,8 @@ _powers: list[np.ndarray] = []
 
 
 def word_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Term numbers of all words (runs of letters and digits, A-Z as a-z), and where each text's words begin (one more at the end)."""
-    data = [(t or "").encode() for t in texts]
+    """Term numbers of all words (runs of letters and digits, case folded in any script), and where each text's words begin (one more at the end)."""
+    data = [(t or "").casefold().encode() for t in texts]
     b = np.frombuffer(b" ".join(data) + b" ", np.uint8)
     n = len(b)
     if not _powers or len(_powers[0]) < n:
@@ -56,7 +54,7 @@ def word_terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(w[1:] != w[:-1])
     first, last = edge[::2], edge[1::2]
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[_FOLD[b]] * _powers[0][:n], out=total[1:])
+    np.cumsum(_CODE[b] * _powers[0][:n], out=total[1:])
     h = (total[last] - total[first]) * _powers[1][first]
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     text_at = np.cumsum([0, *(len(d) + 1 for d in data)])

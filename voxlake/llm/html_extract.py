@@ -3,8 +3,8 @@
 A page becomes a list of text blocks, each with the path of block elements from the root to it. Text length and
 punctuation are added up for each path and divided by the number of blocks there; the ratios, laid out in page order,
 are smoothed, multiplied, and cut at a threshold that follows their spread. The element that holds the chosen blocks
-is the article: its other blocks (headings, short lines) stay too, and what markup names as a menu, header, footer,
-sidebar, notice, advert, form or comment never counts.
+is the article: its other blocks (headings, short lines) stay too, but for paths of links alone. Tags of menus, headers,
+footers, sidebars and forms never count; names that say so take an element away unless it holds most of the text.
 """
 
 from __future__ import annotations
@@ -38,35 +38,64 @@ _OUTSIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "header", "masthead", "footer", "sidebar", "aside", "widget", "cookie", "cookies", "consent",
     "notice", "alert", "popup", "modal", "overlay", "comment", "comments", "reply", "replies", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "search", "pagination", "pager", "toolbar", "complementary", "contentinfo", "skip",
 }
+#: Words of readers' comments; an element of such a name is never the article, however long.
+_COMMENT_WORDS = {"comment", "comments", "reply", "replies", "disqus"}
+#: First words of class names that tell of a layout's state, not of what an element is.
+_STATES = {"has", "no", "with", "without", "is", "not", "show", "hide"}
+#: Share of a path's text outside links below which it is a list of links.
+_LINKED = 0.2
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _WORD = re.compile(r"[a-z]+")
 _MANY_BLANKS = re.compile(r"\s+")
 
 
 class _Block:
-    __slots__ = ("path", "chain", "text", "link")
+    __slots__ = ("path", "chain", "named", "text", "link")
 
-    def __init__(self, path: tuple, chain: tuple, text: str, link: int):
-        self.path, self.chain, self.text, self.link = path, chain, text, link
+    def __init__(self, path: tuple, chain: tuple, named: tuple, text: str, link: int):
+        self.path, self.chain, self.named, self.text, self.link = path, chain, named, text, link
 
 
-def _is_outside(tag: str, attrs: str, in_article: bool) -> bool:
+#: What markup says of an element: nothing, that its name is one of boilerplate, that it is boilerplate.
+PLAIN, NAMED, OUTSIDE = 0, 1, 2
+
+
+def _names(value: str) -> set[str]:
+    """Words of a class, id or role, without those of names that tell of a state (has-sidebar, no-comments)."""
+    found = set()
+    for name in value.split():
+        words = _WORD.findall(name)
+        if words and words[0] not in _STATES:
+            found.update(words)
+    return found
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> int:
     if tag in _OUTSIDE or tag == "header" and not in_article:
-        return True
-    if attrs:
-        for name, a, b, c in _ATTR.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if tag not in ("html", "body", "article", "main") and name in ("class", "id", "role") and not _OUTSIDE_WORDS.isdisjoint(_WORD.findall(value)):
-                return True
-    return False
+        return OUTSIDE
+    kind = PLAIN
+    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return OUTSIDE
+        if tag not in ("html", "body", "article", "main") and name in ("class", "id", "role"):
+            words = _names(value)
+            if not _COMMENT_WORDS.isdisjoint(words):
+                return OUTSIDE
+            if not _OUTSIDE_WORDS.isdisjoint(words):
+                kind = NAMED
+    return kind
 
 
 def blocks_of(page: str) -> list[_Block]:
-    """Text blocks outside boilerplate elements, in page order; white space is folded, references are decoded."""
+    """Text blocks in page order; white space is folded, references are decoded.
+
+    Elements that are boilerplate by their tag are left out, and those by their name unless they hold most of the text
+    that is left and no other element is an article by its tag: a name may lower an element's worth, but never takes the
+    page's main part away.
+    """
     out: list[_Block] = []
-    stack: list[tuple[str, int, bool]] = []  # element, its number, whether it is boilerplate
+    stack: list[tuple[str, int, int]] = []  # element, its number, what markup says of it
     buf: list[str] = []
     number = outside = link = 0
     linked = 0
@@ -77,14 +106,15 @@ def blocks_of(page: str) -> list[_Block]:
             text = _MANY_BLANKS.sub(" ", html.unescape("".join(buf))).strip()
             buf.clear()
             if text and not outside:
-                out.append(_Block(tuple(t for t, _, _ in stack), tuple(n for _, n, _ in stack), text, linked))
+                named = tuple(n for _, n, kind in stack if kind == NAMED)
+                out.append(_Block(tuple(t for t, _, _ in stack), tuple(n for _, n, _ in stack), named, text, linked))
         linked = 0
 
     def close(depth: int) -> None:
         nonlocal outside
         flush()
         while len(stack) > depth:
-            outside -= stack.pop()[2]
+            outside -= stack.pop()[2] == OUTSIDE
 
     at, n = 0, len(page)
     while at < n:
@@ -134,11 +164,18 @@ def blocks_of(page: str) -> list[_Block]:
                         break
             if tag not in _VOID and not m[3].endswith("/"):
                 number += 1
-                bad = _is_outside(tag, m[3], any(t in ("article", "main") for t, _, _ in stack))
-                stack.append((tag, number, bad))
-                outside += bad
+                kind = _kind(tag, m[3], any(t in ("article", "main") for t, _, _ in stack))
+                stack.append((tag, number, kind))
+                outside += kind == OUTSIDE
     flush()
-    return out
+    held: dict[int, int] = {}
+    for b in out:
+        for n in b.named:
+            held[n] = held.get(n, 0) + max(0, len(b.text) - b.link)
+    most = sum(max(0, len(b.text) - b.link) for b in out) / 2
+    if any(not b.named and ("article" in b.path or "main" in b.path) for b in out):
+        most = np.inf  # the page says where its article is
+    return [b for b in out if all(held[n] > most for n in b.named)]
 
 
 def _smooth(x: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -176,7 +213,10 @@ def main_text(page: str | None) -> str:
     at = chain.index(root)
     around = [k for k in range(at + 1) if path[k] in ("article", "main")]
     keep = chain[around[-1]] if around else chain[at - 1] if path[at] == "p" and at else root
-    return "\n".join(b.text for b in blocks if keep in b.chain)
+    # paths inside it that are nearly all links are menus, not text
+    whole = np.bincount(paths, [len(b.text) for b in blocks])[paths]
+    listed = (np.bincount(paths, size)[paths] < _LINKED * whole) & (per[paths] > 1)
+    return "\n".join(b.text for b, menu in zip(blocks, listed, strict=True) if keep in b.chain and not menu)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -7,12 +7,12 @@ regression for each language (one against the rest) is fitted on a bounded sampl
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import keyed_texts, map_arrow, slices, table
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: Slots of the presence vector: pairs as they are, runs of three and four bytes by hash.
 _HASHED = 1 << 17
 SLOTS = (1 << 16) + 2 * _HASHED
