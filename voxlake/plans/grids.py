@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import measures, resample
+from ..operators import measures, resample, transform
 from ..operators.voxel import grid
 
 AXES = ["x", "y", "z"]
@@ -29,9 +29,16 @@ def similarity(spark: SparkSession, n: int) -> DataFrame:
     return measures.nmi(pair, ["k"])
 
 
+def lattice(spark: SparkSession, n: int) -> DataFrame:
+    """A cubic control grid of nodes five voxels apart, read at every voxel."""
+    nodes = transform.control_grid(spark, dict.fromkeys(AXES, n), 5.0).withColumn("vx", F.col("vx") + F.sin(F.col("y") * 1.0)).withColumn("k", F.lit(0))
+    return transform.spline_field(grid(spark, n, n, n).select(F.lit(0).alias("k"), *AXES), nodes, ["k"], AXES, 5.0)
+
+
 GRIDS: dict[str, Callable[[SparkSession], DataFrame]] = {
     "grid_linear_64": lambda s: resampled(s, 64, 1),
     "grid_linear_128": lambda s: resampled(s, 128, 1),
     "grid_cubic_64": lambda s: resampled(s, 64, 3),
     "grid_nmi_64": lambda s: similarity(s, 64),
+    "grid_spline_128": lambda s: lattice(s, 128),
 }
