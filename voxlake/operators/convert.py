@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import transform
+from .inversion import inverse_field
 from .regularise import linear_spline_field
 from .transform import PARTS, parts_of
 
@@ -94,7 +95,7 @@ def inverted(t: Transformation, voxels: DataFrame, keys: list[str], axes: list[s
         return replace(t, data=np.linalg.inv(np.reshape(t.data, (4, 4))).ravel().tolist())
     if t.kind in ("velocity", "flow"):
         return replace(t, backward=not t.backward)
-    return Transformation("deformation", transform.invert_field(deformation(t, voxels, keys, axes, dim), keys, axes, dim, rounds))
+    return Transformation("deformation", inverse_field(deformation(t, voxels, keys, axes, dim), keys, axes, dim, rounds).drop("residual"))
 
 
 def landmarks(t: Transformation, points: DataFrame, voxels: DataFrame, keys: list[str], axes: list[str], dim: dict[str, int], point: list[str]) -> DataFrame:

@@ -7,8 +7,11 @@ the nodes around each point are weighed one offset after the other. No row is ma
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.scalar import B_SPLINE, B_SPLINE_D, LINEAR, LINEAR_D
 from . import tiles
@@ -83,3 +86,44 @@ def lattice_sums(points: DataFrame, nodes: DataFrame, keys: list[str], point: li
     asked = points.select(*dict.fromkeys([*keys, *point, *at]))
     out = ", ".join(f"{n} double" for n in names)
     return tiles.on_tiles(asked, nodes, keys, axes, at, (before, count - before - 1), kernel, out, [*keys, *point], components, SIDES[d])
+
+
+def voxel_sums(nodes: DataFrame, voxels: DataFrame, keys: list[str], axes: list[str], spacing: float, wanted: dict[str, list[tuple[str, str | None]]], kind: str = "cubic") -> DataFrame:
+    """What voxels leave at the nodes that reach them, the transpose of lattice_sums(): the nodes with all their columns and
+    one more for each of `wanted`.
+
+    wanted: for each output the voxel columns that are summed, with the axis of the slope that weighs them or None for the
+    value. Nodes are `spacing` voxels apart. A node meets the voxels in its reach on a tile of voxels, where the sums are
+    products of one basis matrix an axis. Nodes that no voxel reaches get 0; null and NaN add nothing.
+    """
+    values, slopes, before = KINDS[kind]
+    count, d, spacing = len(values), len(axes), float(spacing)
+    reach = math.ceil(count / 2 * spacing)
+    columns = list(dict.fromkeys(c for terms in wanted.values() for c, _ in terms))
+
+    def kernel(p, dense, origin, _):
+        held = {c: np.nan_to_num(x, nan=0.0) for c, x in zip(columns, dense, strict=False)}
+        ticks, places = zip(*(np.unique(np.round(p[:, k] / spacing).astype(np.int64) + 1, return_inverse=True) for k in range(d)), strict=True)
+        basis = {}
+        for k, t in enumerate(ticks):
+            q = (np.arange(dense[0].shape[k]) + origin[k]) / spacing + 1
+            low = np.floor(q)
+            tap = t[:, None] - low.astype(np.int64) + before  # which weight of a voxel is the node's
+            for name, table in (("value", values), ("slope", slopes)):
+                w = _basis(table, q - low)
+                basis[k, name] = np.where((tap >= 0) & (tap < count), np.take_along_axis(w, np.clip(tap, 0, count - 1), 0), 0.0)
+        out = []
+        for terms in wanted.values():
+            total = np.zeros(len(p))
+            for c, by in terms:
+                x = held[c]
+                for k, a in enumerate(axes):
+                    x = np.moveaxis(np.tensordot(basis[k, "slope" if a == by else "value"], x, (1, k)), 0, k)
+                total += x[places] / (spacing if by else 1.0)
+            out.append(total)
+        return out
+
+    at = [f"_v{a}" for a in axes]
+    asked = nodes.withColumns({c: (F.col(a) - 1) * spacing for c, a in zip(at, axes, strict=True)})
+    out = ", ".join(f"{c} double" for c in wanted)
+    return tiles.on_tiles(asked, voxels, keys, axes, at, (reach, reach), kernel, out, nodes.columns, columns, max(tiles.SIDES[d], reach))

@@ -1,4 +1,8 @@
-"""Penalty on the Jacobian of control grids, its slope, repair of folds, and slopes by finite differences."""
+"""Penalty on the Jacobian of control grids, its slope, repair of folds, and slopes by finite differences.
+
+Penalty, slope and repair look at the Jacobian at the inner nodes or, where voxels are given, at each of these. Slopes of
+voxels are summed into the nodes that reach them on tiles.
+"""
 
 from __future__ import annotations
 
@@ -10,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_ln
+from .lattice import voxel_sums
 from .lineage import cut
 from .regularise import FIRST, _cast_back, _derivatives
-from .transform import PARTS, determinant, parts_of
+from .transform import PARTS, determinant, parts_of, spline_jacobian
 
 
 def node_jacobians(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
@@ -31,39 +36,58 @@ def cofactor(axes: list[str], b: str, a: str) -> Column:
     return sign * (j(rest_b[0], rest_a[0]) * j(rest_b[1], rest_a[1]) - j(rest_b[0], rest_a[1]) * j(rest_b[1], rest_a[0]))
 
 
-def grid_penalty(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
-    """Mean squared log determinant at the inner nodes; NaN as soon as one is below 0."""
+def _jacobians(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, voxels: DataFrame | None) -> DataFrame:
+    return node_jacobians(nodes, keys, axes, spacing) if voxels is None else spline_jacobian(voxels, nodes, keys, axes, spacing)
+
+
+def _into_nodes(jacobians: DataFrame, nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, factor: Column) -> DataFrame:
+    """The nodes and g<component>: slope of the determinants of voxels, each times its factor, for the node's components."""
+    entries = [(b, a) for b in axes for a in axes]
+    weighed = jacobians.select(*keys, *axes, *[(factor * cofactor(axes, b, a)).alias(f"_w{b}{a}") for b, a in entries])
+    return voxel_sums(nodes, weighed, keys, axes, spacing, {f"g{PARTS[b]}": [(f"_w{b}{a}", a) for a in axes] for b in axes})
+
+
+def grid_penalty(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, voxels: DataFrame | None = None) -> DataFrame:
+    """Mean squared log determinant at the inner nodes or the voxels; NaN as soon as one is below 0."""
     ln = safe_ln(F.col("det"))
-    return node_jacobians(nodes, keys, axes, spacing).groupBy(*keys).agg(F.avg(ln * ln).alias("penalty"))
+    return _jacobians(nodes, keys, axes, spacing, voxels).groupBy(*keys).agg(F.avg(ln * ln).alias("penalty"))
 
 
-def penalty_gradient(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
+def penalty_gradient(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, voxels: DataFrame | None = None) -> DataFrame:
     """Slope of the sum of squared log determinants at the inner nodes for each node's components, over the number of
-    nodes. Inner nodes where the grid folds say nothing."""
+    nodes; with voxels, at these and over their number. Where the grid folds, inner nodes and voxels say nothing."""
+    if voxels is not None:
+        j = spline_jacobian(voxels, nodes, keys, axes, spacing).where("det > 0")
+        number = voxels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+        sums = _into_nodes(j, nodes, keys, axes, spacing, 2 * F.ln("det") / F.col("det"))
+        return sums.join(number, keys).select(*keys, *axes, *[(F.col(f"g{v}") / F.col("_all")).alias(v) for v in parts_of(axes)])
     j = node_jacobians(nodes, keys, axes, spacing).where("det > 0")
     k = 2 * F.ln("det") / F.col("det") / float(spacing)
     slopes = {PARTS[b]: {a: k * cofactor(axes, b, a) for a in axes} for b in axes}
     return _cast_back(j, keys, axes, {a: {a: FIRST} for a in axes}, slopes, nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")))
 
 
-def correct_folding(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float) -> DataFrame:
-    """Nodes around an inner node where the grid folds, moved by a fifth of a voxel along the slope of the determinants
-    there. Grids that don't fold stay as they are."""
-    folded = node_jacobians(nodes, keys, axes, spacing).where("det <= 0")
-    slopes = {PARTS[b]: {a: cofactor(axes, b, a) for a in axes} for b in axes}
-    one = nodes.select(*keys).distinct().withColumn("_all", F.lit(1))
-    g = _cast_back(folded, keys, axes, {a: {a: FIRST} for a in axes}, slopes, one).select(*keys, *axes, *[F.col(v).alias(f"_g{v}") for v in parts_of(axes)])
-    length = F.sqrt(reduce(add, [F.col(f"_g{v}") * F.col(f"_g{v}") for v in parts_of(axes)]))
-    moved = nodes.join(g, [*keys, *axes], "left")
-    return moved.select(*keys, *axes, *[(F.col(v) + F.when(length > 0, F.col(f"_g{v}") / (5 * length)).otherwise(F.lit(0.0))).alias(v) for v in parts_of(axes)])
+def correct_folding(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, voxels: DataFrame | None = None) -> DataFrame:
+    """Nodes around an inner node where the grid folds, or in reach of a voxel where it does, moved by a fifth of a voxel
+    along the slope of the determinants there. Grids that don't fold stay as they are."""
+    folded = _jacobians(nodes, keys, axes, spacing, voxels).where("det <= 0")
+    if voxels is None:
+        slopes = {PARTS[b]: {a: cofactor(axes, b, a) for a in axes} for b in axes}
+        one = nodes.select(*keys).distinct().withColumn("_all", F.lit(1))
+        g = _cast_back(folded, keys, axes, {a: {a: FIRST} for a in axes}, slopes, one).select(*keys, *axes, *[F.col(v).alias(f"g{v}") for v in parts_of(axes)])
+        moved = nodes.join(g, [*keys, *axes], "left")
+    else:
+        moved = _into_nodes(folded, nodes, keys, axes, spacing, F.lit(1.0))
+    length = F.sqrt(reduce(add, [F.col(f"g{v}") * F.col(f"g{v}") for v in parts_of(axes)]))
+    return moved.select(*keys, *axes, *[(F.col(v) + F.when(length > 0, F.col(f"g{v}") / (5 * length)).otherwise(F.lit(0.0))).alias(v) for v in parts_of(axes)])
 
 
-def unfold(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, rounds: int = 20) -> DataFrame:
-    """correct_folding() again and again until no grid folds, at most `rounds` times."""
+def unfold(nodes: DataFrame, keys: list[str], axes: list[str], spacing: float, rounds: int = 20, voxels: DataFrame | None = None) -> DataFrame:
+    """correct_folding() again and again until no grid folds at its inner nodes or voxels, at most `rounds` times."""
     for _ in range(rounds):
-        if node_jacobians(nodes, keys, axes, spacing).where("det <= 0").isEmpty():
+        if _jacobians(nodes, keys, axes, spacing, voxels).where("det <= 0").isEmpty():
             break
-        nodes = cut(correct_folding(nodes, keys, axes, spacing))
+        nodes = cut(correct_folding(nodes, keys, axes, spacing, voxels))
     return nodes
 
 

@@ -59,6 +59,17 @@ def read_nifti(data: bytes, pixels: bytes | None = None, header_only: bool = Fal
     return meta, values.reshape((*shape, 3) if kind == "rgb24" else shape, order="F") if kind != "rgb24" else values.reshape(*shape[::-1], 3).transpose(6, 5, 4, 3, 2, 1, 0, 7)
 
 
+def nifti_layout(head: bytes, paired: bool) -> tuple[ImageMeta, np.dtype, int]:
+    """Header, element type and place of the first voxel in the file that holds the voxels: the other one where paired."""
+    end = next((e for e in "<>" if struct.unpack_from(e + "i", head)[0] in (348, 540)), None)
+    if end is None:
+        raise ValueError("not a NIfTI or Analyze header")
+    second = struct.unpack_from(end + "i", head)[0] == 540
+    offset = int(struct.unpack_from(end + ("q" if second else "f"), head, 168 if second else 108)[0])
+    meta, _ = read_nifti(head, b"" if paired else None, header_only=True)
+    return meta, _dtype(meta.datatype, end), offset if paired else offset or (540 if second else 348)
+
+
 def write_nifti(meta: ImageMeta, values: np.ndarray, compress: bool = False) -> bytes:
     """A single NIfTI-1 file."""
     h = bytearray(352)

@@ -1,12 +1,12 @@
-"""Reading and writing images, matrices and landmarks through Spark's own readers and writers.
+"""Reading and writing images, matrices and landmarks.
 
-Files come in as binaryFile rows, one task decodes a file at a time, and voxels leave as rows; so any store that Spark
-reads will do, and a folder of a million images is a distributed scan.
+Voxels come from the data source of volumes.py as rows, headers from the first bytes of each file, and encoded images go
+to a shared store file by file.
 """
 
 from __future__ import annotations
 
-import os
+import posixpath
 import re
 import uuid
 from collections.abc import Iterator
@@ -17,19 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from . import codecs
+from . import codecs, store
 from .meta import ImageMeta
+from .volumes import KINDS, VOXELS, Voxels, header_bytes, kind_of
 
-KINDS = {"nifti": (".nii", ".hdr", ".img"), "nrrd": (".nrrd",), "png": (".png",)}
-VOXELS = "image_id string, x int, y int, z int, t int, u int, value double"
 HEADERS = "image_id string, dim array<int>, pixdim array<double>, datatype string, scl_slope double, scl_inter double, world array<double>, intent string, intent_p array<double>"
 
 
-def kind_of(name: str) -> str:
-    """Codec by file name; what isn't known counts as NIfTI."""
-    return next((k for k, ends in KINDS.items() if any(e in name.lower() for e in ends)), "nifti")
-
-
 def is_image_name(name: str) -> bool:
     return any(e in name.lower() for ends in KINDS.values() for e in ends)
 
@@ -42,37 +36,36 @@ def decode(name: str, data: bytes, header_only: bool = False) -> tuple[ImageMeta
     return codecs.read_nrrd(data) if kind == "nrrd" else codecs.read_nifti(data, header_only=header_only)
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Header of each image: of NIfTI and Analyze files only the header is read, of others the file."""
 
+    def head(path: str) -> ImageMeta:
+        if kind_of(path) == "nifti":
+            return codecs.read_nifti(header_bytes(path), header_only=True)[0]
+        with store.stream(path, False) as f:
+            return decode(path, f.read(), True)[0]
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for p, c in zip(b["path"], b["content"], strict=True):
-                m, _ = decode(p, c, True)
+            for p in b["path"]:
+                m = head(p)
                 rows.append((p, list(m.dim), list(map(float, m.pixdim)), m.datatype, m.scl_slope, m.scl_inter, m.world().ravel().tolist(), m.intent, list(map(float, m.intent_p))))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in HEADERS.split(", ")])
 
-    return _files(spark, path).mapInPandas(run, HEADERS)
+    names = spark.read.format("binaryFile").load(path).select("path")  # names alone: the content isn't read
+    return names.where(~F.lower("path").rlike(r"\.img(\.gz)?$")).mapInPandas(run, HEADERS)
 
 
-def read_voxels(spark: SparkSession, path: str, scaled: bool = True) -> DataFrame:
-    """image_id (the path), x, y, z, t, u, value of every voxel; scaled: with the header's slope and intercept."""
+def read_voxels(spark: SparkSession, path: str, scaled: bool = True, slab: int | None = None) -> DataFrame:
+    """image_id (the address), x, y, z, t, u, value of every voxel; scaled: with the header's slope and intercept.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, c in zip(b["path"], b["content"], strict=True):
-                m, v = decode(p, c)
-                v = v[..., 0, 0] if v.ndim == 7 else v.astype(float).mean(-1)[..., 0, 0]
-                for z in range(v.shape[2]):  # a slice at a time bounds the rows that are built at once
-                    s = v[:, :, z].astype(float)
-                    at = np.indices(s.shape).reshape(4, -1)
-                    value = s.ravel() * (m.scl_slope if scaled else 1.0) + (m.scl_inter if scaled else 0.0)
-                    yield pd.DataFrame({"image_id": p, "x": at[0], "y": at[1], "z": z, "t": at[2], "u": at[3], "value": value})
-
-    return _files(spark, path).mapInPandas(run, VOXELS)
+    slab: bytes of voxels for a task. Filters on image_id, z, t and u reach the files (volumes.py).
+    """
+    spark.dataSource.register(Voxels)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    source = spark.read.format("voxels").option("path", path).option("scaled", str(scaled).lower())
+    return (source.option("slab", slab) if slab else source).load()
 
 
 def encode_images(voxels: DataFrame, meta: ImageMeta, kind: str = "nifti") -> DataFrame:
@@ -96,8 +89,9 @@ def encode_images(voxels: DataFrame, meta: ImageMeta, kind: str = "nifti") -> Da
 class ImageFiles(DataSource):
     """Sink for encode_images(): each row's content becomes the file named by its image_id in the folder `path`.
 
-    Use: encoded.write.format("images").option("path", folder).mode("append").save(). The folder must be one that all
-    executors see. A file is written under another name and moved when whole, so a task that is run again replaces it.
+    Use: encoded.write.format("images").option("path", folder).mode("append").save(). The folder is an address of a shared
+    store, or a path that all executors see. A file is written under another name and moved when whole, so a task that is
+    run again replaces it.
     """
 
     @classmethod
@@ -110,16 +104,12 @@ class ImageFiles(DataSource):
 
 class _ImageWriter(DataSourceWriter):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def write(self, rows) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
         for r in rows:
-            to = os.path.join(self.path, safe_name(r["image_id"]))
-            part = f"{to}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
-                f.write(r["content"])
-            os.replace(part, to)
+            to = posixpath.join(self.path, safe_name(r["image_id"]))
+            store.replaced(to, r["content"], posixpath.join(self.path, f"_{uuid.uuid4().hex}.part"))
         return WriterCommitMessage()
 
 
