@@ -18,10 +18,10 @@ def test_small_tiles_give_the_same_rows(spark, duck, monkeypatch, name):
 
 def test_points_far_outside_and_undefined_ones(spark):
     image = transform.grid(spark, 6, 6).select(F.lit(1).alias("k"), "x", "y", (F.col("x") + 10 * F.col("y")).cast("double").alias("value"))
-    points = spark.createDataFrame([(1, 0, 2.5, 3.0), (1, 1, -500.0, 1e6), (1, 2, float("nan"), 1.0), (2, 3, 1.0, 1.0)], "k int, p int, px double, py double")
+    points = spark.createDataFrame([(1, 0, 2.5, 3.0), (1, 1, -500.0, 1e6), (1, 2, float("nan"), 1.0), (2, 3, 1.0, 1.0), (1, 4, None, 1.0)], "k int, p int, px double, py double")
     got = {r.p: r.value for r in resample.resample(image, points, ["k"], ["x", "y"], ["p"], 1, -7.0).collect()}
-    assert got[0] == 32.5 and got[1] == -7.0 and np.isnan(got[2]) and got[3] == -7.0
-    assert resample.resample(image.where("false"), points, ["k"], ["x", "y"], ["p"], 3).count() == 4
+    assert got[0] == 32.5 and got[1] == -7.0 and np.isnan(got[2]) and np.isnan(got[4]) and got[3] == -7.0
+    assert resample.resample(image.where("false"), points, ["k"], ["x", "y"], ["p"], 3).count() == 5
     assert resample.resample(image, points.where("false"), ["k"], ["x", "y"], ["p"], 0).count() == 0
 
 

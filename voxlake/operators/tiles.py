@@ -38,7 +38,7 @@ def on_tiles(points: DataFrame, source: DataFrame, keys: list[str], axes: list[s
     size = side or SIDES[d]
     tile = [f"_t{a}" for a in axes]
     kinds = dict(points.dtypes)
-    coordinate = lambda c: F.when(F.isnan(F.col(c).cast("double")), F.lit(0.0)).otherwise(F.col(c).cast("double"))
+    coordinate = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
     asked = points.withColumns({t: F.floor(coordinate(c) / size).cast("long") for t, c in zip(tile, at, strict=True)})
     asked = asked.withColumns({"_g": F.xxhash64(*keys, *tile), "_role": F.lit(1), **{f"_p{a}": coordinate(c) for a, c in zip(axes, at, strict=True)}, **{f"_q{a}": F.col(c).cast("double") for a, c in zip(axes, at, strict=True)}})
     held = source.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], *[F.col(a).cast("double").alias(f"_p{a}") for a in axes], *[F.col(c).cast("double").alias(f"_c{k}") for k, c in enumerate(columns)])

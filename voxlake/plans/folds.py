@@ -74,7 +74,7 @@ def steep(a):
 
 q(
     "t_inverse_field",
-    lambda s, d: inversion.inverse_field(steep(img2d(s, d)), KEY, AXES, {"x": 8, "y": 8}, tolerance=1e-9).select(
+    lambda s, d: inversion.inverse_field(steep(img2d(s, d)), KEY, AXES, {"x": 8, "y": 8}, tolerance=1e-12).select(
         *KEY, *AXES, (F.round("vx", 4) + 0.0).alias("vx"), (F.round("vy", 4) + 0.0).alias("vy")
     ),
     f"""WITH {SQL_2D},

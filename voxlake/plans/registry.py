@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("similarity", "points", "measuring", "stencils", "resampling", "transforms", "estimates", "regularisers", "velocities", "comparisons", "groups", "streams", "pairs", "jacobians", "folds")
+MODULES = ("similarity", "points", "measuring", "stencils", "resampling", "transforms", "estimates", "regularisers", "velocities", "comparisons", "groups", "streams", "pairs", "jacobians", "folds", "tensors")
 PLANS: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
