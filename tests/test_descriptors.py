@@ -57,3 +57,8 @@ def on_small_tiles(spark, duck, monkeypatch, name):
 def test_mind_is_that_of_plain_loops(spark, duck, monkeypatch):
     check_descriptor(spark, stencil.mind, MIND)
     on_small_tiles(spark, duck, monkeypatch, "d_mind")
+
+
+def test_context_is_that_of_plain_loops(spark, duck, monkeypatch):
+    check_descriptor(spark, stencil.mind_ssc, SSC)
+    on_small_tiles(spark, duck, monkeypatch, "d_mindssc")
