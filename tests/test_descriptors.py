@@ -3,10 +3,11 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.compare import rows_of, rows_of_sql
 from tests.conftest import SF
-from voxlake.operators import stencil, tiles
+from voxlake.operators import measures, stencil, tiles
 from voxlake.plans.registry import ORACLES, PLANS
 
 NAN = float("nan")
@@ -62,3 +63,18 @@ def test_mind_is_that_of_plain_loops(spark, duck, monkeypatch):
 def test_context_is_that_of_plain_loops(spark, duck, monkeypatch):
     check_descriptor(spark, stencil.mind_ssc, SSC)
     on_small_tiles(spark, duck, monkeypatch, "d_mindssc")
+
+
+def check_measure(spark, name, moves):
+    d = plain(moves)
+    pair = images(spark)
+    both = pair.where("k = 1").join(pair.where("k = 2").select("x", "y", F.col("value").alias("w")), ["x", "y"])
+    (row,) = measures.measure(name, both, ["k"], ["x", "y"]).collect()
+    terms = [sum((p - q) ** 2 for p, q in zip(d[1, x, y], d[2, x, y], strict=True)) for k, x, y in VOXELS if k == 1]
+    terms = [t for t in terms if t == t]
+    assert row.measure == pytest.approx(-sum(terms) / len(terms), abs=1e-9)
+
+
+def test_mind_measure_leaves_undefined_voxels_out(spark, duck, monkeypatch):
+    check_measure(spark, "mind", MIND)
+    on_small_tiles(spark, duck, monkeypatch, "a_mind_value")
