@@ -78,3 +78,8 @@ def check_measure(spark, name, moves):
 def test_mind_measure_leaves_undefined_voxels_out(spark, duck, monkeypatch):
     check_measure(spark, "mind", MIND)
     on_small_tiles(spark, duck, monkeypatch, "a_mind_value")
+
+
+def test_context_measure_leaves_undefined_voxels_out(spark, duck, monkeypatch):
+    check_measure(spark, "mindssc", SSC)
+    on_small_tiles(spark, duck, monkeypatch, "a_mindssc_value")
