@@ -83,3 +83,7 @@ def test_mind_measure_leaves_undefined_voxels_out(spark, duck, monkeypatch):
 def test_context_measure_leaves_undefined_voxels_out(spark, duck, monkeypatch):
     check_measure(spark, "mindssc", SSC)
     on_small_tiles(spark, duck, monkeypatch, "a_mindssc_value")
+
+
+def test_mind_slopes_on_small_tiles(spark, duck, monkeypatch):
+    on_small_tiles(spark, duck, monkeypatch, "e_mind_gradient")
