@@ -87,3 +87,7 @@ def test_context_measure_leaves_undefined_voxels_out(spark, duck, monkeypatch):
 
 def test_mind_slopes_on_small_tiles(spark, duck, monkeypatch):
     on_small_tiles(spark, duck, monkeypatch, "e_mind_gradient")
+
+
+def test_context_slopes_on_small_tiles(spark, duck, monkeypatch):
+    on_small_tiles(spark, duck, monkeypatch, "e_mindssc_gradient")
