@@ -121,6 +121,38 @@ def test_rows_that_share_an_id_are_decided_each_on_its_own(spark):
     assert near.count() == near.select("text").distinct().count() >= 20
 
 
+def test_near_duplicates_are_those_of_the_fingerprints_and_those_of_the_sets(spark):
+    import numpy as np
+
+    import corpus_pipeline as cp
+    from voxlake.llm.simhash import fingerprints, shingle_hashes
+
+    rng = np.random.default_rng(8)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    song = " ".join(words(30)) + " "
+    often = [song * 80 + " ".join(words(40)) for _ in range(3)]  # few bits differ, the sets are unlike
+    base = words(200)
+    changed = [" ".join(f"v{k}" if x in (k, k + 12) else w for x, w in enumerate(base)) for k in (20, 100, 180)]
+    link = often[2] + " " + " ".join(words(6))  # as near to the song by its bits as by its set to often[2]
+    texts = [*(" ".join(words(60)) for _ in range(12)), *often, *changed, link]
+    n = len(texts)
+    fp = [int(x) for x in fingerprints(texts, 3)[:, 0]]
+    sets = [set(shingle_hashes(t, 5)) for t in texts]
+    near = lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 3
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    pairs = [(i, j) for j in range(n) for i in range(j)]
+    assert any(near(i, j) and not alike(i, j) for i, j in pairs) and any(alike(i, j) and not near(i, j) for i, j in pairs)
+    up = list(range(n))
+    for i, j in pairs:
+        if near(i, j) or alike(i, j):
+            lo, hi = sorted((up[i], up[j]))
+            up = [lo if u == hi else u for u in up]
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, texts[0], "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(left) == sorted(set(up))
+
+
 def test_fixture_has_all_cases():
     assert {r[0] for r in edge_rows()} >= {None, 1, 5}
     assert pytest
