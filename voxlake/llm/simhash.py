@@ -18,6 +18,8 @@ from .components import connected_components
 
 #: Fingerprints that a task compares with each other at once; larger groups are cut into tiles.
 TILE = 1 << 14
+#: Hashes whose bits are counted at once.
+UNPACKED = 1 << 13
 
 
 def shingle_hashes(text: str | None, size: int) -> list[int]:
@@ -34,6 +36,18 @@ def shingle_hashes(text: str | None, size: int) -> list[int]:
     return [h(joined[s:e], 42) for s, e in zip(starts, ends[size - 1 :], strict=True)]
 
 
+def _bit_sums(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set in the hashes of each text, which end at the given places. Bits are unpacked
+    for some hashes at a time, as they take eight times the hashes' bytes."""
+    sums, first = np.zeros((len(ends), 64), np.int64), np.append(0, ends[:-1])
+    for lo in range(0, len(h), UNPACKED):
+        part = h[lo : lo + UNPACKED]
+        a, b = np.searchsorted(ends, [lo, lo + len(part) - 1], side="right")
+        bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[a : b + 1] += np.add.reduceat(bits, np.maximum(first[a : b + 1] - lo, 0), axis=0, dtype=np.int32)
+    return sums
+
+
 def fingerprints(texts: list[str | None], size: int, words: int = 1) -> np.ndarray:
     """Fingerprints of 64 bits times `words` as rows of unsigned words (texts without a word: all zero).
 
@@ -45,13 +59,12 @@ def fingerprints(texts: list[str | None], size: int, words: int = 1) -> np.ndarr
     if some:
         h = np.array([x for k in some for x in lists[k]], "<u8")
         n = np.array([len(lists[k]) for k in some])
-        first = np.cumsum(n) - n
+        ends = np.cumsum(n)
         for w in range(words):
             if w:
                 h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
                 h ^= h >> np.uint64(28)
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+            sums = _bit_sums(h, ends)
             out[some, w] = np.packbits(sums * 2 > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
