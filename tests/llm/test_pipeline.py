@@ -86,6 +86,32 @@ def test_similar_documents_are_those_of_the_exact_similarity(spark, monkeypatch,
     assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(up))
 
 
+def test_steps_of_near_duplicates_write_few_files(spark, monkeypatch):
+    from voxlake.llm import common, components, similar
+
+    files = {}
+
+    def counted(df, tag, *more):
+        out = common.materialise(df, tag, *more)
+        files.setdefault(tag, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(similar, "materialise", counted)
+    monkeypatch.setattr(components, "materialise", counted)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k // 2 * 7 + x) % 997}" for x in range(90)) + f" end {k}") for k in range(400)], "doc_id long, text string")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for c, v in zip(kept, ("40", "false"), strict=True):
+            spark.conf.set(c, v)
+        got = {r.doc_id: r.component_id for r in similar.similar_documents(docs, radius=3).collect()}
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert set(files) >= {"edges", "sets", "pairs", "similar", "near-bits"}
+    assert max(x for tag, each in files.items() if tag != "prefixes" for x in each) <= common.files_for(spark, 400) < 40
+    assert all(got[k] <= k // 2 * 2 for k in range(400))
+
+
 def test_texts_in_unlearned_languages_go_and_clean_ones_stay(spark):
     import numpy as np
 

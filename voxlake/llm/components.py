@@ -23,16 +23,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return linked.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, files: int | None = None) -> DataFrame:
     """node, root: the smallest node that each node with an edge can reach. No edges: no rows.
 
     Each round is written to the shared folder, so a lost executor costs one round at most, and the round before
-    is deleted. Rounds grow with the logarithm of the longest chain.
+    is deleted. Rounds grow with the logarithm of the longest chain. files: as for materialise().
     """
-    now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
+    now = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges", files)
     digest = None
     while True:
-        new = materialise(_small_star(_large_star(now)), "edges")
+        new = materialise(_small_star(_large_star(now)), "edges", files)
         seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if (old := table_path(now)) and seen != digest:
             remove_path(new.sparkSession, old)
