@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from voxlake.operators import convert, estimate, matrices, matrix, measures, penalty, transform
+from voxlake.plans.registry import PLANS
 from voxlake.plans.views import img4d
 
 AXES = ["x", "y"]
@@ -123,3 +124,19 @@ def test_composition_of_any_two(spark):
     assert all(abs(r.vx + 0.5) < 1e-9 for r in convert.displacement(back, voxels, ["k"], AXES, dim).where("x BETWEEN 2 AND 7").collect())
     with pytest.raises(ValueError):
         convert.Transformation("rotation", [])
+
+
+def test_array_differences_are_finite_differences(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    whole = [(k, x, y, *rng.normal(0, 1, 2).tolist()) for k in (1, 2) for x in range(5) for y in range(2, 6)]
+    rows = [r for r in whole if (r[0], r[1], r[2]) != (2, 4, 5)] + [(3, x, y, 1.0, 2.0) for x in range(2) for y in range(9)]
+    nodes = spark.createDataFrame(rows, "k long, x int, y int, vx double, vy double")
+    energy = lambda g, keys: transform.bending_energy(g, keys, AXES).withColumnRenamed("energy", "value")
+    as_rows = lambda df: {(r.k, r.x, r.y): (round(r.vx, 9), round(r.vy, 9)) for r in df.collect()}
+    want = as_rows(penalty.finite_differences(nodes, ["k"], AXES, energy, 0.5))
+    for held in (penalty.HELD, 60):  # all copies of a grid in one task, and three at a time
+        monkeypatch.setattr(penalty, "HELD", held)
+        got = penalty.array_differences(nodes, ["k"], AXES, transform.bending_of_arrays, 0.5)
+        assert as_rows(got) == want and len(want) == 39 == got.count()
+    plan = PLANS["e_finite_differences"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "_sign" not in plan  # no row for a copy's node

@@ -10,6 +10,9 @@ from collections.abc import Callable
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ from ..functions.scalar import safe_ln
 from .lattice import voxel_sums
 from .lineage import cut
 from .regularise import FIRST, _cast_back, _derivatives
+from .tiles import runs, schema_of
 from .transform import PARTS, determinant, parts_of, spline_jacobian
 
 
@@ -107,6 +111,90 @@ def finite_differences(nodes: DataFrame, keys: list[str], axes: list[str], objec
     return by.groupBy(*keys, *[F.col(f"_c{a}").alias(a) for a in axes]).agg(*[F.max(F.when(F.col("_part") == v, F.col("_s"))).alias(v) for v in parts_of(axes)])
 
 
+#: Nodes of all copies that a task holds at once.
+HELD = 1 << 18
+
+
+def array_differences(nodes: DataFrame, keys: list[str], axes: list[str], value: Callable[[list[np.ndarray], np.ndarray], np.ndarray | None], reach: float) -> DataFrame:
+    """finite_differences() of an objective of arrays, without a row for each copy's node.
+
+    value(parts, there) gives the objective of each copy, or None where the grid has none (no rows then): parts are the
+    components (copies, *shape), there tells at which places of the box (*shape) the grid has nodes. A task holds one grid
+    and as many of its copies as HELD allows, small grids of the same nodes together; the copies of larger grids go to
+    several tasks. Null counts as 0, as sums leave it out.
+    """
+    names, d = parts_of(axes), len(axes)
+    number = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    each = F.greatest(F.floor(F.lit(HELD) / F.col("_all")), F.lit(1))
+    blocks = number.select(*keys, F.explode(F.sequence(F.lit(0), F.floor((F.col("_all") - 1) / each).cast("int"))).alias("_block"))
+    rows = nodes.join(blocks, keys).select(F.xxhash64(*keys, "_block").alias("_g"), *keys, "_block", *axes, *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in names])
+
+    def slopes(there: np.ndarray, place: np.ndarray, mine: np.ndarray, held: list[np.ndarray]) -> list[np.ndarray] | None:
+        """Slopes (grids, mine) of grids of the same nodes, whose components (grids, nodes) are at the places of the box."""
+        m = len(mine)
+        boxes = []
+        for v in held:
+            x = np.zeros((len(v), m, there.size))
+            x[:, :, place] = v[:, None, :]
+            boxes.append(x)
+        found = []
+        for x in boxes:
+            ends = []
+            for step in (reach, -reach):
+                before = x[:, np.arange(m), place[mine]]
+                x[:, np.arange(m), place[mine]] = before + step
+                ends.append(value([y.reshape(-1, *there.shape) for y in boxes], there))
+                x[:, np.arange(m), place[mine]] = before
+            if ends[0] is None:
+                return None
+            found.append(((ends[0] - ends[1]) / (2 * reach)).reshape(-1, m))
+        return found
+
+    def whole(t: pa.Table, ends: np.ndarray) -> pa.Table:
+        change = np.zeros(t.num_rows, bool)
+        change[0], change[ends[:-1]] = True, True
+        for c in (*keys, "_block"):  # grids whose hashes are the same
+            change[1:] |= pc.not_equal(t[c].slice(1), t[c].slice(0, t.num_rows - 1)).to_numpy()
+        begins = np.flatnonzero(change)
+        length = np.diff(np.append(begins, t.num_rows))
+        at = np.stack([t[a].to_numpy() for a in axes], 1).astype(np.int64)
+        low = np.minimum.reduceat(at, begins)
+        shape = np.maximum.reduceat(at, begins) - low + 1
+        flat = np.zeros(len(at), np.int64)
+        for k in range(d):
+            flat = flat * np.repeat(shape[:, k], length) + at[:, k] - np.repeat(low[:, k], length)
+        block, alike = t["_block"].to_numpy()[begins], {}
+        for k, (lo, n) in enumerate(zip(begins.tolist(), length.tolist(), strict=True)):
+            alike.setdefault((int(block[k]), tuple(shape[k]), flat[lo : lo + n].tobytes()), []).append(lo)
+        parts, use, found = [t[v].to_numpy() for v in names], [], [[] for _ in names]
+        for (number_, box, place_), starts in alike.items():
+            place = np.frombuffer(place_, np.int64)
+            n = len(place)
+            most = max(1, HELD // n)
+            mine = np.arange(n)[number_ * most : (number_ + 1) * most]
+            there = np.zeros(np.prod(box), bool)
+            there[place] = True
+            grids = max(1, HELD // (len(there) * len(mine)))
+            for lo in range(0, len(starts), grids):
+                rows_ = np.array(starts[lo : lo + grids])[:, None] + np.arange(n)
+                got = slopes(there.reshape(box), place, mine, [v[rows_] for v in parts])
+                if got is not None:
+                    use.append(rows_[:, mine].ravel())
+                    for kept, x in zip(found, got, strict=True):
+                        kept.append(x.ravel())
+        out = t.select([*keys, *axes]).take(pa.array(np.concatenate(use) if use else np.empty(0, np.int64)))
+        for v, x in zip(names, found, strict=True):
+            out = out.append_column(v, pa.array(np.concatenate(x) if x else [], pa.float64()))
+        return out
+
+    def run(batches):
+        for t, ends in runs(batches):
+            yield from whole(t, ends).to_batches()
+
+    kinds = schema_of(nodes, [*keys, *axes]) + ", " + ", ".join(f"{v} double" for v in names)
+    return rows.repartition("_g").sortWithinPartitions("_g", *keys, "_block", *axes).mapInArrow(run, kinds)
+
+
 def _copies(nodes: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
     which = F.explode(F.array(*[F.struct(F.lit(v).alias("part"), F.lit(s).alias("sign")) for v in parts_of(axes) for s in (1.0, -1.0)])).alias("_w")
     return nodes.select(*keys, *[F.col(a).alias(f"_c{a}") for a in axes], which).select(*keys, *[f"_c{a}" for a in axes], F.col("_w.part").alias("_part"), F.col("_w.sign").alias("_sign"))

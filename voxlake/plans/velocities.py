@@ -142,14 +142,10 @@ def _small_grids(s, d):
     return img3d(s, d).select("image_id", "z", "x", "y", (F.col("value") + F.col("x") * 2 - 2).alias("vx"), (F.col("value") * 0.5 + F.col("y") * 2 - 2).alias("vy"))
 
 
-def _bending(grids, keys):
-    return transform.bending_energy(grids, keys, AXES).withColumnRenamed("energy", "value")
-
-
 _INNER4 = _inner(["xx", "yy", "xy"]).replace("n.image_id, n.x", "n.image_id, n.z, n.x").replace("m.image_id = n.image_id", "m.image_id = n.image_id AND m.z = n.z").replace("BETWEEN 1 AND 6", "BETWEEN 1 AND 2")
 q(
     "e_finite_differences",
-    lambda s, d: penalty.finite_differences(_small_grids(s, d), ["image_id", "z"], AXES, _bending, 0.5).select("image_id", "z", "x", "y", r6("vx").alias("vx"), r6("vy").alias("vy")),
+    lambda s, d: penalty.array_differences(_small_grids(s, d), ["image_id", "z"], AXES, transform.bending_of_arrays, 0.5).select("image_id", "z", "x", "y", r6("vx").alias("vx"), r6("vy").alias("vy")),
     f"WITH {SQL_3D}, n AS (SELECT image_id, z, x, y, value + x * 2 - 2 AS vx, value * 0.5::DOUBLE + y * 2 - 2 AS vy FROM img3d), k AS ({_INNER4}) "
     + _back("k", {v: " + ".join(f"{4 if c == 'xy' else 2} * {v}_{c} * {_WEIGHTS[c]}" for c in ("xx", "yy", "xy")) for v in ("vx", "vy")}).replace("/ 128", "/ 32").replace("SELECT image_id,", "SELECT image_id, z,"),
 )
