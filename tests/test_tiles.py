@@ -49,3 +49,29 @@ def test_order_statistics_are_exact(spark, monkeypatch, bins):
     for k, v in values.items():
         mine = [r for r in placed if r.k == k]
         assert [r["_rank"] for r in mine] == list(range(1, len(v) + 1)) and [r.value for r in mine] == np.sort(v).tolist()
+
+
+def test_kernels_of_many_tiles_give_what_they_give_of_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, x, y, float(rng.normal())) for k in range(12) for x in range(5) for y in range(40) if rng.random() < 0.9]
+    source = spark.createDataFrame(rows, "k long, x int, y int, value double")
+    points = spark.createDataFrame([(i % 13, i, *rng.uniform(-2, 42, 2).tolist()) for i in range(600)], "k long, id long, px double, py double")
+    called = spark.sparkContext.accumulator(0)
+
+    def kernel(p, dense, origin, column, tile):
+        called.add(1)
+        values, there = dense
+        at = (tile, *(np.floor(p) - origin).astype(int).T)
+        assert (column("id") >= 0).all()
+        return [np.where(there[at], values[at], -1.0)]
+
+    seen, calls = [], []
+    for cells in (1, tiles.CELLS):
+        monkeypatch.setattr(tiles, "CELLS", cells)
+        before = called.value
+        got = tiles.on_tiles(points, source, ["k"], ["x", "y"], ["px", "py"], (0, 0), kernel, "value double", ["k", "id"], ["value"], many=True)
+        seen.append(sorted((r.k, r.id, r.value) for r in got.collect()))
+        calls.append(called.value - before)
+    value = {(k, x, y): v for k, x, y, v in rows}
+    want = sorted((r.k, r.id, value.get((r.k, int(np.floor(r.px)), int(np.floor(r.py))), -1.0)) for r in points.collect())
+    assert seen[0] == seen[1] == want and calls[1] < calls[0] / 3
