@@ -140,3 +140,28 @@ def test_array_differences_are_finite_differences(spark, monkeypatch):
         assert as_rows(got) == want and len(want) == 39 == got.count()
     plan = PLANS["e_finite_differences"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "_sign" not in plan  # no row for a copy's node
+
+
+def test_nmi_gradient_meets_bins_without_a_row_for_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, i, *rng.uniform(2, 9, 2).tolist(), *rng.normal(0, 1, 2).tolist()) for k in (1, 2) for i in range(30)] + [(1, 30, float("nan"), 3.0, 1.0, 1.0)]
+    pair = spark.createDataFrame(rows, "k long, id int, value double, w double, sx double, sy double")
+    histogram = spark.createDataFrame(measures.joint_histogram(pair, ["k"], 12, exact=True).collect(), "k long, r int, f int, h double")
+    df = estimate.nmi_gradient(pair, histogram, ["k"], AXES, ["id"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    got = {(r.k, r.id): (r.gx, r.gy) for r in df.collect()}
+    assert len(got) == 60
+    b = lambda x: 2 / 3 - x * x + abs(x) ** 3 / 2 if abs(x) < 1 else max(0.0, 2 - abs(x)) ** 3 / 6
+    slope = lambda x: (b(x + 1e-6) - b(x - 1e-6)) / 2e-6
+    for k in (1, 2):
+        h = np.zeros((12, 12))
+        for r in histogram.where(F.col("k") == k).collect():
+            h[r.r, r.f] = r.h
+        p = h / h.sum()
+        ln = lambda x: np.log(np.where(x > 0, x, 1.0))
+        joint, sides = ln(p), ln(p.sum(1))[:, None] + ln(p.sum(0))[None]
+        hrf, both = -(p * joint).sum(), -(p * sides).sum()
+        for _, i, v, w, sx, sy in (r for r in rows if r[0] == k and r[1] < 30):
+            g = sum(b(v - r) * slope(w - f) * (sides[r, f] - both / hrf * joint[r, f]) for r in range(12) for f in range(12) if p[r, f] > 0) / (hrf * h.sum())
+            assert np.allclose(got[k, i], (g * sx, g * sy), atol=1e-6)
