@@ -246,3 +246,25 @@ def test_held_notes_vote_for_their_length():
     q, m = (_Codes(np.array([i]), c, np.array([0, len(c)])) for i, c in ((1, held), (2, other)))
     a, b, votes, offset, error = (x.tolist() for x in block_matches(q, m, 5, 0.3))
     assert (a, b, votes, offset, error) == ([1], [2], [70], [10], [0.0])
+
+
+def test_a_worker_keeps_chunks_while_tasks_use_them_and_no_long_ones():
+    import time
+
+    from voxlake.llm import common, token_ids
+
+    enc = token_ids.ChunkEncoder(token_ids.default_tokenizer())
+    long = "ab9" * 400
+    kept = common.Kept(enc.forget, 0.2)
+    with kept.used():
+        first = [x.tolist() for x in enc.encode([f"some words {long} again", "words"])]
+        time.sleep(0.5)
+        assert enc.young and max(map(len, enc.young)) <= token_ids.MAX_KEPT
+        with kept.used():  # the next task comes before the wait is over
+            pass
+        time.sleep(0.5)
+        assert enc.young
+    time.sleep(0.7)
+    assert not enc.young and not enc.old
+    assert [x.tolist() for x in enc.encode([f"some words {long} again", "words"])] == first
+    assert first[0] == enc.tok.encode(f"some words {long} again", add_special_tokens=False).ids
